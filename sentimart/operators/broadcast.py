@@ -1,0 +1,30 @@
+"""Broadcast behind a size check.
+
+A side is broadcast only when its row count is known to be under a bound;
+otherwise the join is left to the planner (sort-merge or shuffled hash
+join, with AQE free to switch at run time). Only small dimension-like
+tables (word lists, movie names) go through here, so counting them is a
+cheap job.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Word lists run to tens of thousands of entries; a few hundred thousand
+# short rows is still well under the default 8 GiB broadcast limit.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max+1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      small: bool | None = None) -> DataFrame:
+    """``broadcast(df)`` when it is proven small, else ``df`` unchanged."""
+    if small is None:
+        small = row_count_at_most(df, max_rows)
+    return F.broadcast(df) if small else df
