@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
-from sentimart.functions.text import count_char, is_upper, tokens
+from sentimart.functions.text import (count_caps_tokens, count_char, is_upper, split_tokens,
+                                     stripped_text)
 from sentimart.operators.broadcast import MAX_BROADCAST_ROWS, broadcast_checked, row_count_at_most
 
 VALENCE_DECIMAL = "decimal(24,12)"
@@ -73,56 +74,58 @@ def _context_valence(v: Column, ctx: Column, in_lex: Column, boost: Column, neg:
 
 def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
                    words: DataFrame, params: ScorerParams = DEFAULT_PARAMS) -> DataFrame:
-    """Exploded lexicon hits (plus one sentinel row per text) with final valences."""
-    toks = tokens(F.col(text_col))
+    """Exploded lexicon hits (plus one sentinel row per text) with final valences.
+
+    No lambdas: the text is stripped by one regex pass, tokens come from
+    ``split``, the context tokens from the same array shifted by 1-3
+    positions (``concat`` with leading NULLs), and ``arrays_zip`` +
+    ``posexplode`` turn them into rows -- all native, code-generated
+    expressions.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    stripped = stripped_text(text)
     prep = df.select(
         F.col(id_col).alias(ID_COL), *keep,
-        toks.alias("_toks"),
-        count_char(F.coalesce(F.col(text_col), F.lit("")), "!").alias("_n_excl"),
-        count_char(F.coalesce(F.col(text_col), F.lit("")), "?").alias("_n_q"),
-    )
-    prep = prep.select(
-        "*",
-        F.size("_toks").alias("_n_tok"),
-        F.size(F.filter("_toks", is_upper)).alias("_n_up"),
-        F.array_position(F.transform("_toks", F.lower), params.but_token).alias("_but"),
+        split_tokens(stripped).alias("_toks"),
+        split_tokens(F.lower(stripped)).alias("_ltoks"),
+        count_char(text, "!").alias("_n_excl"),
+        count_char(text, "?").alias("_n_q"),
+        count_caps_tokens(text).alias("_n_up"),
     )
-    ctx = F.transform(
-        "_toks",
-        lambda w, i: F.struct(
-            i.alias("pos"),
-            F.lower(w).alias("lw"),
-            is_upper(w).alias("up"),
-            F.lower(F.get(F.col("_toks"), i - 1)).alias("l1"),
-            F.lower(F.get(F.col("_toks"), i - 2)).alias("l2"),
-            F.lower(F.get(F.col("_toks"), i - 3)).alias("l3"),
-        ),
+    nul = F.lit(None).cast("string")
+    lt = F.col("_ltoks")
+    zipped = F.arrays_zip(
+        F.col("_toks").alias("w"), lt.alias("lw"),
+        F.concat(F.array(nul), lt).alias("l1"),
+        F.concat(F.array(nul, nul), lt).alias("l2"),
+        F.concat(F.array(nul, nul, nul), lt).alias("l3"),
     )
-    small = row_count_at_most(words, MAX_BROADCAST_ROWS)
-    cap_diff = (F.col("_n_up") > 0) & (F.col("_n_up") < F.col("_n_tok"))
+    n_tok = F.size("_toks")
+    cap_diff = (F.col("_n_up") > 0) & (F.col("_n_up") < n_tok)
     exploded = prep.select(
-        ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_but",
+        ID_COL, *keep, n_tok.alias("_n_tok"), "_n_excl", "_n_q",
+        F.array_position(lt, params.but_token).alias("_but"),
         cap_diff.alias("_cap"),
-        F.explode_outer(ctx).alias("t"),
-    )
+        F.posexplode(zipped).alias("_pos", "t"),
+    ).where(F.col("_pos") < F.greatest(F.col("_n_tok"), F.lit(1)))
+    small = row_count_at_most(words, MAX_BROADCAST_ROWS)
     # One broadcast of the word table serves all four lookups: the four
     # build sides are the same plan, so the exchange is reused.
     wb = broadcast_checked(words, small=small)
     hits = (exploded.join(wb.alias("w0"), F.col("t.lw") == F.col("w0.token"), "left")
-                    .where(F.col("w0.valence").isNotNull() | F.col("t.pos").isNull()
-                           | (F.col("t.pos") == 0)))
+                    .where(F.col("w0.valence").isNotNull() | (F.col("_pos") == 0)))
     for d in (1, 2, 3):
         hits = hits.join(wb.alias(f"w{d}"), F.col(f"t.l{d}") == F.col(f"w{d}.token"), "left")
 
     v = F.col("w0.valence")
-    v = F.when(F.col("t.up") & F.col("_cap"),
+    v = F.when(F.col("_cap") & is_upper(F.col("t.w")),
                F.when(v > 0, v + F.lit(params.caps_increment))
                 .otherwise(v - F.lit(params.caps_increment))).otherwise(v)
     damps = {1: 1.0, 2: params.damp_distance_2, 3: params.damp_distance_3}
     for d in (1, 2, 3):
         v = _context_valence(v, F.col(f"t.l{d}"), F.col(f"w{d}.in_lexicon"),
                              F.col(f"w{d}.boost"), F.col(f"w{d}.negation"), damps[d], params)
-    pos1 = F.col("t.pos") + 1
+    pos1 = F.col("_pos") + 1
     but = F.col("_but")
     v = (F.when((but > 0) & (pos1 < but), v * F.lit(params.but_before))
           .when((but > 0) & (pos1 > but), v * F.lit(params.but_after))

@@ -46,12 +46,13 @@ def read_posts(spark: SparkSession, paths: str | list[str], glob: str | None = G
 def split_malformed(spark: SparkSession, paths: str | list[str], glob: str | None = GZ_GLOB,
                     recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """S3: (good posts, bad lines). Bad lines keep their raw text in
-    ``_corrupt_record``; good rows have it NULL."""
+    ``_corrupt_record``; good rows have it NULL. The bad side also carries
+    ``body`` because Spark refuses a query on the corrupt column alone."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = _reader(spark, POST_SCHEMA_WITH_CORRUPT, "PERMISSIVE", glob, recursive).json(paths)
     bad_flag = F.col(CORRUPT_COLUMN).isNotNull()
     good = df.where(~bad_flag).drop(CORRUPT_COLUMN)
-    bad = df.where(bad_flag).select(CORRUPT_COLUMN)
+    bad = df.where(bad_flag).select(CORRUPT_COLUMN, "body")
     return good, bad
 
 
