@@ -20,6 +20,26 @@ def _r(c):
     return F.round(c, STATS_DECIMALS)
 
 
+def exact_avg(c, scale: int = 4):
+    """Mean of values with at most ``scale`` decimals, computed exactly.
+
+    The sum is a DECIMAL (exact, independent of the order partial sums
+    arrive in) and the quotient is rounded half-up to ``STATS_DECIMALS``.
+    A double mean can land on either side of a rounding tie (16 scores
+    with 4 decimals have a mean with 8), so the last digit would depend
+    on the shuffle order.
+    """
+    total = F.sum(F.col(c).cast(f"decimal(20,{scale})") if isinstance(c, str)
+                  else c.cast(f"decimal(20,{scale})"))
+    n = F.count(c).cast("decimal(20,0)")
+    return exact_ratio(total, n)
+
+
+def exact_ratio(total, n):
+    """Rounded half-up ``total / n`` (both DECIMAL), as a double."""
+    return F.round(total / n, STATS_DECIMALS).cast("double")
+
+
 def daily_counts(df: DataFrame, date_col: str = "date") -> DataFrame:
     """A1: posts per day -> ``(dateColumn, totalTweets)``."""
     return (df.groupBy(F.col(date_col).alias("dateColumn"))
@@ -45,7 +65,7 @@ def daily_stats(df: DataFrame, score_col: str = "vaderScore",
     keys = keys or []
     s = F.col(score_col)
     out = df.groupBy(*keys, "date").agg(
-        _r(F.avg(s)).alias("avgScore"),
+        exact_avg(s).alias("avgScore"),
         _r(F.stddev_samp(s)).alias("stdDev"),
         F.min(s).alias("minScore"),
         F.max(s).alias("maxScore"),
@@ -59,7 +79,7 @@ def describe_daily_counts(df: DataFrame, date_col: str = "date") -> DataFrame:
     c = F.col("totalTweets")
     return daily_counts(df, date_col).agg(
         F.count(c).alias("nDays"),
-        _r(F.avg(c)).alias("meanTweets"),
+        exact_avg(c, 0).alias("meanTweets"),
         _r(F.stddev_samp(c)).alias("stdTweets"),
         F.min(c).alias("minTweets"),
         F.max(c).alias("maxTweets"),
@@ -75,7 +95,7 @@ def describe_scores(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns or SCORE_COLUMNS
     aggs = []
     for c in columns:
-        aggs += [F.count(c).alias(f"{c}__count"), _r(F.avg(c)).alias(f"{c}__mean"),
+        aggs += [F.count(c).alias(f"{c}__count"), exact_avg(c).alias(f"{c}__mean"),
                  _r(F.stddev_samp(c)).alias(f"{c}__stddev"),
                  F.min(c).cast("double").alias(f"{c}__min"),
                  F.max(c).cast("double").alias(f"{c}__max")]

@@ -117,21 +117,40 @@ def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
     for d in (1, 2, 3):
         hits = hits.join(wb.alias(f"w{d}"), F.col(f"t.l{d}") == F.col(f"w{d}.token"), "left")
 
+    # Each rule is one projection over the previous value column, so the
+    # expression stays linear in size (inlining the steps would repeat the
+    # value expression three times per step).
+    cols = [ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_pos", "_but"]
     v = F.col("w0.valence")
-    v = F.when(F.col("_cap") & is_upper(F.col("t.w")),
-               F.when(v > 0, v + F.lit(params.caps_increment))
-                .otherwise(v - F.lit(params.caps_increment))).otherwise(v)
+    caps = F.when(F.col("_cap") & is_upper(F.col("t.w")),
+                  F.when(v > 0, v + F.lit(params.caps_increment))
+                   .otherwise(v - F.lit(params.caps_increment))).otherwise(v)
+    ctx_cols = []
+    for d in (1, 2, 3):
+        ctx_cols += [F.col(f"t.l{d}").alias(f"_l{d}"), F.col(f"w{d}.in_lexicon").alias(f"_lex{d}"),
+                     F.col(f"w{d}.boost").alias(f"_boost{d}"), F.col(f"w{d}.negation").alias(f"_neg{d}")]
+    steps = hits.select(*cols, *ctx_cols, caps.alias("_v"))
     damps = {1: 1.0, 2: params.damp_distance_2, 3: params.damp_distance_3}
     for d in (1, 2, 3):
-        v = _context_valence(v, F.col(f"t.l{d}"), F.col(f"w{d}.in_lexicon"),
-                             F.col(f"w{d}.boost"), F.col(f"w{d}.negation"), damps[d], params)
+        step = _context_valence(F.col("_v"), F.col(f"_l{d}"), F.col(f"_lex{d}"),
+                                F.col(f"_boost{d}"), F.col(f"_neg{d}"), damps[d], params)
+        steps = steps.withColumn("_v", step)
     pos1 = F.col("_pos") + 1
     but = F.col("_but")
+    v = F.col("_v")
     v = (F.when((but > 0) & (pos1 < but), v * F.lit(params.but_before))
           .when((but > 0) & (pos1 > but), v * F.lit(params.but_after))
           .otherwise(v))
-    return hits.select(ID_COL, *keep, "_n_tok", "_n_excl", "_n_q",
-                       v.cast(VALENCE_DECIMAL).alias("_v"))
+    return steps.select(ID_COL, *keep, "_n_tok", "_n_excl", "_n_q",
+                        v.cast(VALENCE_DECIMAL).alias("_v"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin to ``min_partitions`` when the input has fewer partitions."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def emphasis(n_excl: Column, n_q: Column, params: ScorerParams = DEFAULT_PARAMS) -> Column:
@@ -146,9 +165,16 @@ def emphasis(n_excl: Column, n_q: Column, params: ScorerParams = DEFAULT_PARAMS)
 def score_text(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                text_col: str = "body", id_col: str | None = None,
                keep: list[str] | None = None, out_col: str = "vaderScore",
-               all_scores: bool = False, params: ScorerParams = DEFAULT_PARAMS) -> DataFrame:
+               all_scores: bool = False, params: ScorerParams = DEFAULT_PARAMS,
+               min_partitions: int | None = None) -> DataFrame:
     """V1-V6: one row per input row with ``keep`` columns and the scores.
 
+    Scoring is CPU-bound per text. When the input has fewer partitions than
+    ``min_partitions`` (default: the cluster's default parallelism) -- e.g.
+    a few unsplittable gzip files or one large Parquet row group -- only the
+    columns the scorer needs are spread round-robin first. A large scan
+    already has many more partitions than cores and is left as it is.
+
     ``id_col`` must be unique per row when given; when omitted a row id is
     generated right after the input (before any shuffle, so it is stable
     when a task is retried). ``keep`` columns are carried through the
@@ -157,7 +183,12 @@ def score_text(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     and ``out_col``.
     """
     keep = list(keep or [])
+    need = list(dict.fromkeys([*(c for c in keep if c != ID_COL),
+                               *([id_col] if id_col else []), text_col]))
+    df = spread(df.select(*need), min_partitions)
     if id_col is None:
+        # generated after the (deterministic, locally sorted) round-robin
+        # spread, so a retried task sees the same ids
         df = df.withColumn(ID_COL, F.monotonically_increasing_id())
         id_col = ID_COL
     elif id_col not in keep:

@@ -200,7 +200,17 @@ def movies_found_sql(src: str = "clean", keys: list[str] | None = None) -> str:
   FROM {src} WHERE movieName NOT LIKE '%,%' AND length(movieName) > 2"""
 
 
+def exact_avg_sql(x: str, scale: int = 4) -> str:
+    """Mean rounded half-up to STATS_DECIMALS with integer arithmetic."""
+    m = 10 ** scale
+    up = 10 ** (STATS_DECIMALS - scale)
+    S = f"sum(CAST(round({x} * {m}) AS HUGEINT))"
+    n = f"count({x})"
+    return (f"CASE WHEN {n} = 0 THEN NULL ELSE CAST(sign({S}) * ((abs({S}) * {2 * up} + {n}) // (2 * {n}))"
+            f" AS DOUBLE) / {float(10 ** STATS_DECIMALS)!r} END")
+
+
 def stats_select(score: str = "s.vaderScore") -> str:
     d = STATS_DECIMALS
-    return (f"round(avg({score}), {d}) AS avgScore, round(stddev_samp({score}), {d}) AS stdDev, "
+    return (f"{exact_avg_sql(score)} AS avgScore, round(stddev_samp({score}), {d}) AS stdDev, "
             f"min({score}) AS minScore, max({score}) AS maxScore, count({score}) AS totalTweets")

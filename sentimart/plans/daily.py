@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sentimart.operators.classify import check_splits, classify
 from sentimart.operators.clean import clean_posts
+from sentimart.operators.daily import exact_ratio
 from sentimart.operators.match import match_names, movie_chunks, unique_movies
 from sentimart.operators.score import score_text
 from sentimart.schema import (COUNTS_COLUMNS, STATS_COLUMNS, STATS_DECIMALS,
@@ -73,15 +74,14 @@ def partial_aggregate(classified: DataFrame, keys: list[str]) -> DataFrame:
 
 def _stats_from_partial(grouped, keys: list[str]) -> DataFrame:
     n = F.sum("n")
-    s = F.sum("s").cast("double")
-    sq = F.sum("sq").cast("double")
-    agg = grouped.agg(n.alias("_n"), s.alias("_s"), sq.alias("_sq"),
+    agg = grouped.agg(n.alias("_n"), F.sum("s").alias("_sdec"), F.sum("sq").cast("double").alias("_sq"),
                       F.min("mn").alias("minScore"), F.max("mx").alias("maxScore"))
+    agg = agg.withColumn("_s", F.col("_sdec").cast("double"))
     cnt = F.col("_n").cast("double")
     var = (F.col("_sq") - F.col("_s") * F.col("_s") / cnt) / (cnt - 1)
     return agg.select(
         *keys, "date",
-        F.round(F.col("_s") / cnt, STATS_DECIMALS).alias("avgScore"),
+        exact_ratio(F.col("_sdec"), F.col("_n").cast("decimal(20,0)")).alias("avgScore"),
         F.when(F.col("_n") > 1,
                F.round(F.sqrt(F.greatest(var, F.lit(0.0))), STATS_DECIMALS)).alias("stdDev"),
         "minScore", "maxScore",

@@ -387,7 +387,7 @@ def q_daily_stats(spark, sf):
 
 @register("describe_daily_counts", _w(_POSTS, _CLEAN) + """,
 d AS (SELECT date, count(*) AS c FROM clean GROUP BY date)
-SELECT count(c) AS nDays, round(avg(c), 6) AS meanTweets, round(stddev_samp(c), 6) AS stdTweets,
+SELECT count(c) AS nDays, """ + O.exact_avg_sql("c", 0) + """ AS meanTweets, round(stddev_samp(c), 6) AS stdTweets,
        min(c) AS minTweets, max(c) AS maxTweets FROM d""")
 def q_describe_daily_counts(spark, sf):
     return D.describe_daily_counts(_clean(spark, sf))
@@ -396,7 +396,7 @@ def q_describe_daily_counts(spark, sf):
 @register("describe_scores", _w(_DOC_SCORES) + ",\nl AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {e} AS v FROM sc_out"
     for c, e in [("neg", "neg"), ("neu", "neu"), ("pos", "pos"), ("comp", "vaderScore")]) + """)
-SELECT "column", count(v) AS "count", round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev,
+SELECT "column", count(v) AS "count", """ + O.exact_avg_sql("v") + """ AS mean, round(stddev_samp(v), 6) AS stddev,
        min(v) AS "min", max(v) AS "max" FROM l GROUP BY "column\"""")
 def q_describe_scores(spark, sf):
     return D.describe_scores(_scored_docs(spark, sf, all_scores=True)
