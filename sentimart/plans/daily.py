@@ -151,7 +151,10 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
 
     ``movies`` (``movieName`` [+ keys] [+ name_extra]) -- when omitted, the
     movies are the single-movie strings found in the data (per ``keys``).
-    ``persist`` keeps the small partial table for the two outputs.
+    ``persist`` keeps the small partial table (one row per movie string,
+    day and class) for every branch that reads it: the outputs, the movie
+    discovery and the match. Without it, column pruning makes the branches
+    differ, exchanges are not reused and posts are scored once per branch.
     """
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     keys = list(keys or [])
@@ -185,7 +188,7 @@ def daily_summary(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     column per class (``nClass0`` ..)."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     out = daily_sentiment(raw, lexicon, modifiers, kind, thresholds, movies, match,
-                          persist=False, order=False)
+                          persist=True, order=False)
     n_classes = len(thresholds) - 1
     wide = out.counts.groupBy("movieName", "date").agg(*[
         F.sum(F.when(F.col("vaderClassifier") == float(k), F.col("nTweets"))

@@ -72,7 +72,7 @@ def _classified(spark, sf, kind="chicago", thresholds=None, extra=None):
 def _daily(spark, sf, **kw):
     lex, mods = _lex(spark)
     raw = _posts(spark, sf, with_folder="keys" in kw)
-    return PL.daily_sentiment(raw, lex, mods, persist=False, order=False, **kw)
+    return PL.daily_sentiment(raw, lex, mods, persist=True, order=False, **kw)
 
 
 def _w(*ctes: str) -> str:
@@ -587,7 +587,7 @@ GROUP BY s.date, m.name"""
 def q_run_all(spark, sf):
     lex, mods = _lex(spark)
     raw = _posts(spark, sf, with_folder=True)
-    folders = PL.daily_sentiment(raw, lex, mods, keys=["folder"], persist=False, order=False)
+    folders = PL.daily_sentiment(raw, lex, mods, keys=["folder"], persist=True, order=False)
     chunks = PL.chunked_daily(raw.drop("folder"), lex, mods, kind="chicago")
     a = folders.stats.drop("folder").withColumn("dataset", F.lit("folders"))
     b = chunks.stats.drop("chunkId").withColumn("dataset", F.lit("chunks"))
