@@ -177,8 +177,8 @@ def clean_sql(kind: str = "chicago") -> str:
 
 
 def class_case(col: str, splits: list[float]) -> str:
-    parts = [f"WHEN {col} < {_f(u)} THEN {float(k)!r}" for k, u in enumerate(splits[1:-1])]
-    return f"CASE WHEN {col} IS NULL THEN NULL {' '.join(parts)} ELSE {float(len(splits) - 2)!r} END"
+    parts = [f"WHEN {col} < {_f(u)} THEN {_f(k)}" for k, u in enumerate(splits[1:-1])]
+    return f"CASE WHEN {col} IS NULL THEN NULL {' '.join(parts)} ELSE {_f(len(splits) - 2)} END"
 
 
 def classified_ctes(kind: str = "chicago", splits: list[float] | None = None,
