@@ -109,13 +109,21 @@ def seed_modifier_rows() -> list[tuple[str, str, float]]:
     return rows
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(float(v)) + "D" if isinstance(v, float) else str(v)
+
+
 def _inline(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
-    """Small literal table evaluated in the JVM (no Python RDD behind it)."""
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                          for v, f in zip(row, schema.fields)]) for row in rows]
-    if not structs:
+    """Small literal table as one SQL ``VALUES`` relation (a local relation in
+    the JVM: no Python RDD behind it, one call to build)."""
+    if not rows:
         return spark.createDataFrame([], schema)
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f.name for f in schema.fields)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
 def lexicon_frame(spark: SparkSession, rows: list[tuple[str, float]] | None = None) -> DataFrame:

@@ -148,7 +148,7 @@ def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin to ``min_partitions`` when the input has fewer partitions."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df._jdf.rdd().getNumPartitions() < target:
         return df.repartition(target)
     return df
 
