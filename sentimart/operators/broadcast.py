@@ -1,10 +1,11 @@
 """Broadcast behind a size check.
 
-A side is broadcast only when its row count is known to be under a bound;
-otherwise the join is left to the planner (sort-merge or shuffled hash
-join, with AQE free to switch at run time). Only small dimension-like
-tables (word lists, movie names) go through here, so counting them is a
-cheap job.
+A side is broadcast only when its size is proven small: first by the
+optimizer's size estimate for the plan (an upper bound for literal and
+aggregated small tables, free to compute), else by counting its rows (reads
+at most ``max_rows + 1``). Otherwise the join is left to the planner
+(sort-merge or shuffled hash join, with AQE free to switch at run time).
+Only small dimension-like tables (word lists, movie names) go through here.
 """
 
 from __future__ import annotations
@@ -13,8 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Word lists run to tens of thousands of entries; a few hundred thousand
-# short rows is still well under the default 8 GiB broadcast limit.
+# short rows is still far under the default 8 GiB broadcast limit.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (what Spark's own broadcast
+    threshold compares against)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -22,9 +31,26 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _only_local_leaves(df: DataFrame) -> bool:
+    """True when every leaf of the optimized plan is literal in-memory data,
+    whose size estimate is exact (file sizes are not: compressed files grow
+    when decoded)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = leaves.length()
+    return n > 0 and all(leaves.apply(i).nodeName() in ("LocalRelation", "OneRowRelation")
+                         for i in range(n))
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+             max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    if _only_local_leaves(df) and estimated_bytes(df) <= max_bytes:
+        return True
+    return row_count_at_most(df, max_rows)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                       small: bool | None = None) -> DataFrame:
     """``broadcast(df)`` when it is proven small, else ``df`` unchanged."""
     if small is None:
-        small = row_count_at_most(df, max_rows)
+        small = is_small(df, max_rows)
     return F.broadcast(df) if small else df

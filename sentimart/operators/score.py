@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
 from sentimart.functions.text import (count_caps_tokens, count_char, is_upper, split_tokens,
                                      stripped_text)
-from sentimart.operators.broadcast import MAX_BROADCAST_ROWS, broadcast_checked, row_count_at_most
+from sentimart.operators.broadcast import broadcast_checked, is_small
 
 VALENCE_DECIMAL = "decimal(24,12)"
 ID_COL = "_sid"
@@ -108,7 +108,7 @@ def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
         cap_diff.alias("_cap"),
         F.posexplode(zipped).alias("_pos", "t"),
     ).where(F.col("_pos") < F.greatest(F.col("_n_tok"), F.lit(1)))
-    small = row_count_at_most(words, MAX_BROADCAST_ROWS)
+    small = is_small(words)
     # One broadcast of the word table serves all four lookups: the four
     # build sides are the same plan, so the exchange is reused.
     wb = broadcast_checked(words, small=small)

@@ -171,11 +171,11 @@ def q_folder_column(spark, sf):
 def q_empty_files(spark, sf):
     root = _stage_folders(spark, sf)
     # one zero-length file per folder, as left behind by an interrupted copy
-    folders = [r.folder for r in S.read_folders(spark, root).select("folder").distinct().collect()]
+    dirs = {r.path.rsplit("/", 1)[0] for r in S.list_files(spark, root).select("path").collect()}
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in folders:
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{f}/empty-0.json.gz")
+    for d in sorted(dirs):
+        p = jvm.org.apache.hadoop.fs.Path(f"{d}/empty-0.json.gz")
         p.getFileSystem(conf).create(p, True).close()
     return S.file_report(spark, root)
 

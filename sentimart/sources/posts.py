@@ -68,9 +68,10 @@ def read_folders(spark: SparkSession, root: str, glob: str | None = GZ_GLOB,
 
 
 def folder_of(path, depth: int = 1):
-    """Name of the folder ``depth`` levels above the file."""
+    """Name of the folder ``depth`` levels above the file (a ``key=`` prefix,
+    as written by partitioned writers, is dropped)."""
     parts = F.split(path, "/")
-    return F.element_at(parts, F.lit(-1 - depth))
+    return F.regexp_replace(F.element_at(parts, F.lit(-1 - depth)), r"^[^=]*=", "")
 
 
 def list_files(spark: SparkSession, root: str, glob: str | None = GZ_GLOB) -> DataFrame:
