@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
 from sentimart.functions.text import (count_caps_tokens, count_char, is_upper, split_tokens,
-                                     stripped_text)
+                                     strip_punct_if_word)
 from sentimart.operators.broadcast import broadcast_checked, is_small
 
 VALENCE_DECIMAL = "decimal(24,12)"
@@ -72,63 +72,85 @@ def _context_valence(v: Column, ctx: Column, in_lex: Column, boost: Column, neg:
     return F.when(ctx.isNotNull() & ~F.coalesce(in_lex, F.lit(False)), applied).otherwise(v)
 
 
+def _norm_token(tok: Column) -> Column:
+    """Lower-cased token with surrounding punctuation stripped (rule 1)."""
+    return F.lower(strip_punct_if_word(tok))
+
+
 def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
                    words: DataFrame, params: ScorerParams = DEFAULT_PARAMS) -> DataFrame:
     """Exploded lexicon hits (plus one sentinel row per text) with final valences.
 
-    No lambdas: the text is stripped by one regex pass, tokens come from
-    ``split``, the context tokens from the same array shifted by 1-3
-    positions (``concat`` with leading NULLs), and ``arrays_zip`` +
-    ``posexplode`` turn them into rows -- all native, code-generated
-    expressions.
+    The text is split once; the raw token array and three copies shifted by
+    1-3 positions (``concat`` with leading NULLs) are zipped and exploded, so
+    each row carries its three preceding tokens (no window, no sort). Tokens
+    are stripped and lower-cased per row after the explode (code-generated
+    expressions); context tokens only for lexicon hits. Per-text values
+    (token count, all-caps count, "!"/"?" counts, first "but") are computed
+    before the explode; the "but" lookup runs only for texts that contain
+    the letters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stripped = stripped_text(text)
+    toks = F.col("_toks")
+    but_pos = F.when(F.col("_has_but"),
+                     F.array_position(F.transform(toks, _norm_token), params.but_token))
     prep = df.select(
         F.col(id_col).alias(ID_COL), *keep,
-        split_tokens(stripped).alias("_toks"),
-        split_tokens(F.lower(stripped)).alias("_ltoks"),
+        split_tokens(text).alias("_toks"),
+        text.rlike("(?i)" + params.but_token).alias("_has_but"),
         count_char(text, "!").alias("_n_excl"),
         count_char(text, "?").alias("_n_q"),
         count_caps_tokens(text).alias("_n_up"),
     )
     nul = F.lit(None).cast("string")
-    lt = F.col("_ltoks")
     zipped = F.arrays_zip(
-        F.col("_toks").alias("w"), lt.alias("lw"),
-        F.concat(F.array(nul), lt).alias("l1"),
-        F.concat(F.array(nul, nul), lt).alias("l2"),
-        F.concat(F.array(nul, nul, nul), lt).alias("l3"),
+        toks.alias("w"),
+        F.concat(F.array(nul), toks).alias("c1"),
+        F.concat(F.array(nul, nul), toks).alias("c2"),
+        F.concat(F.array(nul, nul, nul), toks).alias("c3"),
     )
-    n_tok = F.size("_toks")
+    n_tok = F.size(toks)
     cap_diff = (F.col("_n_up") > 0) & (F.col("_n_up") < n_tok)
-    exploded = prep.select(
-        ID_COL, *keep, n_tok.alias("_n_tok"), "_n_excl", "_n_q",
-        F.array_position(lt, params.but_token).alias("_but"),
+    # Per-text values in their own projection, below the explode: in the
+    # same projection as the generator they would be evaluated above it and
+    # every exploded row would carry the whole token array.
+    per_text = prep.select(
+        ID_COL, *keep, "_toks", n_tok.alias("_n_tok"), "_n_excl", "_n_q",
+        F.coalesce(but_pos, F.lit(0)).alias("_but"),
         cap_diff.alias("_cap"),
+    )
+    exploded = per_text.select(
+        ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_but", "_cap",
         F.posexplode(zipped).alias("_pos", "t"),
     ).where(F.col("_pos") < F.greatest(F.col("_n_tok"), F.lit(1)))
+    exploded = exploded.withColumn("_lw", _norm_token(F.col("t.w")))
     small = is_small(words)
     # One broadcast of the word table serves all four lookups: the four
     # build sides are the same plan, so the exchange is reused.
-    wb = broadcast_checked(words, small=small)
-    hits = (exploded.join(wb.alias("w0"), F.col("t.lw") == F.col("w0.token"), "left")
-                    .where(F.col("w0.valence").isNotNull() | (F.col("_pos") == 0)))
+    # All lookup values travel in one struct, so column pruning leaves the
+    # four build sides identical and the broadcast exchange is built once.
+    wb = broadcast_checked(words.select(
+        "token", F.struct("valence", "in_lexicon", "boost", "negation").alias("i")), small=small)
+    hits = (exploded.join(wb.alias("w0"), F.col("_lw") == F.col("w0.token"), "left")
+                    .where(F.col("w0.i.valence").isNotNull() | (F.col("_pos") == 0)))
+    # context tokens are normalised for hit rows only
+    hits = hits.select("*", *[_norm_token(F.col(f"t.c{d}")).alias(f"_c{d}") for d in (1, 2, 3)])
     for d in (1, 2, 3):
-        hits = hits.join(wb.alias(f"w{d}"), F.col(f"t.l{d}") == F.col(f"w{d}.token"), "left")
+        hits = hits.join(wb.alias(f"w{d}"), F.col(f"_c{d}") == F.col(f"w{d}.token"), "left")
 
     # Each rule is one projection over the previous value column, so the
     # expression stays linear in size (inlining the steps would repeat the
     # value expression three times per step).
     cols = [ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_pos", "_but"]
-    v = F.col("w0.valence")
+    v = F.col("w0.i.valence")
     caps = F.when(F.col("_cap") & is_upper(F.col("t.w")),
                   F.when(v > 0, v + F.lit(params.caps_increment))
                    .otherwise(v - F.lit(params.caps_increment))).otherwise(v)
     ctx_cols = []
     for d in (1, 2, 3):
-        ctx_cols += [F.col(f"t.l{d}").alias(f"_l{d}"), F.col(f"w{d}.in_lexicon").alias(f"_lex{d}"),
-                     F.col(f"w{d}.boost").alias(f"_boost{d}"), F.col(f"w{d}.negation").alias(f"_neg{d}")]
+        ctx_cols += [F.col(f"_c{d}").alias(f"_l{d}"), F.col(f"w{d}.i.in_lexicon").alias(f"_lex{d}"),
+                     F.col(f"w{d}.i.boost").alias(f"_boost{d}"),
+                     F.col(f"w{d}.i.negation").alias(f"_neg{d}")]
     steps = hits.select(*cols, *ctx_cols, caps.alias("_v"))
     damps = {1: 1.0, 2: params.damp_distance_2, 3: params.damp_distance_3}
     for d in (1, 2, 3):
