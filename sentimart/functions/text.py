@@ -24,33 +24,20 @@ def strip_punct_if_word(tok: Column) -> Column:
     return F.when(F.length(stripped) <= 2, tok).otherwise(stripped)
 
 
-# Whole-text form of strip_punct_if_word: a whitespace-delimited token whose
-# core (first to last non-punctuation character) has 3 or more characters
-# loses its leading and trailing punctuation; shorter cores keep the token
-# as it is. One regex pass over the text instead of one call per token.
-_P = PUNCT_CLASS
-_NP = r"[^\s!-/:-@\[-`{-~]"
-STRIP_TOKENS_PATTERN = (
-    rf"(?<!\S){_P}+({_NP}\S+{_NP}){_P}*(?!\S)"
-    rf"|(?<!\S)({_NP}\S+{_NP}){_P}+(?!\S)"
-)
 # A token with an upper-case letter and no lower-case one (letters are never
 # punctuation, so stripping does not change the answer).
 CAPS_TOKEN_PATTERN = r"(?<!\S)[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(?!\S)"
 
 
-def stripped_text(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), STRIP_TOKENS_PATTERN, "$1$2")
-
-
 def split_tokens(text: Column) -> Column:
     """Whitespace tokens of a text, empty strings removed (no lambdas)."""
     return F.array_remove(F.split(text, WHITESPACE), "")
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens of the whole text, empties removed, punctuation stripped."""
-    return split_tokens(stripped_text(text))
+    """Whitespace tokens of the whole text, empties removed, punctuation
+    stripped (array form; the scorer strips per row after exploding)."""
+    return F.transform(split_tokens(F.coalesce(text, F.lit(""))), strip_punct_if_word)
 
 
 def count_caps_tokens(text: Column) -> Column:

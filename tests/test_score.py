@@ -95,3 +95,18 @@ def test_plan_has_no_python_and_no_nested_loop(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_caps_count_and_tokens_match_per_token_rules(spark):
+    from brute import _isupper, _strip
+    from sentimart.functions.text import count_caps_tokens, tokens
+    cases = ["great!!", ":)", "!!!", "a!", "don't", "...hello...", "'ok'", "", "  lead trail  ",
+             "(a)", "(abc)", "GOOD day", "STRAßE ok", "A1 b", "!!WOW!! x", "e.g.", "--a-b--",
+             "¡hola!", "é!!", "tab\there", "«quoted»", "ÉTÉ été", "I AM"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    rows = df.select("t", tokens(F.col("t")).alias("toks"),
+                     count_caps_tokens(F.col("t")).alias("nup")).collect()
+    for r in rows:
+        raw = [t for t in r.t.split() if t]
+        assert r.toks == [_strip(t) for t in raw], r.t
+        assert r.nup == sum(_isupper(t) for t in raw), r.t
