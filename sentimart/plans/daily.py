@@ -32,6 +32,7 @@ from sentimart.operators.match import match_names, movie_chunks, unique_movies
 from sentimart.operators.score import score_text
 from sentimart.schema import (COUNTS_COLUMNS, STATS_COLUMNS, STATS_DECIMALS,
                               THRESHOLDS_DEFAULT)
+from sentimart.session import shared_dir
 
 SCORE_DECIMAL = "decimal(10,4)"
 
@@ -47,6 +48,27 @@ class DailyOutputs:
         self.partial.unpersist()
 
 
+def materialize(partial: DataFrame, how: str | None) -> DataFrame:
+    """Keep the partial table for the several branches that read it.
+
+    ``table`` (default): write it as Parquet to a fresh folder under
+    ``spark.checkpoint.dir`` and read it back -- one scoring job, lineage
+    cut (a lost executor never forces re-scoring), and every later plan
+    starts from a small scan. ``persist``: cache it (MEMORY_AND_DISK).
+    ``None``: leave it lazy (each branch recomputes it).
+    """
+    if how == "table":
+        spark = partial.sparkSession
+        path = shared_dir(spark, "partial")
+        partial.write.mode("overwrite").parquet(path)
+        return spark.read.schema(partial.schema).parquet(path)
+    if how == "persist":
+        return partial.persist(StorageLevel.MEMORY_AND_DISK)
+    if how is None:
+        return partial
+    raise ValueError(f"materialize must be 'table', 'persist' or None, got {how!r}")
+
+
 def scored_posts(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                  kind: str = "chicago", thresholds: list[float] | None = None,
                  lang: str = "en", extra_keys: list[str] | None = None,
@@ -146,23 +168,26 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                     kind: str = "chicago", thresholds: list[float] | None = None,
                     movies: DataFrame | None = None, match: str = "like",
                     keys: list[str] | None = None, name_extra: list[str] | None = None,
-                    lang: str = "en", persist: bool = True, order: bool = True) -> DailyOutputs:
+                    lang: str = "en", persist: bool | str | None = True,
+                    order: bool = True) -> DailyOutputs:
     """C4/C5 (flagship): load, score, classify, movies found or given, both outputs.
 
     ``movies`` (``movieName`` [+ keys] [+ name_extra]) -- when omitted, the
     movies are the single-movie strings found in the data (per ``keys``).
     ``persist`` keeps the small partial table (one row per movie string,
     day and class) for every branch that reads it: the outputs, the movie
-    discovery and the match. Without it, column pruning makes the branches
-    differ, exchanges are not reused and posts are scored once per branch.
+    discovery and the match (``True`` or ``"table"``: written to the shared
+    checkpoint folder; ``"persist"``: cached; ``False``: lazy). Without it,
+    column pruning makes the branches differ, exchanges are not reused and
+    posts are scored once per branch.
     """
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     keys = list(keys or [])
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds, lang,
                               extra_keys=keys, keep_arrays=(match == "exact"))
     partial = partial_aggregate(classified, keys + (["tags"] if match == "exact" else []))
-    if persist:
-        partial = partial.persist(StorageLevel.MEMORY_AND_DISK)
+    how = "table" if persist is True else (persist or None)
+    partial = materialize(partial, how)
     if movies is None:
         found = partial.select(*keys, "movieName").distinct()
         if keys:
@@ -204,7 +229,7 @@ def chunked_daily(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     Without a list, movies are found and chunked first (C6-C8)."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds)
-    partial = partial_aggregate(classified, []).persist(StorageLevel.MEMORY_AND_DISK)
+    partial = materialize(partial_aggregate(classified, []), "table")
     if movie_list is None:
         movie_list = movie_chunks(unique_movies(partial.select("movieName").distinct()))
     counts, stats, mapping = movie_outputs(partial, movie_list, [], match,
