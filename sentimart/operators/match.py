@@ -8,7 +8,7 @@ and a post tagged with two movies counts under both.
 Matching all posts against all names is a theta join. Instead of a nested
 loop (posts x names), ``match_names`` works on the DISTINCT movie strings
 (small: one per rule combination, not per post) and uses an exact n-gram
-index: every name is keyed by a k-character literal piece of its pattern,
+index: every name is keyed by a k-character (k = 6) literal piece of its pattern,
 every string emits its substrings of length 0..k, the two meet in an
 equi-join and the real predicate confirms each candidate. A LIKE match
 implies the key occurs in the string, so no match is lost; names shorter
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sentimart.schema import CHUNK_SIZE
 
 MATCH_MODES = ("like", "contains", "exact")
-GRAM = 3
+GRAM = 6
 
 
 def strip_markup(s: Column) -> Column:

@@ -54,17 +54,19 @@ def _brute(strings, names, mode):
     return out
 
 
-@pytest.mark.parametrize("mode", ["like", "contains"])
-def test_gram_join_equals_brute_force(spark, mode):
-    rng = random.Random(5)
-    alphabet = "abc"
-    names = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5)))
-                    for _ in range(60)})
+@pytest.mark.parametrize("mode,max_len", [("like", 5), ("contains", 5), ("like", 9),
+                                          ("contains", 9)])
+def test_gram_join_equals_brute_force(spark, mode, max_len):
+    rng = random.Random(5 + max_len)
+    alphabet = "ab" if max_len > 5 else "abc"
+    names = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, max_len)))
+                    for _ in range(80)})
     if mode == "like":
-        names += ["a_b", "ab%c", "%", "_", "c_"]
-    strings = sorted({"[" + ", ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7)))
+        names += ["a_b", "ab%c", "%", "_", "c_", "abab_abab", "ba%ababab"]
+    strings = sorted({"[" + ", ".join("".join(rng.choice(alphabet)
+                                               for _ in range(rng.randint(1, max_len + 3)))
                                        for _ in range(rng.randint(0, 2))) + "]"
-                      for _ in range(150)})
+                      for _ in range(200)})
     sdf = spark.createDataFrame([(s,) for s in strings], "movieName string")
     ndf = spark.createDataFrame([(n,) for n in names], "movieName string")
     got = {(r.movieName, r.name) for r in match_names(sdf, ndf, match=mode).collect()}
