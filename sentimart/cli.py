@@ -1,9 +1,11 @@
 """Command-line jobs for ``spark-submit``.
 
-    spark-submit -m sentimart.cli daily  --data-path ROOT/ --out OUT [--by-folder]
-                 [--thresholds -1 -0.333 0.333 1] [--movie-list LIST [--chunk N]]
+    zip -r sentimart.zip sentimart
+    spark-submit --py-files sentimart.zip sentimart/cli.py daily --data-path ROOT/ --out OUT
+                 [--by-folder] [--thresholds -1 -0.333 0.333 1] [--movie-list LIST [--chunk N]]
                  [--lexicon lexicon.tsv] [--modifiers modifiers.tsv] [--kind gnip]
-    spark-submit -m sentimart.cli chunks --data-path ROOT/ --out LIST [--chunk-size 10]
+    spark-submit --py-files sentimart.zip sentimart/cli.py chunks --data-path ROOT/ --out LIST
+                 [--chunk-size 10]
 
 ``daily`` writes ``OUT/counts/daily`` and ``OUT/stats/daily`` (CSV with
 header; partitioned by ``folder`` with ``--by-folder``, by ``chunkId``
@@ -15,9 +17,13 @@ all folders / chunks.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
+if __package__ in (None, ""):  # run as a script by spark-submit
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from pyspark.sql import SparkSession
 
 from sentimart.functions.lexicon import (lexicon_frame, load_lexicon, load_modifiers,
