@@ -77,6 +77,10 @@ def scored_posts(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     the date, ``vaderScore`` and ``vaderClassifier`` (plus ``extra_keys``)."""
     extra_keys = list(extra_keys or [])
     posts = clean_posts(raw, kind=kind, lang=lang, keep_arrays=keep_arrays, extra=extra_keys)
+    if keep_arrays and kind == "gnip":
+        # gnip folders name movies by the rule values, so exact matching
+        # compares names with the value array
+        posts = posts.withColumn("tags", F.col("values"))
     keep = ["movieName", "date", *extra_keys] + (["tags"] if keep_arrays else [])
     scored = score_text(posts, lexicon, modifiers, text_col="body", keep=keep)
     return classify(scored, thresholds=thresholds or THRESHOLDS_DEFAULT)

@@ -38,7 +38,7 @@ def read_posts(spark: SparkSession, paths: str | list[str], glob: str | None = G
     paths = [paths] if isinstance(paths, str) else list(paths)
     mode = "DROPMALFORMED" if drop_malformed else "PERMISSIVE"
     df = _reader(spark, POST_SCHEMA, mode, glob, recursive).json(paths)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+    if min_partitions and df._jdf.rdd().getNumPartitions() < min_partitions:
         df = df.repartition(min_partitions)
     return df
 

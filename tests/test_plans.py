@@ -96,3 +96,22 @@ def test_flagship_plan_shape(spark):
     # posts were scored once into the partial table; the output plan only
     # reads that table (no explode, no scan of the posts)
     assert "posexplode" not in plan and "documents.parquet" not in plan
+
+
+@pytest.mark.parametrize("kind", ["chicago", "gnip"])
+def test_exact_mode_counts_whole_names_only(spark, kind):
+    lex, mods = fixture_lexicon(spark)
+    raw = fixture_posts(spark, SF_SMALL)
+    out = PL.daily_sentiment(raw, lex, mods, kind=kind, match="exact", persist=False)
+    classified = PL.scored_posts(raw, lex, mods, kind=kind, keep_arrays=True)
+    arrays = [r.tags for r in classified.select("tags").collect()]
+    names = {r.movieName for r in out.counts.select("movieName").distinct().collect()}
+    total = Counter()
+    for arr in arrays:
+        for n in set(arr or []):
+            if n in names:
+                total[n] += 1
+    got = Counter()
+    for r in out.counts.collect():
+        got[r.movieName] += r.nTweets
+    assert got == total and names
