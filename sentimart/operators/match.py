@@ -95,7 +95,7 @@ def match_names(strings: DataFrame, names: DataFrame, match: str = "like",
                 string_col: str = "movieName", name_col: str = "movieName",
                 tags_col: str | None = None, k: int = GRAM) -> DataFrame:
     """Pairs (``string_col`` -> ``name``) for every distinct string and every
-    name that selects it. ``strings`` should already be distinct.
+    name that selects it. ``strings`` must already be distinct.
 
     ``exact`` compares whole rule tags with names (needs ``tags_col``, the
     rule array): different semantics, an opt-in equi-join.
@@ -108,7 +108,7 @@ def match_names(strings: DataFrame, names: DataFrame, match: str = "like",
             raise ValueError("exact matching needs the rule array column (tags_col)")
         ex = s.select("_str", F.explode(F.array_distinct("_tags")).alias("_name"))
         return ex.join(nm, "_name").select(F.col("_str").alias(string_col),
-                                           F.col("_name").alias("name")).distinct()
+                                           F.col("_name").alias("name"))
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}, got {match!r}")
     keyed = nm.select("_name", _literal_key(F.col("_name"), match, k).alias("_key"))
@@ -118,9 +118,9 @@ def match_names(strings: DataFrame, names: DataFrame, match: str = "like",
         ok = F.like(F.col("_str"), like_pattern(F.col("_name")))
     else:
         ok = F.col("_str").contains(F.col("_name"))
-    return (cand.where(ok)
-                .select(F.col("_str").alias(string_col), F.col("_name").alias("name"))
-                .distinct())
+    # (string, name) pairs are already unique: a string's grams are distinct
+    # and every name has exactly one key
+    return cand.where(ok).select(F.col("_str").alias(string_col), F.col("_name").alias("name"))
 
 
 def ordered_row_number(df: DataFrame, order_col: str, out_col: str = "rn",

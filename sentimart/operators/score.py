@@ -45,13 +45,20 @@ ID_COL = "_sid"
 
 def word_table(lexicon: DataFrame, modifiers: DataFrame) -> DataFrame:
     """One row per token: valence (NULL for boosters and misses), lexicon
-    membership, booster scalar and negation flag."""
-    lex = lexicon.groupBy(F.lower("token").alias("token")).agg(F.max("valence").alias("lex_valence"))
-    mods = modifiers.groupBy(F.lower("token").alias("token")).agg(
-        F.max(F.when(F.col("kind") == "booster", F.col("scalar"))).alias("boost"),
-        F.max(F.col("kind") == "negation").alias("negation"),
-    )
-    words = lex.join(mods, "token", "full_outer")
+    membership, booster scalar and negation flag.
+
+    Both inputs are unioned and grouped once (one small shuffle).
+    """
+    nul = F.lit(None).cast("double")
+    lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").alias("lex_valence"),
+                         nul.alias("boost"), F.lit(False).alias("negation"))
+    mods = modifiers.select(
+        F.lower("token").alias("token"), nul.alias("lex_valence"),
+        F.when(F.col("kind") == "booster", F.col("scalar")).alias("boost"),
+        (F.col("kind") == "negation").alias("negation"))
+    words = lex.unionByName(mods).groupBy("token").agg(
+        F.max("lex_valence").alias("lex_valence"), F.max("boost").alias("boost"),
+        F.max("negation").alias("negation"))
     return words.select(
         "token",
         # a booster word is never scored itself
