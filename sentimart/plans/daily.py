@@ -98,10 +98,14 @@ def partial_aggregate(classified: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _stats_from_partial(grouped, keys: list[str]) -> DataFrame:
+def _stats_from_partial(grouped, keys: list[str], extra: dict | None = None) -> DataFrame:
+    """Merge partial rows into the statistics; ``extra`` adds further
+    aggregates (name -> expression) computed in the same pass."""
     n = F.sum("n")
+    extra = dict(extra or {})
     agg = grouped.agg(n.alias("_n"), F.sum("s").alias("_sdec"), F.sum("sq").cast("double").alias("_sq"),
-                      F.min("mn").alias("minScore"), F.max("mx").alias("maxScore"))
+                      F.min("mn").alias("minScore"), F.max("mx").alias("maxScore"),
+                      *[e.alias(k) for k, e in extra.items()])
     agg = agg.withColumn("_s", F.col("_sdec").cast("double"))
     cnt = F.col("_n").cast("double")
     var = (F.col("_sq") - F.col("_s") * F.col("_s") / cnt) / (cnt - 1)
@@ -113,9 +117,25 @@ def _stats_from_partial(grouped, keys: list[str]) -> DataFrame:
         "minScore", "maxScore",
         F.col("_n").alias("totalTweets"),
         F.col("name").alias("movieName"),
+        *extra.keys(),
     )
 
 
+def movie_summary(partial: DataFrame, names: DataFrame, n_classes: int,
+                  match: str = "like") -> DataFrame:
+    """Statistics and one count column per class (``nClass0`` ..) per movie
+    and day, in one aggregate over the joined partial rows."""
+    tags = "tags" if match == "exact" else None
+    strings = partial.select("movieName", *([tags] if tags else [])).distinct()
+    mapping = match_names(strings, names.select("movieName"), match=match, tags_col=tags)
+    part = partial.drop("tags") if tags else partial
+    joined = part.join(mapping, "movieName")
+    per_class = {f"nClass{k}": F.sum(F.when(F.col("vaderClassifier") == float(k), F.col("n"))
+                                      .otherwise(F.lit(0)))
+                 for k in range(n_classes)}
+    return _stats_from_partial(joined.groupBy("name", "date"), [], per_class)
+
+
 def movie_outputs(partial: DataFrame, names: DataFrame, keys: list[str] | None = None,
                   match: str = "like", order: bool = True,
                   name_extra: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,15 +234,15 @@ def daily_summary(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                   kind: str = "chicago", thresholds: list[float] | None = None,
                   movies: DataFrame | None = None, match: str = "like") -> DataFrame:
     """Both outputs in one table per (movie, day): statistics plus one count
-    column per class (``nClass0`` ..)."""
+    column per class (``nClass0`` ..), from a single aggregate."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
-    out = daily_sentiment(raw, lexicon, modifiers, kind, thresholds, movies, match,
-                          persist=True, order=False)
-    n_classes = len(thresholds) - 1
-    wide = out.counts.groupBy("movieName", "date").agg(*[
-        F.sum(F.when(F.col("vaderClassifier") == float(k), F.col("nTweets"))
-              .otherwise(F.lit(0))).alias(f"nClass{k}") for k in range(n_classes)])
-    return out.stats.join(wide, ["movieName", "date"])
+    classified = scored_posts(raw, lexicon, modifiers, kind, thresholds,
+                              keep_arrays=(match == "exact"))
+    partial = partial_aggregate(classified, ["tags"] if match == "exact" else [])
+    partial = materialize(partial, "table")
+    if movies is None:
+        movies = unique_movies(partial.select("movieName").distinct())
+    return movie_summary(partial, movies, len(thresholds) - 1, match)
 
 
 def chunked_daily(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
