@@ -47,6 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder every executor can read "
+                "(shared storage); a machine-local folder does not work on a cluster")
         configured = tempfile.mkdtemp(prefix="sentimart-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
