@@ -41,3 +41,14 @@ def test_matches_oracle(spark, key):
     assert sorted(rel.columns) == cols
     exp = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert got == exp
+
+
+def test_no_query_plan_has_nested_loops_or_python(spark):
+    bad = {}
+    for key, fn in E.queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        hits = [w for w in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
+                            "ArrowEvalPython") if w in plan]
+        if hits:
+            bad[key] = hits
+    assert bad == {}
