@@ -131,7 +131,14 @@ def ordered_row_number(df: DataFrame, order_col: str, out_col: str = "rn",
     turn the counts (one row per partition) into offsets, add the offset to
     the row number inside each partition.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if partitions is None:
+        # about 64 MB per range partition by the optimizer's estimate (a
+        # speed choice only: any partition count gives the same numbers)
+        from sentimart.operators.broadcast import estimated_bytes
+        est = estimated_bytes(df)
+        partitions = max(1, min(df.sparkSession.sparkContext.defaultParallelism,
+                                -(-est // (64 * 1024 * 1024))))
+    n = partitions
     ranged = (df.repartitionByRange(n, F.col(order_col))
                 .sortWithinPartitions(order_col)
                 .withColumn("_pid", F.spark_partition_id()))

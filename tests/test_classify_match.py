@@ -107,3 +107,12 @@ def test_chunks_23_names(spark):
     order = [r.movieName for r in sorted(ch, key=lambda r: r.movieName)]
     assert [r.chunkId for r in sorted(ch, key=lambda r: r.movieName)] == [i // 10 for i in range(23)]
     assert order == sorted(order)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_ordered_row_number_any_partition_count(spark, parts):
+    from sentimart.operators.match import ordered_row_number
+    names = spark.createDataFrame([(f"n{i:03d}",) for i in range(57)], "movieName string")
+    got = sorted((r.movieName, r.rn) for r in
+                 ordered_row_number(names, "movieName", "rn", partitions=parts).collect())
+    assert [rn for _, rn in got] == list(range(1, 58))
