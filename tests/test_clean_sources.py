@@ -55,7 +55,7 @@ def test_clean_rules(spark, tmp_path):
 
 def test_kind_from_path():
     assert kind_from_path("/data/twitter-gnip/downloads/") == "gnip"
-    assert kind_from_path("/data/twitter-chicago/DeerSet9/") == "chicago"
+    assert kind_from_path("/data/twitter-chicago/set9/") == "chicago"
     import pytest
     with pytest.raises(ValueError):
         kind_from_path("/data/other/")
