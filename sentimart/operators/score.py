@@ -226,7 +226,11 @@ def score_text(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     rows = token_valences(df, text_col, id_col, [c for c in keep if c != ID_COL], words, params)
     vd = F.col("_v")
     one = F.lit(1).cast("decimal(1,0)")
-    agg = rows.groupBy(ID_COL, *[c for c in keep if c != ID_COL], "_n_tok", "_n_excl", "_n_q").agg(
+    # Grouped by the post id alone; per-post columns are constant within a
+    # post and ride along as max() (a narrow hash key, deterministic).
+    carried = [c for c in keep if c != ID_COL] + ["_n_tok", "_n_excl", "_n_q"]
+    agg = rows.groupBy(ID_COL).agg(
+        *[F.max(c).alias(c) for c in carried],
         F.sum(vd).alias("_s"),
         F.sum(F.when(vd > 0, vd + one)).alias("_ps"),
         F.sum(F.when(vd < 0, vd - one)).alias("_ns"),
