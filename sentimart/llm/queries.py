@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentimart.llm import quality, simhash
+from sentimart.llm import (bpe, embed, lm, mixing, quality, sharding, simhash, substring, tokens,
+                           urls)
 from sentimart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,126 @@ def op8_quality(spark, sf):
     r = quality.judge(table(spark, sf, "documents"), ["doc_id"])
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept")
+
+
+def _ranks(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.share_ranks(spark, path), public_tokenizers.PATTERN
+
+
+@register("op2_sharding")
+def op2_sharding(spark, sf):
+    r = sharding.shard(table(spark, sf, "documents"))
+    return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op3_token_counts")
+def op3_token_counts(spark, sf):
+    """Three edits a document, derived from it: a deletion in the first
+    third, an insertion in the middle, a replacement near the end."""
+    n = F.col("n")
+    edits = F.array(
+        F.struct((n / 3).cast("int").alias("pos"), F.lit(9).alias("n_del"), F.lit("").alias("ins")),
+        F.struct((n / 2).cast("int").alias("pos"), F.lit(0).alias("n_del"),
+                 F.concat(F.lit(" (rev. "), F.col("doc_id").cast("string"),
+                          F.lit(")\n\nIt's 2024  now")).alias("ins")),
+        F.struct((n - 12).alias("pos"), F.lit(3).alias("n_del"), F.lit("é’ll").alias("ins")))
+    docs = (table(spark, sf, "documents")
+            .select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+            .select("doc_id", "text", edits.alias("edits")))
+    r = tokens.count_after_edits(docs, *_ranks(spark))
+    return r.select("doc_id", F.lit(3).cast("long").alias("n_edits"),
+                    F.col("counts.tokens_before").alias("tokens_before"),
+                    F.col("counts.tokens_after").alias("tokens_after"),
+                    F.col("counts.chars_recut").alias("chars_recut"))
+
+
+_MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS}) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, 2.0 * source_size::DOUBLE AS cap,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][
+           CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w
+  FROM s),
+o AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+         coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST
+                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
+  FROM w),
+l AS (SELECT max(CASE WHEN (total - full_) / open_ * w <= cap THEN (total - full_) / open_ END) AS level
+      FROM o),
+t AS (SELECT source, source_size, coalesce(least(cap, level * w), cap) AS target FROM w, l),
+p AS (
+  SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE
+            (budget // source_size) * size
+            + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) END
+            AS BIGINT) AS taken
+FROM p"""
+
+
+@register("op4_mixing", _MIX_SQL)
+def op4_mixing(spark, sf):
+    r = mixing.mix(table(spark, sf, "documents"))
+    return r.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op5_bpe")
+def op5_bpe(spark, sf):
+    ranks, pattern = _ranks(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, pattern).select("doc_id", "token_ids")
+    back = bpe.decode(ids, ranks)
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op6_urls", r"""
+WITH p AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/'
+    WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r""")
+def op6_urls(spark, sf):
+    return urls.judge(table(spark, sf, "pages"))
+
+
+@register("op7_substring")
+def op7_substring(spark, sf):
+    r = substring.dedup_spans(table(spark, sf, "documents"))
+    return r.select("doc_id", "text", F.col("_x_removed").alias("n_removed"))
+
+
+@register("op9_lm_score")
+def op9_lm_score(spark, sf):
+    return lm.score(table(spark, sf, "documents"), *_ranks(spark))
+
+
+@register("op10_embeddings")
+def op10_embeddings(spark, sf):
+    return embed.near_duplicates(table(spark, sf, "embeddings"))
