@@ -120,5 +120,8 @@ def keep_good(docs: DataFrame,
               rules: list[tuple[str, float | None, float | None]] | None = None) -> DataFrame:
     """The rows that the rules keep, all columns as they were."""
     rows = docs.select(F.struct("*").alias(ROW), F.col("text").alias("_x_text"))
-    good = judge(rows, [ROW], "_x_text", rules).where("kept")
+    # The row number keeps the filter above the measuring projection: pushed
+    # below, it would copy the measuring expressions into each other.
+    measured = measure(rows, "_x_text", [ROW]).withColumn("_x_n", F.monotonically_increasing_id())
+    good = measured.where(~base_failed() & verdict(rules) & (F.col("_x_n") >= 0))
     return good.select(f"{ROW}.*")
