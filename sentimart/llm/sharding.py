@@ -5,17 +5,18 @@ partial partition is a tuple of ``shards`` sums. Differencing combines the
 two partial partitions with the largest spread (largest minus smallest sum),
 one in descending and one in ascending order, until one is left.
 
-Spread over the cluster in three levels, each the same algorithm:
+Spread over the cluster in levels, each the same algorithm:
 
-1. the groups are dealt to parts by hash; a task takes its part's groups in
-   blocks of bounded size, each block ending in one partial partition;
-2. the blocks of a part are combined to the part's partial partition;
-3. the parts' partial partitions (parts x shards numbers, whatever the data)
-   are combined in one task.
+1. groups smaller than the total / (shards x ``BIG``) are dealt to parts by
+   hash; a task takes its part's groups in blocks of bounded size, each block
+   ending in one partial partition, and combines the blocks;
+2. the parts' partial partitions and the larger groups (fewer than shards x
+   ``BIG``, whatever the data), each a partial partition of its own, are
+   combined in one task: at most shards x (parts + ``BIG``) numbers.
 
-The last steps combine tuples whose spread is already a few bytes, so the
-result is about as even as one group of small size; a group larger than a
-shard's even share makes its shard as large as the group.
+A part's spread is at most about one small group, so the shards come out as
+even as differencing everything at once would make them; a group larger than
+a shard's even share makes its shard as large as the group.
 
 Slots: a group's rows are counted per (text, salt of the id), so that a text
 that a third of all rows share is numbered by many tasks; prefix sums of
@@ -43,6 +44,7 @@ from sentimart.llm.common import save, shuffle_partitions
 SHARDS = 24         # contract
 ROW_BYTES = 8       # contract: bytes counted beside the text
 BLOCK = 20_000      # groups differenced at a time in a task
+BIG = 1_024         # larger than the total / (SHARDS x BIG): combined at the end
 
 
 def difference(nodes: list[list[int]]) -> tuple[list[int], list[list[int]]]:
@@ -98,34 +100,31 @@ def _part(df: pd.DataFrame, shards: int) -> pd.DataFrame:
     df = df.sort_values(["bytes", "key"], ascending=[False, True], ignore_index=True)
     size, n = df["bytes"].to_numpy(), df["n"].to_numpy()
     bucket = np.zeros(len(df), np.int64)
-    blocks, block_of = [], []
+    blocks = []
     rest = [0] * (shards - 1)
     for at in range(0, len(df), BLOCK):
         sums, places = difference([[int(x), *rest] for x in size[at:at + BLOCK]])
         bucket[at:at + BLOCK] = [p[0] for p in places]
-        block_of.append((at, min(at + BLOCK, len(df))))
         blocks.append(sums)
     _, places = difference(blocks)
-    for (lo, hi), place in zip(block_of, places):
-        bucket[lo:hi] = np.array(place)[bucket[lo:hi]]
-    out = pd.DataFrame({"key": df["key"], "part": df["part"], "bucket": bucket.astype(np.int32),
+    for at, place in zip(range(0, len(df), BLOCK), places):
+        bucket[at:at + BLOCK] = np.array(place)[bucket[at:at + BLOCK]]
+    out = pd.DataFrame({"key": df["key"], "node": df["node"], "bucket": bucket.astype(np.int32),
                         "n": n, "bytes": size})
     out["ahead"] = out.groupby("bucket")["n"].cumsum() - out["n"]
     return out
 
 
 def _whole(df: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Shard and slot offset of every bucket of every part."""
-    df = df.sort_values(["part", "bucket"], ignore_index=True)
-    parts = sorted(df["part"].unique())
-    row = {p: k for k, p in enumerate(parts)}
-    sums = np.zeros((len(parts), shards), np.int64)
-    at = df["part"].map(row).to_numpy()
+    """Shard and slot offset of every bucket of every node."""
+    df = df.sort_values(["node", "bucket"], ignore_index=True)
+    at, _ = pd.factorize(df["node"])
+    sums = np.zeros((at.max() + 1, shards), np.int64)
     sums[at, df["bucket"]] = df["bytes"]
     _, places = difference(sums.tolist())
     df["shard"] = np.array(places, np.int32)[at, df["bucket"]]
     df["base"] = df.groupby("shard")["n"].cumsum() - df["n"]
-    return df[["part", "bucket", "shard", "base"]]
+    return df[["node", "bucket", "shard", "base"]]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> DataFrame:
@@ -145,21 +144,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> Da
         F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("salt")), "shard-rows")
     salted = rows.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"),
                                              F.sum("size").alias("bytes"))
-    groups = (salted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-                    .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")))
-    local = save(groups.groupBy("part").applyInPandas(
+    groups = save(salted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")),
+                  "shard-groups")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    big = F.col("bytes") * (shards * BIG) > total
+    node = F.concat(F.lit("part:"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("string"))
+    small = groups.where(~big).withColumn("node", node).groupBy("node").applyInPandas(
         lambda df: _part(df, shards),
-        "key string, part int, bucket int, n long, bytes long, ahead long"), "shard-groups")
-    # one row per part and bucket: bounded by parts x shards
-    placed = (local.groupBy("part", "bucket").agg(F.sum("n").alias("n"),
+        "key string, node string, bucket int, n long, bytes long, ahead long")
+    large = groups.where(big).select("key", F.col("key").alias("node"), F.lit(0).alias("bucket"),
+                                     "n", "bytes", F.lit(0).cast("long").alias("ahead"))
+    local = save(small.unionByName(large), "shard-buckets")
+    placed = (local.groupBy("node", "bucket").agg(F.sum("n").alias("n"),
                                                   F.sum("bytes").alias("bytes"))
                    .withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
                        lambda df: _whole(df, shards),
-                       "part int, bucket int, shard int, base long"))
+                       "node string, bucket int, shard int, base long"))
     before = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     slots = (salted.select("key", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own"))
-                   .join(local.select("key", "part", "bucket", "ahead"), "key")
-                   .join(placed, ["part", "bucket"])
+                   .join(local.select("key", "node", "bucket", "ahead"), "key")
+                   .join(placed, ["node", "bucket"])
                    .select("key", "salt", "shard",
                            (F.col("base") + F.col("ahead") + F.col("own")).alias("from")))
     number = F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc_id")) - 1
