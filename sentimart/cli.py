@@ -48,11 +48,22 @@ def _word_tables(spark, args):
     return lex, mods
 
 
+def _kind(args) -> str:
+    """The kind given, or the one that all paths agree on."""
+    if args.kind:
+        return args.kind
+    kinds = {kind_from_path(p) for p in args.data_path}
+    if len(kinds) > 1:
+        raise ValueError(f"the paths are of several kinds ({', '.join(sorted(kinds))}); run one "
+                         "job per kind or give --kind")
+    return kinds.pop()
+
+
 def run_daily(spark: SparkSession, args) -> None:
-    kind = args.kind or kind_from_path(args.data_path[0])
+    kind = _kind(args)
     lex, mods = _word_tables(spark, args)
     if args.by_folder:
-        raw = read_folders(spark, args.data_path[0])
+        raw = read_folders(spark, args.data_path)
         keys = ["folder"]
     else:
         raw = read_posts(spark, args.data_path)
@@ -60,16 +71,18 @@ def run_daily(spark: SparkSession, args) -> None:
     movies, extra, part_by = None, [], list(keys)
     if args.movie_list:
         movies = load_movie_list(spark, args.movie_list, args.chunk)
-        extra, part_by = ["chunkId"], ["chunkId"]
+        extra, part_by = ["chunkId"], [*keys, "chunkId"]
     out = daily_sentiment(raw, lex, mods, kind=kind, thresholds=args.thresholds,
                           movies=movies, match=args.match, keys=keys, name_extra=extra)
-    write_daily(out.counts, out.stats, args.out, partition_by=part_by or None,
-                single_file=args.single_file)
-    out.unpersist()
+    try:
+        write_daily(out.counts, out.stats, args.out, partition_by=part_by or None,
+                    single_file=args.single_file)
+    finally:
+        out.close()
 
 
 def run_chunks(spark: SparkSession, args) -> None:
-    kind = args.kind or kind_from_path(args.data_path[0])
+    kind = _kind(args)
     raw = read_posts(spark, args.data_path)
     names = unique_movies(clean_posts(raw, kind=kind).select("movieName"))
     save_movie_list(movie_chunks(names, args.chunk_size), args.out)

@@ -5,12 +5,14 @@ The scorer is driven by two small tables, so a user can load any word list:
 * ``lexicon(token string, valence double)`` -- lower-case tokens, valence on
   a -4..4 scale.
 * ``modifiers(token string, kind string, scalar double)`` -- ``kind`` is
-  ``booster`` (scalar is added towards the valence's sign) or ``negation``.
-
-The seed lists below are written for this package. They are NOT the word
-list of any published sentiment package, and scores computed with them are
-not numerically comparable to such a package. Load a full list with
-``load_lexicon`` for real use.
+  ``booster`` (scalar is added towards the valence's sign), ``negation``,
+  ``negation_near`` (negates the next token only) or ``amplifier`` (multiplies
+  by scalar). A token of two words ("kind of") stands for both in a row.
+
+The seed list is a starter set built from a rule: common words in groups of
+four strengths (``SEED_GROUPS``), every word of a group with the group's
+strength. Scores computed with it are not comparable to any published word
+list. Load a full list with ``load_lexicon`` for real use.
 """
 
 from __future__ import annotations
@@ -57,48 +59,52 @@ class ScorerParams:
 
 DEFAULT_PARAMS = ScorerParams()
 
-BOOSTER = 0.293
-
-# Seed lexicon written for this package: common English sentiment words with
-# our own valences on a -4..4 scale.
-SEED_LEXICON: list[tuple[str, float]] = [
-    ("good", 1.9), ("great", 3.1), ("love", 3.2), ("loved", 2.9), ("loves", 2.7),
-    ("like", 1.5), ("liked", 1.8), ("nice", 1.8), ("awesome", 3.1), ("amazing", 2.8),
-    ("excellent", 3.2), ("best", 3.2), ("better", 1.9), ("fun", 2.3), ("funny", 1.9),
-    ("happy", 2.7), ("glad", 2.0), ("enjoy", 2.2), ("enjoyed", 2.3), ("wonderful", 2.7),
-    ("beautiful", 2.9), ("brilliant", 2.8), ("fantastic", 2.6), ("perfect", 2.7),
-    ("cool", 1.3), ("win", 2.8), ("won", 2.7), ("wow", 2.8), ("yes", 1.7),
-    ("thanks", 1.9), ("thank", 1.5), ("hope", 1.9), ("excited", 1.4), ("exciting", 2.2),
-    ("favorite", 2.0), ("recommend", 1.5), ("masterpiece", 3.0), ("hilarious", 1.7),
-    ("epic", 2.1), ("fresh", 1.3), ("smart", 1.7), ("sweet", 2.0), ("strong", 1.6),
-    ("worth", 0.9), ("success", 2.7), ("entertaining", 2.0), ("impressive", 2.4),
-    ("bad", -2.5), ("worse", -2.1), ("worst", -3.1), ("hate", -2.7), ("hated", -3.2),
-    ("awful", -2.0), ("terrible", -2.1), ("horrible", -2.5), ("boring", -1.3),
-    ("bored", -1.1), ("sad", -2.1), ("angry", -2.3), ("poor", -2.1), ("lame", -1.8),
-    ("waste", -1.8), ("wasted", -2.2), ("fail", -2.5), ("failed", -2.3), ("sucks", -1.5),
-    ("dull", -1.7), ("mess", -1.5), ("ugly", -2.3), ("wrong", -2.1), ("disappointed", -1.9),
-    ("disappointing", -2.2), ("annoying", -1.7), ("stupid", -2.4), ("dumb", -2.3),
-    ("pathetic", -2.0), ("disgusting", -2.5), ("trash", -2.4), ("garbage", -2.2),
-    ("idiot", -2.3), ("moron", -2.2), ("loser", -2.4), ("worthless", -1.9),
-    ("scum", -2.8), ("clown", -1.2), ("kill", -3.7), ("killed", -3.5), ("dead", -3.3),
-    ("cry", -2.1), ("scary", -2.2), ("fear", -2.2), ("problem", -1.7), ("sorry", -0.3),
-    ("no", -1.2), ("meh", -0.3), ("overrated", -1.5), ("weak", -1.9), ("slow", -0.8),
-    (":)", 2.0), (":(", -1.9), (":d", 2.3), ("<3", 1.9), (":/", -1.4),
-]
+BOOSTER = 0.293      # fixed value of the method
+NEVER_SO = 1.25      # fixed value of the method
+
+# Strength of each group of the seed list, by hand: mild, clear, strong and
+# extreme, the same for both signs.
+SEED_STRENGTHS = {"mild": 1.0, "clear": 2.0, "strong": 3.0, "extreme": 4.0}
+
+# Seed words by sign and strength. Words were put into a group by hand; no
+# word has a value of its own.
+SEED_GROUPS: dict[tuple[int, str], str] = {
+    (1, "mild"): "ok okay fine decent worth cool fresh neat :p",
+    (1, "clear"): "good nice fun funny like liked glad enjoy enjoyed smart better thanks hope :)",
+    (1, "strong"): "great love loved happy excellent beautiful exciting impressive win :d <3",
+    (1, "extreme"): "amazing awesome best brilliant fantastic masterpiece perfect wonderful",
+    (-1, "mild"): "meh slow weak overrated bored odd :/",
+    (-1, "clear"): "bad boring dull lame poor sad wrong mess annoying problem sorry :(",
+    (-1, "strong"): "angry awful disappointed hate hated fail failed stupid ugly waste trash",
+    (-1, "extreme"): "disgusting garbage horrible pathetic terrible worst worthless",
+}
+
+
+def seed_lexicon_rows() -> list[tuple[str, float]]:
+    return [(w, sign * SEED_STRENGTHS[name]) for (sign, name), words in SEED_GROUPS.items()
+            for w in words.split()]
+
 
-# Seed modifiers written for this package.
+SEED_LEXICON: list[tuple[str, float]] = seed_lexicon_rows()
+
+# Seed modifiers: common English degree words, negations and the idioms that
+# the method names.
 SEED_BOOSTERS_UP = [
-    "absolutely", "completely", "especially", "extremely", "highly", "incredibly",
-    "really", "remarkably", "so", "super", "too", "totally", "truly", "utterly", "very",
+    "absolutely", "completely", "extremely", "highly", "incredibly", "really", "so", "super",
+    "totally", "truly", "very",
 ]
 SEED_BOOSTERS_DOWN = [
-    "barely", "hardly", "kinda", "less", "little", "marginally", "partly",
-    "scarcely", "slightly", "somewhat", "sorta",
+    "barely", "hardly", "kind of", "kinda", "less", "partly", "slightly", "somewhat", "sort of",
+    "sorta",
 ]
 SEED_NEGATIONS = [
-    "aint", "arent", "cannot", "cant", "couldnt", "didnt", "doesnt", "dont", "isnt",
-    "neither", "never", "nobody", "none", "nor", "not", "nothing", "nowhere",
-    "shouldnt", "wasnt", "werent", "without", "wont", "wouldnt",
+    "cannot", "cant", "didnt", "doesnt", "dont", "isnt", "neither", "never", "nobody", "none",
+    "nor", "not", "nothing", "wasnt", "without", "wont",
+]
+SEED_IDIOMS = [
+    ("least", "negation_near", 0.0), ("at least", "amplifier", 1.0),
+    ("very least", "amplifier", 1.0), ("never so", "amplifier", NEVER_SO),
+    ("never this", "amplifier", NEVER_SO),
 ]
 
 
@@ -106,7 +112,7 @@ def seed_modifier_rows() -> list[tuple[str, str, float]]:
     rows = [(w, "booster", BOOSTER) for w in SEED_BOOSTERS_UP]
     rows += [(w, "booster", -BOOSTER) for w in SEED_BOOSTERS_DOWN]
     rows += [(w, "negation", 0.0) for w in SEED_NEGATIONS]
-    return rows
+    return rows + SEED_IDIOMS
 
 
 def _sql_literal(v) -> str:
@@ -139,24 +145,35 @@ def modifiers_frame(spark: SparkSession,
     return _inline(spark, MODIFIER_SCHEMA, [(t.lower(), k, float(s)) for t, k, s in rows])
 
 
+def _read_columns(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Fields of a plain separated file: no quoting and no escaping, so a
+    token may start with a quotation mark or hold a backslash."""
+    return (spark.read.option("sep", sep).option("header", "false").option("quote", "")
+            .option("escape", "").option("comment", "").csv(path))
+
+
 def load_lexicon(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Load a word list file: token, valence, then any further columns.
 
     The common distribution format is tab separated without header
     (token, mean valence, standard deviation, raw ratings); only the first
-    two columns are used.
+    two columns are used. Tokens that are equal in lower case are one entry
+    with the mean of their valences (rounded to 4 decimals, summed exactly).
     """
-    raw = spark.read.option("sep", sep).option("header", "false").csv(path)
-    return (raw.select(F.lower(F.col("_c0")).alias("token"),
-                       F.col("_c1").try_cast("double").alias("valence"))
-               .where(F.col("token").isNotNull() & F.col("valence").isNotNull())
-               .dropDuplicates(["token"]))
+    raw = _read_columns(spark, path, sep)
+    valence = F.col("_c1").try_cast("decimal(20,8)")
+    mean = F.round(F.sum(valence) / F.count(valence), 4).cast("double")
+    return (raw.where(F.col("_c0").isNotNull() & valence.isNotNull())
+               .groupBy(F.lower(F.col("_c0")).alias("token")).agg(mean.alias("valence")))
+
+
+MODIFIER_KINDS = ("booster", "negation", "negation_near", "amplifier")
 
 
 def load_modifiers(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Load modifiers: token, kind (booster|negation), scalar."""
-    raw = spark.read.option("sep", sep).option("header", "false").csv(path)
+    """Load modifiers: token, kind (one of ``MODIFIER_KINDS``), scalar."""
+    raw = _read_columns(spark, path, sep)
     return (raw.select(F.lower(F.col("_c0")).alias("token"),
                        F.lower(F.col("_c1")).alias("kind"),
                        F.coalesce(F.col("_c2").try_cast("double"), F.lit(0.0)).alias("scalar"))
-               .where(F.col("kind").isin("booster", "negation")))
+               .where(F.col("token").isNotNull() & F.col("kind").isin(*MODIFIER_KINDS)))

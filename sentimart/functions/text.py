@@ -1,4 +1,4 @@
-"""Column expressions over text: tokens, punctuation, case.
+"""Column expressions over text: whitespace tokens without punctuation.
 
 All of these are built-in Spark expressions (JVM side, no Python per row).
 """
@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII punctuation (the 32 characters !"#$%&'()*+,-./:;<=>?@[\]^_`{|}~)
-# as a character class of four ranges, and the whitespace split pattern.
-PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
-STRIP_PATTERN = rf"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$"
+# The 32 ASCII punctuation characters and the whitespace split
+# pattern.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WHITESPACE = r"\s+"
 
 
@@ -20,43 +19,16 @@ def strip_punct_if_word(tok: Column) -> Column:
 
     Keeps emoticons such as ``:)`` intact while ``great!!`` becomes ``great``.
     """
-    stripped = F.regexp_replace(tok, STRIP_PATTERN, "")
+    stripped = F.btrim(tok, F.lit(PUNCTUATION))
     return F.when(F.length(stripped) <= 2, tok).otherwise(stripped)
 
 
-# A token with an upper-case letter and no lower-case one (letters are never
-# punctuation, so stripping does not change the answer).
-CAPS_TOKEN_PATTERN = r"(?<!\S)[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(?!\S)"
-
-
 def split_tokens(text: Column) -> Column:
-    """Whitespace tokens of a text, empty strings removed (no lambdas)."""
+    """Whitespace tokens of a text, empty strings removed."""
     return F.array_remove(F.split(text, WHITESPACE), "")
 
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens of the whole text, empties removed, punctuation
-    stripped (array form; the scorer strips per row after exploding)."""
+    stripped."""
     return F.transform(split_tokens(F.coalesce(text, F.lit(""))), strip_punct_if_word)
-
-
-def count_caps_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(CAPS_TOKEN_PATTERN))
-
-
-UPPER_LETTER = r"\p{Lu}"
-LOWER_LETTER = r"\p{Ll}"
-
-
-def is_upper(tok: Column) -> Column:
-    """True when the token has an upper-case letter and no lower-case one.
-
-    Letter classes rather than ``upper(x) = x`` so the answer does not
-    depend on an engine's case mapping (``STRAßE`` is not all caps).
-    """
-    return tok.rlike(UPPER_LETTER) & ~tok.rlike(LOWER_LETTER)
-
-
-def count_char(text: Column, ch: str) -> Column:
-    """Occurrences of one character in the text."""
-    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))

@@ -122,8 +122,24 @@ def row_counts(raw: DataFrame, subset: list[str]) -> DataFrame:
 
 
 def describe_frame(df: DataFrame) -> DataFrame:
-    """A10: Spark's ``describe`` (numeric and string columns)."""
-    return df.describe()
+    """A10: one typed row per numeric or string column: ``column, count,
+    mean, stddev, min, max``. Mean and deviation are null for strings; min and
+    max are strings, of numbers by value. One global aggregate."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    kinds = [(c, t) for c, t in df.dtypes
+             if t in numeric or t.startswith("decimal") or t == "string"]
+    aggs = []
+    for i, (c, t) in enumerate(kinds):
+        x = F.col(f"`{c}`")
+        number = x.cast("double") if t != "string" else F.lit(None).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), _r(F.avg(number)).alias(f"a{i}"),
+                 _r(F.stddev_samp(number)).alias(f"s{i}"),
+                 F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"h{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
+                              F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("stddev"),
+                              F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max"))
+                     for i, (c, _) in enumerate(kinds)])
+    return df.agg(*aggs).select(F.inline(rows))
 
 
 def daily_percentiles(df: DataFrame, score_col: str = "vaderScore",

@@ -8,11 +8,13 @@ and a post tagged with two movies counts under both.
 Matching all posts against all names is a theta join. Instead of a nested
 loop (posts x names), ``match_names`` works on the DISTINCT movie strings
 (small: one per rule combination, not per post) and uses an exact n-gram
-index: every name is keyed by a k-character (k = 6) literal piece of its pattern,
-every string emits its substrings of length 0..k, the two meet in an
-equi-join and the real predicate confirms each candidate. A LIKE match
-implies the key occurs in the string, so no match is lost; names shorter
-than k are keyed by their whole literal run and met by the shorter grams.
+index: every string emits its substrings of length 0..k, counted once over
+all strings; every name is keyed by the RAREST of the literal k-character
+pieces of its pattern, and the real predicate confirms each candidate. A LIKE
+match implies that every literal piece occurs in the string, so no match is
+lost, and a piece that many strings share (a common prefix or suffix) is a
+key only for names that have nothing rarer. Names with a run shorter than k
+are keyed by the whole run and met by the shorter grams.
 """
 
 from __future__ import annotations
@@ -64,16 +66,25 @@ def movie_filter(df: DataFrame, identifier: str, match: str = "like",
     raise ValueError(f"match must be 'like' or 'contains' here, got {match!r}")
 
 
-def _literal_key(name: Column, mode: str, k: int) -> Column:
-    """Last (up to) k characters of the longest literal run of the pattern."""
-    if mode == "like":
-        runs = F.split(name, r"[%_\\]")
-    else:
-        runs = F.array(name)
-    longest = F.aggregate(runs, F.lit(""),
-                          lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    n = F.length(longest)
-    return F.when(n <= k, longest).otherwise(F.substring(longest, n - k + 1, F.lit(k)))
+def _pieces(name: Column, mode: str, k: int) -> Column:
+    """Literal pieces of the pattern: all k-character substrings of its runs
+    between wildcards, shorter runs whole, ``""`` when there is no run."""
+    runs = F.split(name, r"[%_]") if mode == "like" else F.array(name)
+
+    def cut(run: Column) -> Column:
+        n = F.length(run)
+        return F.when(n <= k, F.array(run)).otherwise(
+            F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(run, p, F.lit(k))))
+
+    found = F.array_remove(F.array_distinct(F.flatten(F.transform(runs, cut))), "")
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+
+
+def _checked(name: Column) -> Column:
+    """LIKE patterns know no backslash here: raise whenever one is met."""
+    return F.when(F.contains(name, F.lit("\\")),
+                  F.raise_error(F.concat(F.lit("backslash in a LIKE name, use match='contains': "),
+                                         name)).cast("string")).otherwise(name)
 
 
 def _grams(s: Column, k: int) -> Column:
@@ -111,8 +122,16 @@ def match_names(strings: DataFrame, names: DataFrame, match: str = "like",
                                            F.col("_name").alias("name"))
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}, got {match!r}")
-    keyed = nm.select("_name", _literal_key(F.col("_name"), match, k).alias("_key"))
+    if match == "like":
+        nm = nm.select(_checked(F.col("_name")).alias("_name"))
     grams = s.select("_str", F.explode(_grams(F.col("_str"), k)).alias("_key"))
+    counts = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    # a name with a piece that no string has is left with its other pieces
+    # and fails the predicate
+    keyed = (nm.select("_name", F.explode(_pieces(F.col("_name"), match, k)).alias("_key"))
+               .join(counts, "_key")
+               .groupBy("_name").agg(F.min(F.struct("_n", "_key")).alias("_m"))
+               .select("_name", F.col("_m._key").alias("_key")))
     cand = grams.join(keyed, "_key")
     if match == "like":
         ok = F.like(F.col("_str"), like_pattern(F.col("_name")))
@@ -131,14 +150,7 @@ def ordered_row_number(df: DataFrame, order_col: str, out_col: str = "rn",
     turn the counts (one row per partition) into offsets, add the offset to
     the row number inside each partition.
     """
-    if partitions is None:
-        # about 64 MB per range partition by the optimizer's estimate (a
-        # speed choice only: any partition count gives the same numbers)
-        from sentimart.operators.broadcast import estimated_bytes
-        est = estimated_bytes(df)
-        partitions = max(1, min(df.sparkSession.sparkContext.defaultParallelism,
-                                -(-est // (64 * 1024 * 1024))))
-    n = partitions
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, F.col(order_col))
                 .sortWithinPartitions(order_col)
                 .withColumn("_pid", F.spark_partition_id()))

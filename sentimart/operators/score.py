@@ -1,4 +1,4 @@
-"""Rule-based lexicon sentiment scoring as a relational Spark job.
+"""Rule-based lexicon sentiment scoring, one Arrow batch at a time.
 
 Per text the scorer yields the compound score in [-1, 1] and the
 proportions of negative, neutral and positive tokens. Rules (published
@@ -9,181 +9,291 @@ method, constants in ``ScorerParams``):
 2. caps: when some but not all tokens are upper case, an upper-case lexicon
    token moves ``caps_increment`` further from zero;
 3. boosters among the 3 preceding tokens add their scalar towards the
-   valence's sign, damped at distance 2 and 3; a preceding token that is
-   itself in the lexicon is not a modifier;
+   valence's sign (an upper-case booster under rule 2 adds
+   ``caps_increment`` away from zero as well), damped at distance 2 and 3; a
+   preceding token that is itself in the lexicon is not a modifier;
 4. a negation among the 3 preceding tokens multiplies by ``negation_scalar``
-   (once per hit); per distance 1, 2, 3: booster added, then negation;
-5. "but": valences before the first "but" x0.5, after it x1.5;
-6. punctuation emphasis on the sum, away from zero ("!" and "?");
-7. compound = round(s / sqrt(s^2 + alpha), 4), clipped to [-1, 1];
-8. proportions: positive tokens give v+1, negative v-1, others 1; emphasis
+   (once per hit); a near negation ("least") only right before the token;
+   per distance 1, 2, 3: booster added, then negation;
+5. two words in a row that are an entry ("kind of", "never so", "at least"),
+   the second at distance 1 or 2: the entry's booster scalar is added
+   towards the sign, its factor multiplies, and neither word negates;
+6. "but": valences before the first "but" x0.5, after it x1.5;
+7. punctuation emphasis on the sum, away from zero ("!" and "?");
+8. compound = round(s / sqrt(s^2 + alpha), 4), clipped to [-1, 1];
+9. proportions: positive tokens give v+1, negative v-1, others 1; emphasis
    goes to the larger side; each divided by the total, rounded to 3.
 
-Plan shape: tokens -> explode with the 3 preceding tokens carried in the row
-(no window, no sort) -> broadcast hash join on the word table (a lexicon
-miss keeps only a sentinel row for position 0, so every text survives) ->
-three broadcast lookups for the context tokens -> per-token valence as a
-plain expression -> group by text id. The group by runs a partial
-aggregate in the task that exploded the text, so about one small row per
-text is shuffled. Per-token valences are summed as DECIMAL, which makes the
-sum exact and independent of the order rows arrive in.
+Plan: the tokens of a text are all in one row, so nothing is shuffled,
+sorted or exploded. A batch's tokens are looked up once per distinct token,
+laid end to end as arrays, and rules 2-6 are array operations over the
+lexicon hits; per text the sums come back as columns, and rules 7-9 are
+plain Spark expressions over them. Valences are summed as integers of
+10^-12, so a sum is exact (``good`` and an equal ``bad`` cancel to zero).
+The word table goes to the tasks as a Python object, only within
+``MAX_WORDS`` rows and ``MAX_WORD_BYTES``; a larger list is first cut to the
+words that occur in the texts.
 """
 
 from __future__ import annotations
 
+import re
+import string
+import sys
+import unicodedata
+from dataclasses import dataclass, field
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
-from sentimart.functions.text import (count_caps_tokens, count_char, is_upper, split_tokens,
-                                     strip_punct_if_word)
-from sentimart.operators.broadcast import broadcast_checked, is_small
+from sentimart.functions.text import tokens
 
-VALENCE_DECIMAL = "decimal(24,12)"
-ID_COL = "_sid"
+# The functions that run in tasks travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MAX_WORDS = 500_000
+MAX_WORD_BYTES = 32 * 1024 * 1024
+MAX_CACHED_TOKENS = 300_000
+_SUMS = ["_s_tok", "_s_excl", "_s_q", "_s_sum", "_s_pos", "_s_neg", "_s_npos", "_s_nneg"]
+_UNIT = 10 ** 12
 
-def word_table(lexicon: DataFrame, modifiers: DataFrame) -> DataFrame:
-    """One row per token: valence (NULL for boosters and misses), lexicon
-    membership, booster scalar and negation flag.
 
-    Both inputs are unioned and grouped once (one small shuffle).
-    """
-    nul = F.lit(None).cast("double")
-    lex = lexicon.select(F.lower("token").alias("token"), F.col("valence").alias("lex_valence"),
-                         nul.alias("boost"), F.lit(False).alias("negation"))
-    mods = modifiers.select(
-        F.lower("token").alias("token"), nul.alias("lex_valence"),
-        F.when(F.col("kind") == "booster", F.col("scalar")).alias("boost"),
-        (F.col("kind") == "negation").alias("negation"))
-    words = lex.unionByName(mods).groupBy("token").agg(
-        F.max("lex_valence").alias("lex_valence"), F.max("boost").alias("boost"),
-        F.max("negation").alias("negation"))
-    return words.select(
-        "token",
-        # a booster word is never scored itself
-        F.when(F.col("boost").isNull(), F.col("lex_valence")).alias("valence"),
-        F.col("lex_valence").isNotNull().alias("in_lexicon"),
-        "boost",
-        F.coalesce(F.col("negation"), F.lit(False)).alias("negation"),
-    )
-
-
-def _context_valence(v: Column, ctx: Column, in_lex: Column, boost: Column, neg: Column,
-                     damp: float, params: ScorerParams) -> Column:
-    """Apply one preceding token (rules 3 and 4)."""
-    b = F.coalesce(boost, F.lit(0.0))
-    s = F.when(v < 0, -b).otherwise(b) * F.lit(damp)
-    negated = F.coalesce(neg, F.lit(False)) | ctx.contains(params.negation_suffix)
-    applied = (v + s) * F.when(negated, F.lit(params.negation_scalar)).otherwise(F.lit(1.0))
-    return F.when(ctx.isNotNull() & ~F.coalesce(in_lex, F.lit(False)), applied).otherwise(v)
-
-
-def _norm_token(tok: Column) -> Column:
-    """Lower-cased token with surrounding punctuation stripped (rule 1)."""
-    return F.lower(strip_punct_if_word(tok))
-
-
-def token_valences(df: DataFrame, text_col: str, id_col: str, keep: list[str],
-                   words: DataFrame, params: ScorerParams = DEFAULT_PARAMS) -> DataFrame:
-    """Exploded lexicon hits (plus one sentinel row per text) with final valences.
-
-    The text is split once; the raw token array and three copies shifted by
-    1-3 positions (``concat`` with leading NULLs) are zipped and exploded, so
-    each row carries its three preceding tokens (no window, no sort). Tokens
-    are stripped and lower-cased per row after the explode (code-generated
-    expressions); context tokens only for lexicon hits. Per-text values
-    (token count, all-caps count, "!"/"?" counts, first "but") are computed
-    before the explode; the "but" lookup runs only for texts that contain
-    the letters.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    toks = F.col("_toks")
-    but_pos = F.when(F.col("_has_but"),
-                     F.array_position(F.transform(toks, _norm_token), params.but_token))
-    prep = df.select(
-        F.col(id_col).alias(ID_COL), *keep,
-        split_tokens(text).alias("_toks"),
-        text.rlike("(?i)" + params.but_token).alias("_has_but"),
-        count_char(text, "!").alias("_n_excl"),
-        count_char(text, "?").alias("_n_q"),
-        count_caps_tokens(text).alias("_n_up"),
-    )
-    nul = F.lit(None).cast("string")
-    zipped = F.arrays_zip(
-        toks.alias("w"),
-        F.concat(F.array(nul), toks).alias("c1"),
-        F.concat(F.array(nul, nul), toks).alias("c2"),
-        F.concat(F.array(nul, nul, nul), toks).alias("c3"),
-    )
-    n_tok = F.size(toks)
-    cap_diff = (F.col("_n_up") > 0) & (F.col("_n_up") < n_tok)
-    # Per-text values in their own projection, below the explode: in the
-    # same projection as the generator they would be evaluated above it and
-    # every exploded row would carry the whole token array.
-    per_text = prep.select(
-        ID_COL, *keep, "_toks", n_tok.alias("_n_tok"), "_n_excl", "_n_q",
-        F.coalesce(but_pos, F.lit(0)).alias("_but"),
-        cap_diff.alias("_cap"),
-    )
-    exploded = per_text.select(
-        ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_but", "_cap",
-        F.posexplode(zipped).alias("_pos", "t"),
-    ).where(F.col("_pos") < F.greatest(F.col("_n_tok"), F.lit(1)))
-    exploded = exploded.withColumn("_lw", _norm_token(F.col("t.w")))
-    small = is_small(words)
-    # One broadcast of the word table serves all four lookups: the four
-    # build sides are the same plan, so the exchange is reused.
-    # All lookup values travel in one struct, so column pruning leaves the
-    # four build sides identical and the broadcast exchange is built once.
-    wb = broadcast_checked(words.select(
-        "token", F.struct("valence", "in_lexicon", "boost", "negation").alias("i")), small=small)
-    hits = (exploded.join(wb.alias("w0"), F.col("_lw") == F.col("w0.token"), "left")
-                    .where(F.col("w0.i.valence").isNotNull() | (F.col("_pos") == 0)))
-    # context tokens are normalised for hit rows only
-    hits = hits.select("*", *[_norm_token(F.col(f"t.c{d}")).alias(f"_c{d}") for d in (1, 2, 3)])
-    for d in (1, 2, 3):
-        hits = hits.join(wb.alias(f"w{d}"), F.col(f"_c{d}") == F.col(f"w{d}.token"), "left")
-
-    # Each rule is one projection over the previous value column, so the
-    # expression stays linear in size (inlining the steps would repeat the
-    # value expression three times per step).
-    cols = [ID_COL, *keep, "_n_tok", "_n_excl", "_n_q", "_pos", "_but"]
-    v = F.col("w0.i.valence")
-    caps = F.when(F.col("_cap") & is_upper(F.col("t.w")),
-                  F.when(v > 0, v + F.lit(params.caps_increment))
-                   .otherwise(v - F.lit(params.caps_increment))).otherwise(v)
-    ctx_cols = []
-    for d in (1, 2, 3):
-        ctx_cols += [F.col(f"_c{d}").alias(f"_l{d}"), F.col(f"w{d}.i.in_lexicon").alias(f"_lex{d}"),
-                     F.col(f"w{d}.i.boost").alias(f"_boost{d}"),
-                     F.col(f"w{d}.i.negation").alias(f"_neg{d}")]
-    steps = hits.select(*cols, *ctx_cols, caps.alias("_v"))
-    damps = {1: 1.0, 2: params.damp_distance_2, 3: params.damp_distance_3}
-    for d in (1, 2, 3):
-        step = _context_valence(F.col("_v"), F.col(f"_l{d}"), F.col(f"_lex{d}"),
-                                F.col(f"_boost{d}"), F.col(f"_neg{d}"), damps[d], params)
-        steps = steps.withColumn("_v", step)
-    pos1 = F.col("_pos") + 1
-    but = F.col("_but")
-    v = F.col("_v")
-    v = (F.when((but > 0) & (pos1 < but), v * F.lit(params.but_before))
-          .when((but > 0) & (pos1 > but), v * F.lit(params.but_after))
-          .otherwise(v))
-    return steps.select(ID_COL, *keep, "_n_tok", "_n_excl", "_n_q",
-                        v.cast(VALENCE_DECIMAL).alias("_v"))
+@dataclass
+class WordTable:
+    """Lexicon and modifiers as dictionaries keyed by lower-case token."""
+
+    valence: dict[str, float] = field(default_factory=dict)
+    boost: dict[str, float] = field(default_factory=dict)
+    negation: set[str] = field(default_factory=set)
+    near: set[str] = field(default_factory=set)
+    pairs: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
+
+    def add_word(self, token: str, valence: float) -> None:
+        token = token.lower()
+        self.valence[token] = max(valence, self.valence.get(token, valence))
+
+    def add_modifier(self, token: str, kind: str, scalar: float) -> None:
+        """Entries that come twice: the larger scalar counts."""
+        words = tuple(token.lower().split())
+        if len(words) == 2:
+            boost, factor = self.pairs.get(words, (0.0, 1.0))
+            if kind == "booster":
+                boost = scalar if boost == 0.0 else max(boost, scalar)
+            elif kind == "amplifier":
+                factor = scalar if factor == 1.0 else max(factor, scalar)
+            else:
+                raise ValueError(f"a two-word modifier must be a booster or an amplifier: {token!r}")
+            self.pairs[words] = boost, factor
+        elif len(words) != 1:
+            raise ValueError(f"modifiers have one or two words: {token!r}")
+        elif kind == "booster":
+            self.boost[words[0]] = max(scalar, self.boost.get(words[0], scalar))
+        elif kind == "negation":
+            self.negation.add(words[0])
+        elif kind == "negation_near":
+            self.near.add(words[0])
+        else:
+            raise ValueError(f"unknown kind {kind!r} of the one-word modifier {token!r}")
+
+
+def _bounded_rows(df: DataFrame, max_rows: int, max_bytes: int) -> list | None:
+    """All rows, or None when they pass a bound (reads at most one row more).
+    A table of literals is answered without a job."""
+    rows = df.limit(max_rows + 1).collect()
+    size = sum(len(r[0].encode("utf-8")) for r in rows)
+    return rows if len(rows) <= max_rows and size <= max_bytes else None
+
+
+def word_table(lexicon: DataFrame, modifiers: DataFrame, texts: DataFrame, text_col: str,
+               max_words: int = MAX_WORDS, max_bytes: int = MAX_WORD_BYTES) -> WordTable:
+    """The word table for the tasks, within the bounds.
+
+    A lexicon beyond them is cut to the words that occur in ``texts``: their
+    distinct tokens (combined before the shuffle, so a frequent word is a few
+    rows) semi-join the lexicon. If even those pass the bounds, it raises."""
+    lex = lexicon.where(F.col("token").isNotNull() & F.col("valence").isNotNull()) \
+                 .select("token", F.col("valence").cast("double"))
+    rows = _bounded_rows(lex, max_words, max_bytes)
+    if rows is None:
+        rows = _bounded_rows(occurring(lex, texts, text_col), max_words, max_bytes)
+    mods = _bounded_rows(modifiers.where(F.col("token").isNotNull())
+                         .select("token", "kind", F.col("scalar").cast("double")),
+                         max_words, max_bytes)
+    if rows is None or mods is None:
+        raise ValueError(f"more than {max_words} words or {max_bytes} bytes of words occur in the "
+                         "texts; raise max_words / max_bytes if the executors have the memory")
+    table = WordTable()
+    for token, valence in rows:
+        table.add_word(token, valence)
+    for token, kind, scalar in mods:
+        table.add_modifier(token, kind, scalar)
+    return table
+
+
+def occurring(lexicon: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``lexicon`` whose token occurs in the texts."""
+    seen = (texts.select(F.explode(F.array_distinct(tokens(F.lower(F.col(text_col))))).alias("t"))
+                 .distinct())
+    return lexicon.join(seen, F.lower("token") == F.col("t"), "left_semi")
+
+
+class _Classes(dict):
+    """Class of each raw token: tokens with equal properties share a class,
+    so the property arrays stay as short as the word table."""
+
+    def __init__(self, words: WordTable, params: ScorerParams):
+        super().__init__()
+        self.words, self.params = words, params
+        self.first = {a: i for i, a in enumerate(sorted({a for a, _ in words.pairs}), 1)}
+        self.second = {b: i for i, b in enumerate(sorted({b for _, b in words.pairs}), 1)}
+        self.pair_boost = np.zeros((len(self.first) + 1, len(self.second) + 1))
+        self.pair_factor = np.full_like(self.pair_boost, np.nan)
+        for (a, b), (boost, factor) in words.pairs.items():
+            self.pair_boost[self.first[a], self.second[b]] = boost
+            self.pair_factor[self.first[a], self.second[b]] = factor
+        self.rows: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.plain = self._class((np.nan, False, np.nan, False, False, False, False, 0, 0))
+        self.arrays: list[np.ndarray] = []
+
+    def _class(self, row: tuple) -> int:
+        key = tuple(None if x != x else x for x in row)
+        k = self.number.setdefault(key, len(self.rows))
+        if k == len(self.rows):
+            self.rows.append(row)
+        return k
+
+    def __missing__(self, raw: str) -> int:
+        bare = raw.strip(string.punctuation)
+        low = (raw if len(bare) <= 2 else bare).lower()
+        w = self.words
+        boost = w.boost.get(low, np.nan)
+        valence = w.valence.get(low, np.nan)
+        kinds = {unicodedata.category(c) for c in raw}
+        row = (valence if boost != boost else np.nan,    # a booster is never scored itself
+               low in w.valence, boost,
+               low in w.negation or self.params.negation_suffix in low, low in w.near,
+               "Lu" in kinds and "Ll" not in kinds, low == self.params.but_token,
+               self.first.get(low, 0), self.second.get(low, 0))
+        if len(self) >= MAX_CACHED_TOKENS:
+            self.clear()
+        self[raw] = k = self._class(row)
+        return k
+
+    def columns(self) -> list[np.ndarray]:
+        """Property arrays by class: valence, in lexicon, boost, negation,
+        near, upper, but, first and second word of a pair."""
+        if not self.arrays or len(self.arrays[0]) != len(self.rows):
+            self.arrays = [np.array(c) for c in zip(*self.rows)]
+        return self.arrays
+
+
+_find_tokens = re.compile(r"[^ \t\n\x0b\f\r]+").findall
+
+
+def text_sums(texts: list, classes: _Classes, params: ScorerParams) -> list[np.ndarray]:
+    """The columns of ``_SUMS`` for a list of texts (rules 1-6)."""
+    split = [_find_tokens(t) if t else [] for t in texts]
+    n_tok = np.array([len(t) for t in split], np.int64)
+    total = int(n_tok.sum())
+    code = np.fromiter(map(classes.__getitem__, chain.from_iterable(split)), np.int64, total)
+    valence, in_lex, boost, neg, near, upper, but, first, second = classes.columns()
+    row = np.repeat(np.arange(len(texts)), n_tok)
+    pos = np.arange(total) - (np.cumsum(n_tok) - n_tok)[row]
+    n_up = np.bincount(row, weights=upper[code], minlength=len(texts))
+    mixed = (n_up > 0) & (n_up < n_tok)
+    but_at = np.full(len(texts), -1)
+    b = np.flatnonzero(but[code])[::-1]
+    but_at[row[b]] = pos[b]                      # reversed: the first one stays
+
+    hit = np.flatnonzero(~np.isnan(valence[code]))
+    h_row, h_pos = row[hit], pos[hit]
+    caps = mixed[h_row]
+    v = valence[code[hit]].copy()
+    v += np.where(upper[code[hit]] & caps, np.where(v > 0, 1, -1) * params.caps_increment, 0.0)
+    # class of the token at distance d (plain where the text begins)
+    ctx = {d: np.where(h_pos >= d, code[np.maximum(hit - d, 0)], classes.plain)
+           for d in (1, 2, 3)}
+    # the two-word entry whose first word is at distance d
+    pair = {d: (first[ctx[d]], second[ctx[d - 1]]) for d in (2, 3)}
+    factor = {d: classes.pair_factor[pair[d]] for d in (2, 3)}
+    nowhere = np.full(len(hit), np.nan)
+    factor[1] = factor[4] = nowhere
+    for d, damp in ((1, 1.0), (2, params.damp_distance_2), (3, params.damp_distance_3)):
+        c = ctx[d]
+        act = ~in_lex[c]
+        with_boost = act & ~np.isnan(boost[c])
+        s = np.where(with_boost, np.where(v < 0, -boost[c], boost[c]), 0.0)
+        s += np.where(with_boost & upper[c] & caps,
+                      np.where(v > 0, 1, -1) * params.caps_increment, 0.0)
+        v = v + s * damp
+        covered = ~np.isnan(factor[d]) | ~np.isnan(factor[d + 1])
+        negates = act & ~covered & (neg[c] | (near[c] if d == 1 else False))
+        v = np.where(negates, v * params.negation_scalar, v)
+        if d > 1:
+            own = ~np.isnan(factor[d])
+            scalar = classes.pair_boost[pair[d]]
+            v = np.where(own, (v + np.where(v < 0, -scalar, scalar)) * factor[d], v)
+    at = but_at[h_row]
+    v = np.where((at >= 0) & (h_pos < at), v * params.but_before,
+                 np.where((at >= 0) & (h_pos > at), v * params.but_after, v))
+
+    # exact sums in units of 10^-12, in two parts so that none overflows
+    unit = np.rint(v * _UNIT).astype(np.int64)
+
+    def total_of(x: np.ndarray, where: np.ndarray) -> np.ndarray:
+        high, low = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        np.add.at(high, h_row[where], x[where] // 10 ** 6)
+        np.add.at(low, h_row[where], x[where] % 10 ** 6)
+        return np.array([(int(a) * 10 ** 6 + int(b)) / _UNIT for a, b in zip(high, low)], float)
+
+    up, down = unit > 0, unit < 0
+    return [n_tok, np.array([t.count("!") if t else 0 for t in texts], np.int64),
+            np.array([t.count("?") if t else 0 for t in texts], np.int64),
+            total_of(unit, up | down), total_of(unit + _UNIT, up), total_of(unit - _UNIT, down),
+            np.bincount(h_row[up], minlength=len(texts)).astype(np.int64),
+            np.bincount(h_row[down], minlength=len(texts)).astype(np.int64)]
+
+
+def _with_sums(df: DataFrame, text_col: str, keep: list[str], words: WordTable,
+               params: ScorerParams) -> DataFrame:
+    """``keep`` columns and the sums of each row's text; one Arrow batch in,
+    one out, a few hundred texts at a time."""
+    src = df.select(*keep, F.col(text_col).cast("string").alias("_s_text"))
+    kinds = ["long"] * 3 + ["double"] * 3 + ["long"] * 2
+    out = src.select(*keep, *[F.lit(0).cast(k).alias(c) for c, k in zip(_SUMS, kinds)])
+    names, width, rows = out.columns, len(keep), 256
+
+    def run(batches):
+        classes = _Classes(words, params)
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                sums = text_sums(part.column(width).to_pylist(), classes, params)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(width)), *(pa.array(x) for x in sums)],
+                    names=names)
+
+    return src.mapInArrow(run, out.schema)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin to ``min_partitions`` when the input has fewer partitions."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < target:
-        return df.repartition(target)
+    """Round-robin to ``min_partitions`` when the input has fewer files.
+
+    Off by default. For a few unsplittable files on many cores; an input with
+    that many files, of any size, is left as it is. Starts no job."""
+    if min_partitions and len(df.inputFiles()) < min_partitions:
+        return df.repartition(min_partitions)
     return df
 
 
 def emphasis(n_excl: Column, n_q: Column, params: ScorerParams = DEFAULT_PARAMS) -> Column:
-    """Rule 6: amplification from "!" and "?" counts."""
+    """Rule 7: amplification from "!" and "?" counts."""
     ep = F.least(n_excl, F.lit(params.exclaim_max)) * F.lit(params.exclaim_increment)
     qm = (F.when(n_q <= 1, F.lit(0.0))
            .when(n_q <= 3, n_q * F.lit(params.question_increment))
@@ -192,76 +302,41 @@ def emphasis(n_excl: Column, n_q: Column, params: ScorerParams = DEFAULT_PARAMS)
 
 
 def score_text(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
-               text_col: str = "body", id_col: str | None = None,
-               keep: list[str] | None = None, out_col: str = "vaderScore",
-               all_scores: bool = False, params: ScorerParams = DEFAULT_PARAMS,
-               min_partitions: int | None = None) -> DataFrame:
-    """V1-V6: one row per input row with ``keep`` columns and the scores.
-
-    Scoring is CPU-bound per text. When the input has fewer partitions than
-    ``min_partitions`` (default: the cluster's default parallelism) -- e.g.
-    a few unsplittable gzip files or one large Parquet row group -- only the
-    columns the scorer needs are spread round-robin first. A large scan
-    already has many more partitions than cores and is left as it is.
-
-    ``id_col`` must be unique per row when given; when omitted a row id is
-    generated right after the input (before any shuffle, so it is stable
-    when a task is retried). ``keep`` columns are carried through the
-    aggregation as grouping keys; keep them small (the text itself is not
-    carried). With ``all_scores`` the output has ``neg``, ``neu``, ``pos``
-    and ``out_col``.
-    """
-    keep = list(keep or [])
-    need = list(dict.fromkeys([*(c for c in keep if c != ID_COL),
-                               *([id_col] if id_col else []), text_col]))
-    df = spread(df.select(*need), min_partitions)
-    if id_col is None:
-        # generated after the (deterministic, locally sorted) round-robin
-        # spread, so a retried task sees the same ids
-        df = df.withColumn(ID_COL, F.monotonically_increasing_id())
-        id_col = ID_COL
-    elif id_col not in keep:
-        keep = [id_col] + keep
-    words = word_table(lexicon, modifiers)
-    rows = token_valences(df, text_col, id_col, [c for c in keep if c != ID_COL], words, params)
-    vd = F.col("_v")
-    one = F.lit(1).cast("decimal(1,0)")
-    # Grouped by the post id alone; per-post columns are constant within a
-    # post and ride along as max() (a narrow hash key, deterministic).
-    carried = [c for c in keep if c != ID_COL] + ["_n_tok", "_n_excl", "_n_q"]
-    agg = rows.groupBy(ID_COL).agg(
-        *[F.max(c).alias(c) for c in carried],
-        F.sum(vd).alias("_s"),
-        F.sum(F.when(vd > 0, vd + one)).alias("_ps"),
-        F.sum(F.when(vd < 0, vd - one)).alias("_ns"),
-        F.count(F.when(vd > 0, True)).alias("_np"),
-        F.count(F.when(vd < 0, True)).alias("_nn"),
-    )
-    emph = emphasis(F.col("_n_excl"), F.col("_n_q"), params)
-    s = F.coalesce(F.col("_s").cast("double"), F.lit(0.0))
+               text_col: str = "body", keep: list[str] | None = None,
+               out_col: str = "vaderScore", all_scores: bool = False,
+               params: ScorerParams = DEFAULT_PARAMS, min_partitions: int | None = None,
+               max_words: int = MAX_WORDS, max_bytes: int = MAX_WORD_BYTES) -> DataFrame:
+    """V1-V6: every row of ``df`` with its score in ``out_col`` (and ``neg``,
+    ``neu``, ``pos`` with ``all_scores``).
+
+    ``keep`` lists the columns to carry (default: all; columns that the
+    scores replace are dropped). Building the plan starts no job on ``df``
+    unless the lexicon passes the bounds (see ``word_table``).
+    ``min_partitions``: see ``spread``."""
+    scores = (["neg", "neu", "pos"] if all_scores else []) + [out_col]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in scores]
+    words = word_table(lexicon, modifiers, df, text_col, max_words, max_bytes)
+    # only the columns needed are spread
+    need = df.select(*dict.fromkeys([*keep, text_col]))
+    rows = _with_sums(spread(need, min_partitions), text_col, keep, words, params)
+    n_tok, emph = F.col("_s_tok"), emphasis(F.col("_s_excl"), F.col("_s_q"), params)
+    s = F.col("_s_sum")
     s = F.when(s > 0, s + emph).when(s < 0, s - emph).otherwise(s)
     norm = s / F.sqrt(s * s + F.lit(params.alpha))
     compound = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), norm)), 4)
-    cols = [c for c in keep if c != ID_COL]
-    if id_col == ID_COL:
-        out = [*cols]
-    else:
-        out = [F.col(ID_COL).alias(id_col), *[c for c in cols if c != id_col]]
+    out = []
     if all_scores:
-        ps = F.coalesce(F.col("_ps").cast("double"), F.lit(0.0))
-        ns = F.coalesce(F.col("_ns").cast("double"), F.lit(0.0))
-        neu = (F.col("_n_tok") - F.col("_np") - F.col("_nn")).cast("double")
+        ps, ns = F.col("_s_pos"), F.col("_s_neg")
+        neu = (n_tok - F.col("_s_npos") - F.col("_s_nneg")).cast("double")
         ps2 = F.when(ps > F.abs(ns), ps + emph).otherwise(ps)
         ns2 = F.when(ps < F.abs(ns), ns - emph).otherwise(ns)
         total = ps2 + F.abs(ns2) + neu
-        empty = F.col("_n_tok") == 0
 
         def prop(x: Column) -> Column:
-            return F.when(empty, F.lit(0.0)).otherwise(F.round(F.abs(x / total), 3))
+            return F.when(n_tok == 0, F.lit(0.0)).otherwise(F.round(F.abs(x / total), 3))
 
-        out += [prop(ns2).alias("neg"), prop(neu).alias("neu"), prop(ps2).alias("pos")]
-    out.append(compound.alias(out_col))
-    return agg.select(*out)
+        out = [prop(ns2).alias("neg"), prop(neu).alias("neu"), prop(ps2).alias("pos")]
+    return rows.select(*keep, *out, compound.alias(out_col))
 
 
 def score_with(df: DataFrame, scorer, text_col: str = "body",

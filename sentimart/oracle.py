@@ -9,10 +9,29 @@ independently as list functions, a lateral ``range`` and joins.
 
 from __future__ import annotations
 
-from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
-from sentimart.functions.text import LOWER_LETTER, PUNCT_CLASS, UPPER_LETTER
-from sentimart.schema import STATS_DECIMALS
-from sentimart.sources.fixture import FIXTURE_LEXICON, FIXTURE_MODIFIERS
+# Written out here, not imported: a wrong value in the package must not match
+# itself. The test lexicon and modifiers of FIXTURES.md and the
+# constants of the scoring method.
+STATS_DECIMALS = 6
+PUNCT = r"[!-/:-@\[-`{-~]"
+CAPS, NEGATION, DAMP_2, DAMP_3 = 0.733, -0.74, 0.95, 0.9
+BUT_BEFORE, BUT_AFTER = 0.5, 1.5
+EXCLAIM, EXCLAIM_MAX, QUESTION, QUESTION_MAX = 0.292, 4, 0.18, 0.96
+ALPHA = 15.0
+LEXICON = [
+    ("trash", -2.4), ("scum", -2.8), ("clown", -1.2), ("idiot", -2.3), ("worthless", -1.9),
+    ("moron", -2.2), ("pathetic", -2.0), ("loser", -2.4), ("disgusting", -2.5), ("stupid", -2.4),
+    ("the", 1.1), ("that", 0.8), ("of", -1.3), ("and", -0.7), ("to", 0.9), ("it", -1.0),
+    ("for", 1.4), ("this", -1.6)]
+BOOSTERS = [("is", 0.293), ("was", 0.293)]
+NEGATIONS = ["with", "by", "never"]
+NEAR_NEGATIONS = ["least"]
+# two words: booster scalar, factor
+PAIRS = [("kind of", -0.293, 1.0), ("never so", 0.0, 1.25), ("at least", 0.0, 1.0)]
+# clauses that rule_bodies appends, by doc_id % 12
+CLAUSES = [" but this is it", " isn't that for", " the that??", " the that???", " the that?????",
+           " IS the", " kind of the", " never so the", " least the", " at least the", " THE that",
+           " was this!!"]
 
 
 def _q(s: str) -> str:
@@ -23,88 +42,110 @@ def _f(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def words_sql(lexicon=FIXTURE_LEXICON, modifiers=FIXTURE_MODIFIERS) -> str:
-    """Word table: token, valence (NULL for boosters), in_lexicon, boost, negation."""
-    lex = ", ".join(f"({_q(t.lower())}, {_f(v)})" for t, v in lexicon)
-    mods = ", ".join(f"({_q(t.lower())}, {_q(k)}, {_f(s)})" for t, k, s in modifiers)
+def words_sql() -> str:
+    """Word table: token, valence (NULL for boosters), in_lexicon, boost,
+    negation, near."""
+    lex = ", ".join(f"({_q(t)}, {_f(v)})" for t, v in LEXICON)
+    mods = ", ".join([f"({_q(t)}, 'booster', {_f(s)})" for t, s in BOOSTERS]
+                     + [f"({_q(t)}, 'negation', {_f(0)})" for t in NEGATIONS]
+                     + [f"({_q(t)}, 'near', {_f(0)})" for t in NEAR_NEGATIONS])
     return f"""
     SELECT coalesce(l.token, m.token) AS token,
            CASE WHEN m.boost IS NULL THEN l.valence END AS valence,
            l.valence IS NOT NULL AS in_lexicon,
            m.boost AS boost,
-           coalesce(m.negation, false) AS negation
+           coalesce(m.negation, false) AS negation, coalesce(m.near, false) AS near
     FROM (SELECT token, max(valence) AS valence FROM (VALUES {lex}) t(token, valence)
           GROUP BY token) l
     FULL OUTER JOIN
          (SELECT token, max(CASE WHEN kind = 'booster' THEN scalar END) AS boost,
-                 bool_or(kind = 'negation') AS negation
+                 bool_or(kind = 'negation') AS negation, bool_or(kind = 'near') AS near
           FROM (VALUES {mods}) t(token, kind, scalar) GROUP BY token) m
     ON l.token = m.token"""
 
 
-def scorer_ctes(src: str, keep: list[str], p: ScorerParams = DEFAULT_PARAMS,
-                prefix: str = "sc") -> str:
+def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
     """CTEs ending in ``{prefix}_out(id, keep..., neg, neu, pos, vaderScore)``.
 
     ``src`` is a CTE name with columns ``id``, ``text`` and ``keep``.
     """
-    P = PUNCT_CLASS
-    strip = f"'^{P}+|{P}+$'"
+    strip = f"'^{PUNCT}+|{PUNCT}+$'"
     keep_sel = "".join(f", {k}" for k in keep)
     keep_d = "".join(f", d.{k}" for k in keep)
-    upper = f"(regexp_matches(x, '{UPPER_LETTER}') AND NOT regexp_matches(x, '{LOWER_LETTER}'))"
-
-    def ctx(d: int, damp: float, v: str) -> str:
-        return f"""CASE WHEN l{d} IS NOT NULL AND NOT coalesce(w{d}.in_lexicon, false)
-             THEN ({v} + (CASE WHEN {v} < 0 THEN -coalesce(w{d}.boost, 0.0::DOUBLE)
-                               ELSE coalesce(w{d}.boost, 0.0::DOUBLE) END) * {_f(damp)})
-                  * (CASE WHEN coalesce(w{d}.negation, false) OR contains(l{d}, {_q(p.negation_suffix)})
-                          THEN {_f(p.negation_scalar)} ELSE {_f(1.0)} END)
-             ELSE {v} END"""
-
-    v0 = f"""CASE WHEN t.up AND t.cap
-             THEN (CASE WHEN w0.valence > 0 THEN w0.valence + {_f(p.caps_increment)}
-                        ELSE w0.valence - {_f(p.caps_increment)} END)
-             ELSE w0.valence END"""
+    upper = r"(regexp_matches({0}, '\p{{Lu}}') AND NOT regexp_matches({0}, '\p{{Ll}}'))"
+
+    def ctx(d: int, damp: float) -> str:
+        """Valence after the token at distance d: booster, negation, pair."""
+        s = f"""(CASE WHEN t.v < 0 THEN -coalesce(w.boost, 0.0::DOUBLE) ELSE coalesce(w.boost, 0.0::DOUBLE) END
+          + CASE WHEN w.boost IS NOT NULL AND t.u{d} AND t.cap
+                 THEN (CASE WHEN t.v > 0 THEN {_f(CAPS)} ELSE {_f(-CAPS)} END) ELSE 0.0::DOUBLE END)
+          * {_f(damp)}"""
+        near = "OR coalesce(w.near, false)" if d == 1 else ""
+        covered = " OR ".join(f"t.f{k} IS NOT NULL" for k in (d, d + 1) if k in (2, 3))
+        step = f"""CASE WHEN l{d} IS NOT NULL AND NOT coalesce(w.in_lexicon, false)
+             THEN (t.v + {s})
+                  * (CASE WHEN (coalesce(w.negation, false) OR contains(l{d}, 'n''t') {near})
+                               AND NOT ({covered})
+                          THEN {_f(NEGATION)} ELSE {_f(1.0)} END)
+             ELSE t.v END"""
+        return step
+
+    def after_pair(d: int) -> str:
+        return f"""CASE WHEN f{d} IS NULL THEN v
+             ELSE (v + CASE WHEN v < 0 THEN -b{d} ELSE b{d} END) * f{d} END"""
+
+    pairs = ", ".join(f"({_q(t)}, {_f(b)}, {_f(f)})" for t, b, f in PAIRS)
+    rest = "t.id, t.i, t.but, t.cap, t.l1, t.l2, t.l3, t.u1, t.u2, t.u3, t.f2, t.b2, t.f3, t.b3"
     return f"""
 {prefix}_words AS ({words_sql()}),
+{prefix}_pairs AS (SELECT * FROM (VALUES {pairs}) t(token, boost, factor)),
 {prefix}_tok AS (
   SELECT id{keep_sel}, coalesce(text, '') AS text,
-         list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''),
-           lambda x: CASE WHEN length(regexp_replace(x, {strip}, '', 'g')) <= 2 THEN x
-                     ELSE regexp_replace(x, {strip}, '', 'g') END) AS toks
+         list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS raw
   FROM {src}),
 {prefix}_doc AS (
-  SELECT id{keep_sel}, toks, len(toks) AS n_tok,
-         len(list_filter(toks, lambda x: {upper})) AS n_up,
-         coalesce(list_position(list_transform(toks, lambda x: lower(x)), {_q(p.but_token)}), 0) AS but,
+  SELECT id{keep_sel}, raw, len(raw) AS n_tok,
+         list_transform(raw,
+           lambda x: CASE WHEN length(regexp_replace(x, {strip}, '', 'g')) <= 2 THEN lower(x)
+                     ELSE lower(regexp_replace(x, {strip}, '', 'g')) END) AS toks,
+         len(list_filter(raw, lambda x: {upper.format('x')})) AS n_up,
          length(text) - length(replace(text, '!', '')) AS n_excl,
          length(text) - length(replace(text, '?', '')) AS n_q
   FROM {prefix}_tok),
 {prefix}_pos AS (
-  SELECT id, i, lower(toks[i]) AS lw,
-         (regexp_matches(toks[i], '{UPPER_LETTER}') AND NOT regexp_matches(toks[i], '{LOWER_LETTER}')) AS up,
-         CASE WHEN i > 1 THEN lower(toks[i - 1]) END AS l1,
-         CASE WHEN i > 2 THEN lower(toks[i - 2]) END AS l2,
-         CASE WHEN i > 3 THEN lower(toks[i - 3]) END AS l3,
-         (n_up > 0 AND n_up < n_tok) AS cap, but
-  FROM (SELECT id, toks, n_up, n_tok, but, unnest(range(1, n_tok + 1)) AS i FROM {prefix}_doc)),
+  SELECT id, i, toks[i] AS lw, {upper.format('raw[i]')} AS up,
+         CASE WHEN i > 1 THEN toks[i - 1] END AS l1,
+         CASE WHEN i > 2 THEN toks[i - 2] END AS l2,
+         CASE WHEN i > 3 THEN toks[i - 3] END AS l3,
+         coalesce(i > 1 AND {upper.format('raw[i - 1]')}, false) AS u1,
+         coalesce(i > 2 AND {upper.format('raw[i - 2]')}, false) AS u2,
+         coalesce(i > 3 AND {upper.format('raw[i - 3]')}, false) AS u3,
+         (n_up > 0 AND n_up < n_tok) AS cap, coalesce(list_position(toks, 'but'), 0) AS but
+  FROM (SELECT id, raw, toks, n_up, n_tok, unnest(range(1, n_tok + 1)) AS i FROM {prefix}_doc)),
 {prefix}_v0 AS (
-  SELECT t.id, t.i, t.but, t.l1, t.l2, t.l3, {v0} AS v
+  SELECT t.*, p2.factor AS f2, p2.boost AS b2, p3.factor AS f3, p3.boost AS b3,
+         CASE WHEN t.up AND t.cap
+              THEN (CASE WHEN w0.valence > 0 THEN w0.valence + {_f(CAPS)}
+                         ELSE w0.valence - {_f(CAPS)} END)
+              ELSE w0.valence END AS v
   FROM {prefix}_pos t JOIN {prefix}_words w0 ON t.lw = w0.token
+  LEFT JOIN {prefix}_pairs p2 ON t.l2 || ' ' || t.l1 = p2.token
+  LEFT JOIN {prefix}_pairs p3 ON t.l3 || ' ' || t.l2 = p3.token
   WHERE w0.valence IS NOT NULL),
 {prefix}_v1 AS (
-  SELECT t.id, t.i, t.but, t.l2, t.l3, {ctx(1, 1.0, 't.v')} AS v
-  FROM {prefix}_v0 t LEFT JOIN {prefix}_words w1 ON t.l1 = w1.token),
-{prefix}_v2 AS (
-  SELECT t.id, t.i, t.but, t.l3, {ctx(2, p.damp_distance_2, 't.v')} AS v
-  FROM {prefix}_v1 t LEFT JOIN {prefix}_words w2 ON t.l2 = w2.token),
-{prefix}_v3 AS (
-  SELECT t.id, t.i, t.but, {ctx(3, p.damp_distance_3, 't.v')} AS v
-  FROM {prefix}_v2 t LEFT JOIN {prefix}_words w3 ON t.l3 = w3.token),
+  SELECT {rest}, {ctx(1, 1.0)} AS v
+  FROM {prefix}_v0 t LEFT JOIN {prefix}_words w ON t.l1 = w.token),
+{prefix}_v2a AS (
+  SELECT {rest}, {ctx(2, DAMP_2)} AS v
+  FROM {prefix}_v1 t LEFT JOIN {prefix}_words w ON t.l2 = w.token),
+{prefix}_v2 AS (SELECT * EXCLUDE (v), {after_pair(2)} AS v FROM {prefix}_v2a),
+{prefix}_v3a AS (
+  SELECT {rest}, {ctx(3, DAMP_3)} AS v
+  FROM {prefix}_v2 t LEFT JOIN {prefix}_words w ON t.l3 = w.token),
+{prefix}_v3 AS (SELECT * EXCLUDE (v), {after_pair(3)} AS v FROM {prefix}_v3a),
 {prefix}_val AS (
-  SELECT id, CAST(CASE WHEN but > 0 AND i < but THEN v * {_f(p.but_before)}
-                       WHEN but > 0 AND i > but THEN v * {_f(p.but_after)}
+  SELECT id, CAST(CASE WHEN but > 0 AND i < but THEN v * {_f(BUT_BEFORE)}
+                       WHEN but > 0 AND i > but THEN v * {_f(BUT_AFTER)}
                        ELSE v END AS DECIMAL(24,12)) AS vd
   FROM {prefix}_v3),
 {prefix}_agg AS (
@@ -116,10 +157,10 @@ def scorer_ctes(src: str, keep: list[str], p: ScorerParams = DEFAULT_PARAMS,
   FROM {prefix}_val GROUP BY id),
 {prefix}_pre AS (
   SELECT d.id{keep_d}, d.n_tok,
-         least(d.n_excl, {p.exclaim_max}) * {_f(p.exclaim_increment)}
+         least(d.n_excl, {EXCLAIM_MAX}) * {_f(EXCLAIM)}
            + CASE WHEN d.n_q <= 1 THEN 0.0::DOUBLE
-                  WHEN d.n_q <= 3 THEN d.n_q * {_f(p.question_increment)}
-                  ELSE {_f(p.question_max_emphasis)} END AS emph,
+                  WHEN d.n_q <= 3 THEN d.n_q * {_f(QUESTION)}
+                  ELSE {_f(QUESTION_MAX)} END AS emph,
          coalesce(CAST(a.s AS DOUBLE), 0.0::DOUBLE) AS s,
          coalesce(CAST(a.ps AS DOUBLE), 0.0::DOUBLE) AS ps,
          coalesce(CAST(a.ns AS DOUBLE), 0.0::DOUBLE) AS ns,
@@ -136,11 +177,18 @@ def scorer_ctes(src: str, keep: list[str], p: ScorerParams = DEFAULT_PARAMS,
          CASE WHEN n_tok = 0 THEN 0.0::DOUBLE ELSE round(abs(ns2 / (ps2 + abs(ns2) + neu)), 3) END AS neg,
          CASE WHEN n_tok = 0 THEN 0.0::DOUBLE ELSE round(abs(neu / (ps2 + abs(ns2) + neu)), 3) END AS neu,
          CASE WHEN n_tok = 0 THEN 0.0::DOUBLE ELSE round(abs(ps2 / (ps2 + abs(ns2) + neu)), 3) END AS pos,
-         round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, s2 / sqrt(s2 * s2 + {_f(p.alpha)}))), 4)
+         round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, s2 / sqrt(s2 * s2 + {_f(ALPHA)}))), 4)
            AS vaderScore
   FROM {prefix}_emph)"""
 
 
+def rule_bodies_sql() -> str:
+    """Whole texts with a clause that fires one rule each."""
+    return ("SELECT doc_id AS id, text || (["
+            + ", ".join(_q(c) for c in CLAUSES)
+            + "])[CAST(doc_id % 12 AS INTEGER) + 1] AS text FROM documents")
+
+
 # --- fixture posts ---------------------------------------------------------
 
 def posts_sql(kind: str = "chicago") -> str:

@@ -32,7 +32,7 @@ from sentimart.operators.match import match_names, movie_chunks, unique_movies
 from sentimart.operators.score import score_text
 from sentimart.schema import (COUNTS_COLUMNS, STATS_COLUMNS, STATS_DECIMALS,
                               THRESHOLDS_DEFAULT)
-from sentimart.session import shared_dir
+from sentimart.session import remove_dir, shared_dir
 
 SCORE_DECIMAL = "decimal(10,4)"
 
@@ -43,13 +43,20 @@ class DailyOutputs:
     stats: DataFrame
     partial: DataFrame
     mapping: DataFrame
+    folder: str | None = None    # of the partial table, when it was written
 
-    def unpersist(self) -> None:
+    def close(self) -> None:
+        """Drop the partial table (cached or written); the outputs cannot be
+        computed any more afterwards."""
         self.partial.unpersist()
+        if self.folder:
+            remove_dir(self.partial.sparkSession, self.folder)
+            self.folder = None
 
 
-def materialize(partial: DataFrame, how: str | None) -> DataFrame:
-    """Keep the partial table for the several branches that read it.
+def materialize(partial: DataFrame, how: str | None) -> tuple[DataFrame, str | None]:
+    """Keep the partial table for the several branches that read it; returns
+    it and its folder, if it has one.
 
     ``table`` (default): write it as Parquet to a fresh folder under
     ``spark.checkpoint.dir`` and read it back -- one scoring job, lineage
@@ -61,28 +68,31 @@ def materialize(partial: DataFrame, how: str | None) -> DataFrame:
         spark = partial.sparkSession
         path = shared_dir(spark, "partial")
         partial.write.mode("overwrite").parquet(path)
-        return spark.read.schema(partial.schema).parquet(path)
+        return spark.read.schema(partial.schema).parquet(path), path
     if how == "persist":
-        return partial.persist(StorageLevel.MEMORY_AND_DISK)
+        return partial.persist(StorageLevel.MEMORY_AND_DISK), None
     if how is None:
-        return partial
+        return partial, None
     raise ValueError(f"materialize must be 'table', 'persist' or None, got {how!r}")
 
 
 def scored_posts(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                  kind: str = "chicago", thresholds: list[float] | None = None,
                  lang: str = "en", extra_keys: list[str] | None = None,
-                 keep_arrays: bool = False) -> DataFrame:
+                 keep_arrays: bool = False, keep: list[str] | None = None,
+                 min_partitions: int | None = None) -> DataFrame:
     """Clean, score and classify: one row per post with the movie string,
-    the date, ``vaderScore`` and ``vaderClassifier`` (plus ``extra_keys``)."""
+    the date, ``vaderScore`` and ``vaderClassifier`` (plus ``extra_keys`` of
+    the raw posts and ``keep`` columns of the cleaned ones)."""
     extra_keys = list(extra_keys or [])
     posts = clean_posts(raw, kind=kind, lang=lang, keep_arrays=keep_arrays, extra=extra_keys)
     if keep_arrays and kind == "gnip":
         # gnip folders name movies by the rule values, so exact matching
         # compares names with the value array
         posts = posts.withColumn("tags", F.col("values"))
-    keep = ["movieName", "date", *extra_keys] + (["tags"] if keep_arrays else [])
-    scored = score_text(posts, lexicon, modifiers, text_col="body", keep=keep)
+    keep = ["movieName", "date", *extra_keys, *(keep or [])] + (["tags"] if keep_arrays else [])
+    scored = score_text(posts, lexicon, modifiers, text_col="body", keep=keep,
+                        min_partitions=min_partitions)
     return classify(scored, thresholds=thresholds or THRESHOLDS_DEFAULT)
 
 
@@ -142,15 +152,18 @@ def movie_outputs(partial: DataFrame, names: DataFrame, keys: list[str] | None =
     """Counts and stats for every movie in ``names``.
 
     ``names`` has ``movieName`` (+ ``keys`` when movies are per key, e.g.
-    per folder, + ``name_extra`` columns carried to the outputs, e.g.
-    ``chunkId``). Returns (counts, stats, mapping).
+    per folder; a list without them holds for every key; + ``name_extra``
+    columns carried to the outputs, e.g. ``chunkId``). Returns (counts, stats, mapping).
     """
     keys = list(keys or [])
     name_extra = list(name_extra or [])
     tags = "tags" if match == "exact" else None
-    str_cols = [*keys, "movieName"] + ([tags] if tags else [])
+    # a plain list of names (no key columns) holds for every key
+    per_key = bool(keys) and set(keys) <= set(names.columns)
+    match_on = keys if per_key else []
+    str_cols = [*match_on, "movieName"] + ([tags] if tags else [])
     strings = partial.select(*str_cols).distinct()
-    if keys:
+    if per_key:
         mapping = _match_by_keys(strings, names, keys, match, tags, name_extra)
     else:
         mapping = match_names(strings, names.select("movieName"), match=match, tags_col=tags)
@@ -158,7 +171,7 @@ def movie_outputs(partial: DataFrame, names: DataFrame, keys: list[str] | None =
             mapping = mapping.join(names.select(F.col("movieName").alias("name"), *name_extra),
                                    "name")
     part = partial.drop("tags") if tags else partial
-    joined = part.join(mapping, [*keys, "movieName"])
+    joined = part.join(mapping, [*match_on, "movieName"])
     out_keys = [*keys, *name_extra]
     counts = (joined.groupBy(*out_keys, "name", "date", "vaderClassifier")
                     .agg(F.sum("n").alias("nTweets"))
@@ -193,7 +206,7 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                     movies: DataFrame | None = None, match: str = "like",
                     keys: list[str] | None = None, name_extra: list[str] | None = None,
                     lang: str = "en", persist: bool | str | None = True,
-                    order: bool = True) -> DailyOutputs:
+                    order: bool = True, min_partitions: int | None = None) -> DailyOutputs:
     """C4/C5 (flagship): load, score, classify, movies found or given, both outputs.
 
     ``movies`` (``movieName`` [+ keys] [+ name_extra]) -- when omitted, the
@@ -208,10 +221,11 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     keys = list(keys or [])
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds, lang,
-                              extra_keys=keys, keep_arrays=(match == "exact"))
+                              extra_keys=keys, keep_arrays=(match == "exact"),
+                              min_partitions=min_partitions)
     partial = partial_aggregate(classified, keys + (["tags"] if match == "exact" else []))
     how = "table" if persist is True else (persist or None)
-    partial = materialize(partial, how)
+    partial, folder = materialize(partial, how)
     if movies is None:
         found = partial.select(*keys, "movieName").distinct()
         if keys:
@@ -219,7 +233,7 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
         else:
             movies = unique_movies(found)
     counts, stats, mapping = movie_outputs(partial, movies, keys, match, order, name_extra)
-    return DailyOutputs(counts, stats, partial, mapping)
+    return DailyOutputs(counts, stats, partial, mapping, folder)
 
 
 def _unique_by_keys(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,14 +246,15 @@ def _unique_by_keys(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def daily_summary(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                   kind: str = "chicago", thresholds: list[float] | None = None,
-                  movies: DataFrame | None = None, match: str = "like") -> DataFrame:
+                  movies: DataFrame | None = None, match: str = "like",
+                  min_partitions: int | None = None) -> DataFrame:
     """Both outputs in one table per (movie, day): statistics plus one count
     column per class (``nClass0`` ..), from a single aggregate."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds,
-                              keep_arrays=(match == "exact"))
+                              keep_arrays=(match == "exact"), min_partitions=min_partitions)
     partial = partial_aggregate(classified, ["tags"] if match == "exact" else [])
-    partial = materialize(partial, "table")
+    partial, _ = materialize(partial, "table")
     if movies is None:
         movies = unique_movies(partial.select("movieName").distinct())
     return movie_summary(partial, movies, len(thresholds) - 1, match)
@@ -247,15 +262,52 @@ def daily_summary(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
 
 def chunked_daily(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                   movie_list: DataFrame | None = None, kind: str = "gnip",
-                  thresholds: list[float] | None = None, match: str = "like") -> DailyOutputs:
+                  thresholds: list[float] | None = None, match: str = "like",
+                  min_partitions: int | None = None) -> DailyOutputs:
     """Outputs for a chunked movie list in ONE job; ``chunkId`` carried
     to the outputs (the original reloads and rescores the data per chunk).
     Without a list, movies are found and chunked first (C6-C8)."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
-    classified = scored_posts(raw, lexicon, modifiers, kind, thresholds)
-    partial = materialize(partial_aggregate(classified, []), "table")
+    classified = scored_posts(raw, lexicon, modifiers, kind, thresholds,
+                              min_partitions=min_partitions)
+    partial, folder = materialize(partial_aggregate(classified, []), "table")
     if movie_list is None:
         movie_list = movie_chunks(unique_movies(partial.select("movieName").distinct()))
     counts, stats, mapping = movie_outputs(partial, movie_list, [], match,
                                            name_extra=["chunkId"])
-    return DailyOutputs(counts, stats, partial, mapping)
+    return DailyOutputs(counts, stats, partial, mapping, folder)
+
+
+def _regroup(partial: DataFrame, movie_col: str, keys: list[str]) -> DataFrame:
+    """Partial rows of a wider table, merged to the keys and movie column."""
+    return (partial.withColumn("movieName", F.col(movie_col))
+                   .groupBy(*keys, "movieName", "date", "vaderClassifier")
+                   .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("sq").alias("sq"),
+                        F.min("mn").alias("mn"), F.max("mx").alias("mx")))
+
+
+def both_kinds(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
+               thresholds: list[float] | None = None, match: str = "like",
+               keys: list[str] | None = None,
+               min_partitions: int | None = None) -> tuple[DailyOutputs, DailyOutputs]:
+    """The outputs by rule tag (chicago kind) and by rule value (gnip kind),
+    from ONE scoring pass: the partial table carries both strings and the
+    ``keys`` (e.g. ``folder``). The chicago side is per ``keys``, the gnip
+    side is chunked (``chunkId``). Both share one folder; close the first."""
+    if match == "exact":
+        raise ValueError("both_kinds matches by 'like' or 'contains'")
+    thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
+    keys = list(keys or [])
+    classified = scored_posts(raw, lexicon, modifiers, "chicago", thresholds, extra_keys=keys,
+                              keep=["searchPattern"], min_partitions=min_partitions)
+    wide, folder = materialize(partial_aggregate(classified, [*keys, "searchPattern"]), "table")
+    by_tag = _regroup(wide, "movieName", keys)
+    found = by_tag.select(*keys, "movieName").distinct()
+    movies = _unique_by_keys(found, keys) if keys else unique_movies(found)
+    chicago = DailyOutputs(*movie_outputs(by_tag, movies, keys, match, False)[:2], by_tag, movies,
+                           folder)
+    by_value = _regroup(wide, "searchPattern", [])
+    listed = movie_chunks(unique_movies(by_value.select("movieName").distinct()))
+    gnip = DailyOutputs(*movie_outputs(by_value, listed, [], match, False, ["chunkId"])[:2],
+                        by_value, listed)
+    return chicago, gnip

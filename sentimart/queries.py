@@ -27,7 +27,7 @@ from sentimart.schema import (THRESHOLDS_4WAY, THRESHOLDS_DEFAULT, THRESHOLDS_TH
 from sentimart.session import shared_dir
 from sentimart.sources import posts as S
 from sentimart.sources import sinks as K
-from sentimart.sources.fixture import fixture_lexicon, fixture_posts, read_table
+from sentimart.sources.fixture import (fixture_lexicon, fixture_posts, read_table, rule_bodies)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,22 +57,40 @@ def _lex(spark):
     return fixture_lexicon(spark)
 
 
-def _scored_docs(spark, sf, all_scores=False):
+# The test tables are one file each; scoring is spread over at least this many
+# tasks (an input of that many files, of any size, is left as it is).
+TASKS = 8
+
+
+def _scored_docs(spark, sf, all_scores=False, keep=("doc_id",)):
     lex, mods = _lex(spark)
     docs = read_table(spark, sf, "documents")
-    return score_text(docs, lex, mods, text_col="text", id_col="doc_id", all_scores=all_scores)
+    return score_text(docs, lex, mods, text_col="text", all_scores=all_scores,
+                      keep=keep and list(keep), min_partitions=TASKS)
 
 
 def _classified(spark, sf, kind="chicago", thresholds=None, extra=None):
     lex, mods = _lex(spark)
     return PL.scored_posts(_posts(spark, sf, with_folder=bool(extra)), lex, mods, kind=kind,
-                           thresholds=thresholds or THRESHOLDS_DEFAULT, extra_keys=extra)
+                           thresholds=thresholds or THRESHOLDS_DEFAULT, extra_keys=extra,
+                           min_partitions=TASKS)
 
 
 def _daily(spark, sf, **kw):
     lex, mods = _lex(spark)
     raw = _posts(spark, sf, with_folder="keys" in kw)
-    return PL.daily_sentiment(raw, lex, mods, persist=True, order=False, **kw)
+    return PL.daily_sentiment(raw, lex, mods, persist=True, order=False, min_partitions=TASKS,
+                              **kw)
+
+
+def _joined_outputs(counts: DataFrame, stats: DataFrame, keys: list[str], n_classes: int = 3):
+    """Both outputs in one table, so that one key checks both: the statistics
+    and a count column per class."""
+    on = [*keys, "date", "movieName"]
+    wide = counts.groupBy(*on).agg(*[
+        F.coalesce(F.sum(F.when(F.col("vaderClassifier") == float(k), F.col("nTweets"))), F.lit(0))
+         .alias(f"nClass{k}") for k in range(n_classes)])
+    return stats.join(wide, on)
 
 
 def _w(*ctes: str) -> str:
@@ -167,17 +185,19 @@ def q_folder_column(spark, sf):
     return df.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("nPosts"))
 
 
-@register("empty_files")
+@register("empty_files", """
+SELECT 'chicago_' || CAST(doc_id % 3 AS VARCHAR) AS folder,
+       count(CASE WHEN doc_id % 97 = 0 THEN 1 END) AS nEmpty
+FROM documents GROUP BY doc_id % 3""")
 def q_empty_files(spark, sf):
     root = _stage_folders(spark, sf)
-    # one zero-length file per folder, as left behind by an interrupted copy
-    dirs = {r.path.rsplit("/", 1)[0] for r in S.list_files(spark, root).select("path").collect()}
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for d in sorted(dirs):
-        p = jvm.org.apache.hadoop.fs.Path(f"{d}/empty-0.json.gz")
-        p.getFileSystem(conf).create(p, True).close()
-    return S.file_report(spark, root)
+    # a zero-length file for every post that came without rules, as left
+    # behind by an interrupted copy
+    docs = read_table(spark, sf, "documents").where("doc_id % 97 = 0")
+    K.write_empty_files(docs.select(
+        F.concat(F.lit("chicago_"), (F.col("doc_id") % 3).cast("string")).alias("folder"),
+        F.col("doc_id").alias("n")), root)
+    return S.file_report(spark, root).select("folder", "nEmpty")
 
 
 _STATS_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + f"""
@@ -191,12 +211,23 @@ FROM cls s JOIN movies m ON s.movieName LIKE '%' || m.name || '%'
 GROUP BY s.date, s.vaderClassifier, m.name"""
 
 
-@register("write_csv_roundtrip", _STATS_ORACLE)
+_JOINED_COLUMNS = """count(CASE WHEN s.vaderClassifier = 0.0 THEN 1 END) AS nClass0,
+       count(CASE WHEN s.vaderClassifier = 1.0 THEN 1 END) AS nClass1,
+       count(CASE WHEN s.vaderClassifier = 2.0 THEN 1 END) AS nClass2"""
+
+_BOTH_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + f"""
+SELECT s.date, {O.stats_select()}, m.name AS movieName, {_JOINED_COLUMNS}
+FROM cls s JOIN movies m ON s.movieName LIKE '%' || m.name || '%'
+GROUP BY s.date, m.name"""
+
+
+@register("write_csv_roundtrip", _BOTH_ORACLE)
 def q_write_csv_roundtrip(spark, sf):
     out = _daily(spark, sf)
     root = shared_dir(spark, "csv")
     K.write_daily(out.counts, out.stats, root)
-    return K.read_stats(spark, f"{root}/stats/daily")
+    return _joined_outputs(K.read_counts(spark, f"{root}/counts/daily"),
+                           K.read_stats(spark, f"{root}/stats/daily"), [])
 
 
 _CHUNKS_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + """
@@ -232,7 +263,7 @@ def q_text_only(spark, sf):
 
 @register("filter_lang", _w(_POSTS) + "\n" + _P1_SQL + " WHERE twitter_lang = 'en'")
 def q_filter_lang(spark, sf):
-    return _p1_strings(_posts(spark, sf)).where(F.col("twitter_lang") == "en")
+    return C.filter_lang(_p1_strings(_posts(spark, sf)))
 
 
 @register("drop_nulls", _w(_POSTS) + "\n" + _P1_SQL + " WHERE tag IS NOT NULL")
@@ -315,15 +346,28 @@ def q_movie_sample(spark, sf):
 
 # --- V/U: scoring and classification -----------------------------------------
 
-@register("score_compound", _w(_DOC_SCORES) + "\nSELECT id AS doc_id, vaderScore FROM sc_out")
+@register("score_compound", _w(_DOC_SCORES) + """
+SELECT d.*, s.vaderScore FROM documents d JOIN sc_out s ON d.doc_id = s.id""")
 def q_score_compound(spark, sf):
-    return _scored_docs(spark, sf)
+    return _scored_docs(spark, sf, keep=None)
 
 
 @register("score_all", _w(_DOC_SCORES) + """
-SELECT id AS doc_id, neg, neu, pos, vaderScore AS comp FROM sc_out""")
+SELECT d.doc_id, d.text AS body, neg, neu, pos, vaderScore AS comp
+FROM documents d JOIN sc_out s ON d.doc_id = s.id""")
 def q_score_all(spark, sf):
-    return _scored_docs(spark, sf, all_scores=True).withColumnRenamed("vaderScore", "comp")
+    return (_scored_docs(spark, sf, all_scores=True, keep=("doc_id", "text"))
+            .withColumnRenamed("vaderScore", "comp").withColumnRenamed("text", "body"))
+
+
+@register("score_rules", _w(f"bodies AS ({O.rule_bodies_sql()}),\n" + O.scorer_ctes("bodies", [])) + """
+SELECT id AS doc_id, neg, neu, pos, vaderScore AS comp FROM sc_out""")
+def q_score_rules(spark, sf):
+    """Texts with an appended clause, so that every rule of the scorer fires."""
+    lex, mods = _lex(spark)
+    bodies = rule_bodies(read_table(spark, sf, "documents"))
+    return (score_text(bodies, lex, mods, keep=["doc_id"], all_scores=True, min_partitions=TASKS)
+            .withColumnRenamed("vaderScore", "comp"))
 
 
 def _classify_sql(splits):
@@ -433,7 +477,16 @@ def q_movie_match_counts(spark, sf):
                       .withColumnRenamed("name", "movieName"))
 
 
-@register("describe_frame")
+_DESCRIBED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", {mean} AS mean, {dev} AS stddev,
+       CAST(min({c}) AS VARCHAR) AS "min", CAST(max({c}) AS VARCHAR) AS "max" FROM clean"""
+    for c, mean, dev in [
+        ("retweetCount", "round(avg(retweetCount), 6)", "round(stddev_samp(retweetCount), 6)"),
+        ("movieName", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+        ("twitter_lang", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")])
+
+
+@register("describe_frame", _w(_POSTS, _CLEAN) + "\n" + _DESCRIBED)
 def q_describe_frame(spark, sf):
     return D.describe_frame(_clean(spark, sf).select("retweetCount", "movieName", "twitter_lang"))
 
@@ -488,9 +541,10 @@ SELECT 'gnip' AS dataset, s.date, s.vaderClassifier, count(*) AS nTweets, m.name
 FROM gcls s JOIN gmovies m ON s.movieName LIKE '%' || m.name || '%'
 GROUP BY s.date, s.vaderClassifier, m.name""")
 def q_union_outputs(spark, sf):
-    a = _daily(spark, sf, kind="chicago").counts.withColumn("dataset", F.lit("chicago"))
-    b = _daily(spark, sf, kind="gnip").counts.withColumn("dataset", F.lit("gnip"))
-    return a.unionByName(b)
+    lex, mods = _lex(spark)
+    chicago, gnip = PL.both_kinds(_posts(spark, sf), lex, mods, min_partitions=TASKS)
+    return (chicago.counts.withColumn("dataset", F.lit("chicago"))
+            .unionByName(gnip.counts.drop("chunkId").withColumn("dataset", F.lit("gnip"))))
 
 
 # --- C: composed jobs --------------------------------------------------------
@@ -516,7 +570,7 @@ GROUP BY s.date, m.name"""
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     lex, mods = _lex(spark)
-    return PL.daily_summary(_posts(spark, sf), lex, mods)
+    return PL.daily_summary(_posts(spark, sf), lex, mods, min_partitions=TASKS)
 
 
 register("daily_sentiment", _SUMMARY_ORACLE)(flagship)
@@ -546,49 +600,80 @@ def q_movie_chunks(spark, sf):
 
 _FOLDER_ORACLE = _w(O.classified_ctes("chicago", extra=["folder"]),
                     f"movies AS ({O.movies_found_sql('clean', ['folder'])})") + f"""
-SELECT s.folder, s.date, {O.stats_select()}, m.name AS movieName
+SELECT s.folder, s.date, {O.stats_select()}, m.name AS movieName, {_JOINED_COLUMNS}
 FROM cls s JOIN movies m ON s.folder = m.folder AND s.movieName LIKE '%' || m.name || '%'
 GROUP BY s.folder, s.date, m.name"""
 
 
 @register("folder_daily", _FOLDER_ORACLE)
 def q_folder_daily(spark, sf):
-    return _daily(spark, sf, keys=["folder"]).stats
+    out = _daily(spark, sf, keys=["folder"])
+    return _joined_outputs(out.counts, out.stats, ["folder"])
+
+
+_LISTED_FOLDER_ORACLE = _w(O.classified_ctes("chicago", extra=["folder"]),
+                           "movies AS (SELECT DISTINCT source AS name FROM documents)") + f"""
+SELECT s.folder, s.date, {O.stats_select()}, m.name AS movieName, {_JOINED_COLUMNS}
+FROM cls s JOIN movies m ON s.movieName LIKE '%' || m.name || '%'
+GROUP BY s.folder, s.date, m.name"""
 
 
-_CHUNK_DAILY_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})", """chunks AS (
+@register("folder_daily_listed", _LISTED_FOLDER_ORACLE)
+def q_folder_daily_listed(spark, sf):
+    movies = read_table(spark, sf, "documents").select(F.col("source").alias("movieName")).distinct()
+    out = _daily(spark, sf, keys=["folder"], movies=movies)
+    return _joined_outputs(out.counts, out.stats, ["folder"])
+
+
+def _chunk_ctes(src: str, prefix: str = "") -> str:
+    return f"""{prefix}chunks AS (
   SELECT name, CAST(floor((row_number() OVER (ORDER BY name) - 1) / 10) AS INTEGER) AS chunkId
-  FROM movies)""") + """
-SELECT c.chunkId, s.date, s.vaderClassifier, count(*) AS nTweets, c.name AS movieName
+  FROM ({O.movies_found_sql(src)}))"""
+
+
+_CHUNK_DAILY_ORACLE = _w(O.classified_ctes("gnip"), _chunk_ctes("clean")) + f"""
+SELECT c.chunkId, s.date, {O.stats_select()}, c.name AS movieName, {_JOINED_COLUMNS}
 FROM cls s JOIN chunks c ON s.movieName LIKE '%' || c.name || '%'
-GROUP BY c.chunkId, s.date, s.vaderClassifier, c.name"""
+GROUP BY c.chunkId, s.date, c.name"""
 
 
 @register("chunk_daily", _CHUNK_DAILY_ORACLE)
 def q_chunk_daily(spark, sf):
     lex, mods = _lex(spark)
-    out = PL.chunked_daily(_posts(spark, sf), lex, mods, kind="chicago")
-    return out.counts
+    out = PL.chunked_daily(_posts(spark, sf), lex, mods, kind="gnip", min_partitions=TASKS)
+    return _joined_outputs(out.counts, out.stats, ["chunkId"])
 
 
 _RUN_ALL_ORACLE = _w(O.classified_ctes("chicago", extra=["folder"]),
                      f"fmovies AS ({O.movies_found_sql('clean', ['folder'])})",
-                     f"movies AS ({O.movies_found_sql('clean')})") + f"""
-SELECT 'folders' AS dataset, s.date, {O.stats_select()}, m.name AS movieName
+                     _GNIP_CLS, _chunk_ctes("gclean")) + f"""
+SELECT 'folders' AS dataset, s.folder AS part, s.date, {O.stats_select()}, m.name AS movieName,
+       {_JOINED_COLUMNS}
 FROM cls s JOIN fmovies m ON s.folder = m.folder AND s.movieName LIKE '%' || m.name || '%'
 GROUP BY s.folder, s.date, m.name
 UNION ALL
-SELECT 'chunks' AS dataset, s.date, {O.stats_select()}, m.name AS movieName
-FROM cls s JOIN movies m ON s.movieName LIKE '%' || m.name || '%'
-GROUP BY s.date, m.name"""
+SELECT 'chunks' AS dataset, CAST(c.chunkId AS VARCHAR) AS part, s.date, {O.stats_select()},
+       c.name AS movieName, {_JOINED_COLUMNS}
+FROM gcls s JOIN chunks c ON s.movieName LIKE '%' || c.name || '%'
+GROUP BY c.chunkId, s.date, c.name"""
 
 
 @register("run_all", _RUN_ALL_ORACLE)
 def q_run_all(spark, sf):
+    """The whole workflow: folders of the chicago kind and chunks of the gnip
+    kind from one scoring pass, both outputs written in the partitioned layout
+    and read back."""
     lex, mods = _lex(spark)
-    raw = _posts(spark, sf, with_folder=True)
-    folders = PL.daily_sentiment(raw, lex, mods, keys=["folder"], persist=True, order=False)
-    chunks = PL.chunked_daily(raw.drop("folder"), lex, mods, kind="chicago")
-    a = folders.stats.drop("folder").withColumn("dataset", F.lit("folders"))
-    b = chunks.stats.drop("chunkId").withColumn("dataset", F.lit("chunks"))
-    return a.unionByName(b)
+    chicago, gnip = PL.both_kinds(_posts(spark, sf, with_folder=True), lex, mods, keys=["folder"],
+                                  min_partitions=TASKS)
+    root, parts = shared_dir(spark, "run-all"), []
+    for name, out, by, kind in (("folders", chicago, "folder", "string"),
+                                ("chunks", gnip, "chunkId", "int")):
+        K.write_daily(out.counts, out.stats, f"{root}/{name}", partition_by=[by])
+        both = _joined_outputs(
+            K.read_counts(spark, f"{root}/{name}/counts/daily", [(by, kind)]),
+            K.read_stats(spark, f"{root}/{name}/stats/daily", [(by, kind)]), [by])
+        parts.append(both.withColumn("dataset", F.lit(name))
+                         .withColumn("part", F.col(by).cast("string")).drop(by))
+    chicago.close()
+    return parts[0].unionByName(parts[1])

@@ -7,6 +7,7 @@ The library never builds its own session inside an operator: callers pass
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,7 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        # "local-cluster" has executors of its own, like a cluster
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder every executor can read "
                 "(shared storage); a machine-local folder does not work on a cluster")
@@ -60,3 +62,9 @@ def shared_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh, unique folder inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/sentimart-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package made, whatever the file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

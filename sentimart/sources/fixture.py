@@ -38,8 +38,15 @@ FIXTURE_LEXICON: list[tuple[str, float]] = [
 ]
 FIXTURE_MODIFIERS: list[tuple[str, str, float]] = [
     ("is", "booster", 0.293), ("was", "booster", 0.293),
-    ("with", "negation", 0.0), ("by", "negation", 0.0),
+    ("with", "negation", 0.0), ("by", "negation", 0.0), ("never", "negation", 0.0),
+    ("least", "negation_near", 0.0), ("kind of", "booster", -0.293),
+    ("never so", "amplifier", 1.25), ("at least", "amplifier", 1.0),
 ]
+# Clauses appended by ``rule_bodies``, one rule each, as the
+# generated prose holds no "but", no "n't", no "?" and no idiom.
+RULE_CLAUSES = [" but this is it", " isn't that for", " the that??", " the that???",
+                " the that?????", " IS the", " kind of the", " never so the", " least the",
+                " at least the", " THE that", " was this!!"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +88,13 @@ def fixture_posts(spark: SparkSession, sf_dir: str, with_folder: bool = False,
     return posts_from_documents(read_table(spark, sf_dir, "documents"), with_folder, with_id)
 
 
+def rule_bodies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, body)``: the whole text and a clause by ``doc_id % 12``."""
+    clause = F.element_at(F.array(*[F.lit(c) for c in RULE_CLAUSES]),
+                          (F.col("doc_id") % len(RULE_CLAUSES) + 1).cast("int"))
+    return docs.select("doc_id", F.concat("text", clause).alias("body"))
+
+
 def fixture_lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     from sentimart.functions.lexicon import lexicon_frame, modifiers_frame
     return lexicon_frame(spark, FIXTURE_LEXICON), modifiers_frame(spark, FIXTURE_MODIFIERS)

@@ -9,11 +9,19 @@ files are not splittable, so a folder of few large files gives few tasks;
 
 from __future__ import annotations
 
+import re
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimart.schema import CORRUPT_COLUMN, POST_SCHEMA, POST_SCHEMA_WITH_CORRUPT
 
+# The functions that run in tasks travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GZ_GLOB = "*.gz"
 
 
@@ -38,7 +46,7 @@ def read_posts(spark: SparkSession, paths: str | list[str], glob: str | None = G
     paths = [paths] if isinstance(paths, str) else list(paths)
     mode = "DROPMALFORMED" if drop_malformed else "PERMISSIVE"
     df = _reader(spark, POST_SCHEMA, mode, glob, recursive).json(paths)
-    if min_partitions and df._jdf.rdd().getNumPartitions() < min_partitions:
+    if min_partitions and len(df.inputFiles()) < min_partitions:
         df = df.repartition(min_partitions)
     return df
 
@@ -59,10 +67,10 @@ def split_malformed(spark: SparkSession, paths: str | list[str], glob: str | Non
     return good, bad
 
 
-def read_folders(spark: SparkSession, root: str, glob: str | None = GZ_GLOB,
+def read_folders(spark: SparkSession, root: str | list[str], glob: str | None = GZ_GLOB,
                  folder_depth: int = 1) -> DataFrame:
-    """Every folder below ``root`` in one scan, with a ``folder``
-    column taken from each row's file path (``_metadata.file_path``)."""
+    """Every folder below ``root`` (one or more) in one scan, with a
+    ``folder`` column taken from each row's file path (``_metadata.file_path``)."""
     df = _reader(spark, POST_SCHEMA, "DROPMALFORMED", glob, recursive=True).json(root)
     return df.withColumn("folder", folder_of(F.col("_metadata.file_path"), folder_depth))
 
@@ -74,39 +82,60 @@ def folder_of(path, depth: int = 1):
     return F.regexp_replace(F.element_at(parts, F.lit(-1 - depth)), r"^[^=]*=", "")
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = GZ_GLOB) -> DataFrame:
-    """``(path, length, folder)`` for every file below ``root``.
-
-    File scans skip zero-length files, so the listing comes from the Hadoop
-    FileSystem API (metadata only, the same listing a scan's file index
-    makes on the driver); contents are never read.
-    """
-    import fnmatch
-
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    it = path.getFileSystem(conf).listFiles(path, True)
-    rows = []
-    while it.hasNext():
-        st = it.next()
-        p = st.getPath().toString()
-        name = st.getPath().getName()
-        if name.startswith((".", "_")) or (glob and not fnmatch.fnmatch(name, glob)):
-            continue
-        rows.append((p, int(st.getLen())))
-    files = spark.createDataFrame(rows, "path string, length long")
-    return files.withColumn("folder", folder_of(F.col("path")))
-
-
-def empty_files(spark: SparkSession, root: str, glob: str | None = GZ_GLOB) -> DataFrame:
-    """Zero-length files below ``root`` (reported, never deleted)."""
-    return list_files(spark, root, glob).where(F.col("length") == 0)
-
-
-def file_report(spark: SparkSession, root: str, glob: str | None = GZ_GLOB) -> DataFrame:
+def list_files(spark: SparkSession, roots: str | list[str],
+               glob: str | None = GZ_GLOB) -> DataFrame:
+    """``(folder, path, length)`` for every file below the roots.
+
+    File scans skip zero-length files, so the executors list: the driver
+    names the folders right below each root, one task lists a folder with all
+    below it, and files stay rows of a distributed table. Contents are never
+    read."""
+    from pyarrow import fs
+
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    folders = []
+    for r in roots:
+        r = r if "://" in r or r.startswith("file:") else f"file://{r}"
+        files, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", r))
+        scheme = r.split("://")[0] if "://" in r else "file"
+        below = files.get_file_info(fs.FileSelector(path))
+        folders += [(scheme, x.path, True) for x in below if x.type == fs.FileType.Directory]
+        folders.append((scheme, path, False))      # files right below the root
+
+    def run(batches):
+        import fnmatch
+        import os
+
+        from pyarrow import fs
+
+        for b in batches:
+            for _, f in b.iterrows():
+                uri = f"{f.scheme}://{f.path}"
+                files, path = fs.FileSystem.from_uri(uri)
+                rows = [(x.path, x.size) for x in
+                        files.get_file_info(fs.FileSelector(path, recursive=bool(f.deep)))
+                        if x.type == fs.FileType.File
+                        and not os.path.basename(x.path).startswith((".", "_"))
+                        and (not glob or fnmatch.fnmatch(os.path.basename(x.path), glob))]
+                yield pd.DataFrame({"path": [p for p, _ in rows],
+                                    "length": [n for _, n in rows]}).astype(
+                                        {"path": str, "length": "int64"})
+
+    table = spark.createDataFrame(folders, "scheme string, path string, deep boolean")
+    found = table.repartition(max(1, len(folders))).mapInPandas(run, "path string, length long")
+    return found.select(folder_of(F.col("path")).alias("folder"), "path", "length")
+
+
+def empty_files(spark: SparkSession, roots: str | list[str],
+                glob: str | None = GZ_GLOB) -> DataFrame:
+    """Zero-length files below the roots (reported, never deleted)."""
+    return list_files(spark, roots, glob).where(F.col("length") == 0)
+
+
+def file_report(spark: SparkSession, roots: str | list[str],
+                glob: str | None = GZ_GLOB) -> DataFrame:
     """Per folder, files, empty files and bytes."""
-    return list_files(spark, root, glob).groupBy("folder").agg(
+    return list_files(spark, roots, glob).groupBy("folder").agg(
         F.count(F.lit(1)).alias("nFiles"),
         F.count(F.when(F.col("length") == 0, True)).alias("nEmpty"),
         F.sum("length").alias("bytes"),

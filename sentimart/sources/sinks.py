@@ -7,11 +7,22 @@ Outputs are written by the executors straight to the target folder (no
 
 from __future__ import annotations
 
+import re
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentimart.schema import COUNTS_SCHEMA, MOVIE_LIST_SCHEMA, STATS_SCHEMA
 
+# The functions that run in tasks travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_KINDS = {"string": T.StringType, "int": T.IntegerType, "long": T.LongType}
+
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
               single_file: bool = False, mode: str = "overwrite") -> None:
@@ -25,16 +36,22 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema,
+             partition_by: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``partition_by``: name and type of the columns in the folder names."""
+    for name, kind in partition_by or ():
+        schema = T.StructType([*schema.fields, T.StructField(name, _KINDS[kind]())])
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, COUNTS_SCHEMA)
+def read_counts(spark: SparkSession, path: str,
+                partition_by: list[tuple[str, str]] | None = None) -> DataFrame:
+    return read_csv(spark, path, COUNTS_SCHEMA, partition_by)
 
 
-def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, STATS_SCHEMA)
+def read_stats(spark: SparkSession, path: str,
+               partition_by: list[tuple[str, str]] | None = None) -> DataFrame:
+    return read_csv(spark, path, STATS_SCHEMA, partition_by)
 
 
 def write_daily(counts: DataFrame, stats: DataFrame, out_root: str,
@@ -57,6 +74,23 @@ def load_movie_list(spark: SparkSession, path: str, chunk: int | None = None) ->
     return df.select("movieName", "chunkId")
 
 
+def write_empty_files(spots: DataFrame, root: str) -> int:
+    """Zero-length files ``<root>/folder=<folder>/empty-<n>.json.gz`` for the
+    rows ``(folder, n)``, written by the executors; returns their number."""
+    base = root if "://" in root else re.sub(r"^(file:)?/+", "file:///", root)
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for folder, n in zip(b["folder"], b["n"]):
+                files, path = fs.FileSystem.from_uri(f"{base}/folder={folder}/empty-{n}.json.gz")
+                files.open_output_stream(path, compression=None).close()
+            yield b[["n"]]
+
+    return spots.select("folder", F.col("n").cast("long")).mapInPandas(run, "n long").count()
+
+
 def write_posts_json(posts: DataFrame, path: str, partition_by: list[str] | None = None,
                      files: int | None = None) -> None:
     """Stage posts as gzip JSON lines (the collector's format)."""

@@ -28,15 +28,23 @@ def _round(x: float, n: int) -> float:
 
 
 def score(text: str, lexicon: dict[str, float], modifiers: list[tuple[str, str, float]]):
-    boost = {t: s for t, k, s in modifiers if k == "booster"}
+    boost = {t: s for t, k, s in modifiers if k == "booster" and " " not in t}
     neg = {t for t, k, s in modifiers if k == "negation"}
-    toks = [_strip(t) for t in re.split(r"[ \t\n\x0b\f\r]+", text or "") if t]
+    near = {t for t, k, s in modifiers if k == "negation_near"}
+    pairs = {t: ((s, 1.0) if k == "booster" else (0.0, s)) for t, k, s in modifiers if " " in t}
+    raw = [t for t in re.split(r"[ \t\n\x0b\f\r]+", text or "") if t]
+    toks = [_strip(t) for t in raw]
     low = [t.lower() for t in toks]
-    n_up = sum(_isupper(t) for t in toks)
+    n_up = sum(_isupper(t) for t in raw)
     cap = 0 < n_up < len(toks)
     but = low.index("but") if "but" in low else -1
+
+    def pair_at(i, d):
+        """The entry whose first word stands d before token i."""
+        return pairs.get(f"{low[i - d]} {low[i - d + 1]}") if 2 <= d <= 3 and i >= d else None
+
     vals = []
-    for i, (t, lw) in enumerate(zip(toks, low)):
+    for i, (t, lw) in enumerate(zip(raw, low)):
         if lw not in lexicon or lw in boost:
             vals.append(0.0)
             continue
@@ -47,13 +55,20 @@ def score(text: str, lexicon: dict[str, float], modifiers: list[tuple[str, str,
             if i - d < 0:
                 continue
             c = low[i - d]
-            if c in lexicon:
-                continue
-            b = boost.get(c, 0.0)
-            s = (-b if v < 0 else b) * damp
-            v = v + s
-            if c in neg or P.negation_suffix in c:
-                v = v * P.negation_scalar
+            if c not in lexicon:
+                s = 0.0
+                if c in boost:
+                    s = -boost[c] if v < 0 else boost[c]
+                    if cap and _isupper(raw[i - d]):
+                        s += P.caps_increment if v > 0 else -P.caps_increment
+                v = v + s * damp
+                covered = pair_at(i, d) or pair_at(i, d + 1)
+                negates = c in neg or P.negation_suffix in c or (d == 1 and c in near)
+                if negates and not covered:
+                    v = v * P.negation_scalar
+            p = pair_at(i, d)
+            if p:
+                v = (v + (-p[0] if v < 0 else p[0])) * p[1]
         if but >= 0:
             if i < but:
                 v = v * P.but_before

@@ -62,7 +62,7 @@ def test_gram_join_equals_brute_force(spark, mode, max_len):
     names = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, max_len)))
                     for _ in range(80)})
     if mode == "like":
-        names += ["a_b", "ab%c", "%", "_", "c_", "abab_abab", "ba%ababab"]
+        names += ["a_b", "ab%c", "%", "_", "c_", "abab_abab", "ba%ababab", "__", "%_%", "a", "b"]
     strings = sorted({"[" + ", ".join("".join(rng.choice(alphabet)
                                                for _ in range(rng.randint(1, max_len + 3)))
                                        for _ in range(rng.randint(0, 2))) + "]"
@@ -73,6 +73,38 @@ def test_gram_join_equals_brute_force(spark, mode, max_len):
     assert got == _brute(strings, names, mode)
 
 
+@pytest.mark.parametrize("shape", ["suffix", "prefix", "both", "short"])
+def test_candidates_stay_near_the_matches(spark, shape):
+    """300 names that share their ends: the rarest piece is the key."""
+    make = {"suffix": lambda i: f"movie{i:03d} lang:en", "prefix": lambda i: f"q src movie{i:03d}",
+            "both": lambda i: f"q src {i:03d}x{i * 7 % 300:03d} lang:en",
+            "short": lambda i: chr(0x4e00 + i)}[shape]
+    names = [make(i) for i in range(300)]
+    strings = [f"[{n}]" for n in names] + [f"[{a}, {b}]" for a, b in zip(names, names[1:])]
+    sdf = spark.createDataFrame([(s,) for s in strings], "movieName string")
+    ndf = spark.createDataFrame([(n,) for n in names], "movieName string")
+    got = match_names(sdf, ndf)
+    pairs = {(r.movieName, r.name) for r in got.collect()}
+    assert pairs == {(s, n) for s in strings for n in names if n in s}
+    # the same join before the predicate
+    from sentimart.operators import match as M
+    grams = sdf.select("movieName", F.explode(M._grams(F.col("movieName"), M.GRAM)).alias("k"))
+    n = grams.groupBy("k").agg(F.count("*").alias("n"))
+    keyed = (ndf.select("movieName", F.explode(M._pieces(F.col("movieName"), "like", M.GRAM)).alias("k"))
+                .join(n, "k").groupBy("movieName").agg(F.min(F.struct("n", "k")).alias("m")))
+    assert keyed.agg(F.sum("m.n")).first()[0] <= 3 * len(pairs)
+
+
+@pytest.mark.parametrize("strings", [["[ab]"], ["[a\\b]"], ["[zz]"]])
+def test_backslash_in_a_like_name_always_raises(spark, strings):
+    sdf = spark.createDataFrame([(s,) for s in strings], "movieName string")
+    ndf = spark.createDataFrame([("a\\b",), ("zz",)], "movieName string")
+    with pytest.raises(Exception, match="backslash"):
+        match_names(sdf, ndf).collect()
+    got = {(r.movieName, r.name) for r in match_names(sdf, ndf, match="contains").collect()}
+    assert got == {(s, n) for s in strings for n in ("a\\b", "zz") if n in s}
+
+
 def test_substring_semantics(spark):
     sdf = spark.createDataFrame([("[src1]",), ("[src10]",), ("[src2, src11]",)], "movieName string")
     ndf = spark.createDataFrame([("src1",), ("src2",)], "movieName string")

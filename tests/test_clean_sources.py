@@ -70,6 +70,9 @@ def test_malformed_split_and_empty_file(spark, tmp_path):
     assert good.count() == 1 and len(bad.collect()) == 1
     empties = S.empty_files(spark, str(tmp_path)).collect()
     assert [os.path.basename(r.path) for r in empties] == ["empty.json.gz"]
+    open(tmp_path / "top.json.gz", "wb").close()
+    report = {r.folder: (r.nFiles, r.nEmpty) for r in S.file_report(spark, str(tmp_path)).collect()}
+    assert report == {"f1": (2, 1), tmp_path.name: (1, 1)}
 
 
 def test_many_folders_with_folder_column(spark, tmp_path):

@@ -1,7 +1,10 @@
 """The command-line jobs end to end on staged gzip JSON files."""
 
+import os
 from collections import Counter
 
+import pytest
+
 from conftest import SF_SMALL
 from sentimart.cli import main
 from sentimart.plans import daily as PL
@@ -38,3 +41,40 @@ def test_daily_by_folder(spark, tmp_path):
     stats = spark.read.option("header", True).csv(out + "/stats/daily")
     assert {r.folder for r in stats.select("folder").distinct().collect()} == \
         {"chicago_0", "chicago_1", "chicago_2"}
+
+
+def test_two_roots_mixed_kinds_and_a_list_with_folders(spark, tmp_path):
+    posts = fixture_posts(spark, SF_SMALL, with_folder=True)
+    roots = [str(tmp_path / "twitter-chicago" / r) for r in "ab"]
+    K.write_posts_json(posts.where("folder = 'chicago_0'"), roots[0], partition_by=["folder"])
+    K.write_posts_json(posts.where("folder <> 'chicago_0'"), roots[1], partition_by=["folder"])
+    lst = str(tmp_path / "list")
+    main(["chunks", "--data-path", *(f"{r}/*/" for r in roots), "--out", lst], spark)
+    assert K.load_movie_list(spark, lst).count() == 20
+    outs = []
+    for k, extra in enumerate(([], ["--movie-list", lst])):
+        out = str(tmp_path / f"out{k}")
+        main(["daily", "--data-path", *roots, "--out", out, "--by-folder", *extra], spark)
+        outs.append(spark.read.option("header", True).csv(out + "/counts/daily"))
+    for out in outs:
+        assert {r.folder for r in out.select("folder").distinct().collect()} == \
+            {"chicago_0", "chicago_1", "chicago_2"}
+    assert "chunkId" in outs[1].columns
+    alone = PL.daily_sentiment(posts, lexicon_frame(spark), modifiers_frame(spark),
+                               keys=["folder"], persist=False).counts
+    got = Counter((r.folder, str(r.date), float(r.vaderClassifier), int(r.nTweets), r.movieName)
+                  for r in outs[0].collect())
+    assert got == Counter((r.folder, str(r.date), r.vaderClassifier, r.nTweets, r.movieName)
+                          for r in alone.collect())
+    with pytest.raises(ValueError, match="several kinds"):
+        main(["daily", "--data-path", roots[0], str(tmp_path / "twitter-gnip"), "--out", "x"], spark)
+
+
+def test_daily_leaves_no_folder_behind(spark, tmp_path):
+    from sentimart.session import checkpoint_dir
+    src, out = str(tmp_path / "twitter-chicago"), str(tmp_path / "out")
+    K.write_posts_json(fixture_posts(spark, SF_SMALL), src, files=2)
+    base = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    main(["daily", "--data-path", src + "/", "--out", out], spark)
+    assert set(os.listdir(base)) == before and os.path.isdir(out + "/stats/daily")

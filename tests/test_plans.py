@@ -20,7 +20,7 @@ def outputs(spark):
     classified = PL.scored_posts(raw, lex, mods).cache()
     yield counts, stats, classified, raw, lex, mods
     classified.unpersist()
-    out.unpersist()
+    out.close()
 
 
 def test_equals_per_movie_loop(spark, outputs):
@@ -58,7 +58,7 @@ def test_chunked_equals_unchunked(spark, outputs):
     ch = PL.chunked_daily(raw, lex, mods, kind="chicago")
     got = Counter((r.date, r.vaderClassifier, r.nTweets, r.movieName) for r in ch.counts.collect())
     assert got == Counter((r.date, r.vaderClassifier, r.nTweets, r.movieName) for r in counts)
-    ch.unpersist()
+    ch.close()
 
 
 def test_wide_equals_long(spark, outputs):
@@ -94,8 +94,34 @@ def test_flagship_plan_shape(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # posts were scored once into the partial table; the output plan only
-    # reads that table (no explode, no scan of the posts)
-    assert "posexplode" not in plan and "documents.parquet" not in plan
+    # reads that table (no scoring, no scan of the posts)
+    assert "MapInArrow" not in plan and "documents.parquet" not in plan
+
+
+def test_partial_plan_has_one_scan_and_no_sort(spark):
+    """The job behind the partial table: score, then one hash aggregate."""
+    lex, mods = fixture_lexicon(spark)
+    raw = fixture_posts(spark, SF_SMALL, with_folder=True)
+    scored = PL.scored_posts(raw, lex, mods, extra_keys=["folder"], keep=["searchPattern"])
+    plan = PL.partial_aggregate(scored, ["folder", "searchPattern"])._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort" not in plan and "Join" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+
+
+def test_both_kinds_score_once_and_equal_the_separate_jobs(spark):
+    lex, mods = fixture_lexicon(spark)
+    raw = fixture_posts(spark, SF_SMALL, with_folder=True)
+    tags, values = PL.both_kinds(raw, lex, mods, keys=["folder"])
+    alone = PL.daily_sentiment(raw, lex, mods, keys=["folder"], persist=False)
+    gnip = PL.chunked_daily(raw.drop("folder"), lex, mods, kind="gnip")
+    for a, b in ((tags.counts, alone.counts), (tags.stats, alone.stats),
+                 (values.counts, gnip.counts), (values.stats, gnip.stats)):
+        assert a.columns == b.columns
+        assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+        assert "MapInArrow" not in a._jdf.queryExecution().executedPlan().toString()
+    tags.close()
+    gnip.close()
 
 
 @pytest.mark.parametrize("kind", ["chicago", "gnip"])

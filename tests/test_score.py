@@ -15,7 +15,7 @@ MODS = seed_modifier_rows()
 def _score(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     out = score_text(df, lexicon_frame(spark), modifiers_frame(spark), text_col="text",
-                     id_col="id", all_scores=True)
+                     all_scores=True)
     rows = {r.id: (r.neg, r.neu, r.pos, r.vaderScore) for r in out.collect()}
     return [rows[i] for i in range(len(texts))]
 
@@ -35,6 +35,21 @@ def test_one_rule_each(spark):
         assert got[t] == pytest.approx(brute_score(t, LEX, MODS), abs=1e-9)
 
 
+def test_idioms_and_caps_boosters(spark):
+    texts = ["good day", "VERY good day", "very good day", "least good", "at least good",
+             "kind of good", "never so good", "never good", "never this good", "so good",
+             "the very least good", "KIND OF bad day", "never so bad", "least the good",
+             "sort of not good", "not never so good", "a never so much good"]
+    got = dict(zip(texts, _score(spark, texts)))
+    comp = {t: v[3] for t, v in got.items()}
+    assert comp["VERY good day"] > comp["very good day"] > comp["good day"]
+    assert comp["least good"] < 0 < comp["at least good"] and comp["least the good"] > 0
+    assert comp["kind of good"] < comp["good day"]
+    assert comp["never so good"] > comp["so good"] and comp["never good"] < 0
+    for t in texts:
+        assert got[t] == pytest.approx(brute_score(t, LEX, MODS), abs=1e-9), t
+
+
 def test_all_caps_text_has_no_caps_boost(spark):
     a, b = _score(spark, ["GOOD MOVIE"])[0], _score(spark, ["good movie"])[0]
     assert a[3] == b[3]
@@ -55,6 +70,7 @@ def test_emoticons_and_punctuation(spark):
 def test_random_texts_match_brute_force(spark):
     rng = random.Random(7)
     vocab = ([w for w, _ in SEED_LEXICON[:40]] + [w for w, _, _ in MODS[:20]]
+             + [w for t, _, _ in MODS if " " in t for w in t.split()] + ["least", "VERY", "SO"]
              + ["but", "movie", "the", "a", "it", "was", "n't", "don't", "GOOD", "BAD"]
              + ["!", "?", ":)", "great!!", "(bad)", "Very"])
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 25))) for _ in range(300)]
@@ -76,37 +92,112 @@ def test_score_properties(spark):
 def test_sign_symmetry(spark):
     lex = [("up", 2.0), ("down", -2.0)]
     df = spark.createDataFrame([(0, "very up"), (1, "very down")], "id long, text string")
-    out = score_text(df, lexicon_frame(spark, lex), modifiers_frame(spark), text_col="text",
-                     id_col="id").orderBy("id").collect()
+    out = score_text(df, lexicon_frame(spark, lex), modifiers_frame(spark),
+                     text_col="text").orderBy("id").collect()
     assert out[0].vaderScore == -out[1].vaderScore
 
 
-def test_generated_ids_and_kept_columns(spark):
-    df = spark.createDataFrame([("a", "good"), ("b", "bad"), ("b", "bad")], "k string, body string")
-    out = score_text(df, lexicon_frame(spark), modifiers_frame(spark), keep=["k"])
-    assert sorted(out.columns) == ["k", "vaderScore"]
-    assert out.count() == 3          # identical rows stay separate posts
-
-
-def test_plan_has_no_python_and_no_nested_loop(spark):
-    df = spark.createDataFrame([(0, "good")], "id long, text string")
-    out = score_text(df, lexicon_frame(spark), modifiers_frame(spark), text_col="text", id_col="id")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BroadcastHashJoin" in plan
-
-
-def test_caps_count_and_tokens_match_per_token_rules(spark):
-    from brute import _isupper, _strip
-    from sentimart.functions.text import count_caps_tokens, tokens
+def test_all_columns_and_rows_are_kept(spark):
+    df = spark.createDataFrame([("a", "good", 1), ("b", "bad", 2), ("b", "bad", 2), (None, None, 3)],
+                               "k string, body string, neg int")
+    out = score_text(df, lexicon_frame(spark), modifiers_frame(spark))
+    assert out.columns == ["k", "body", "neg", "vaderScore"]
+    assert out.count() == 4          # identical rows stay separate posts
+    every = score_text(df, lexicon_frame(spark), modifiers_frame(spark), all_scores=True)
+    assert every.columns == ["k", "body", "neg", "neu", "pos", "vaderScore"]
+    some = score_text(df, lexicon_frame(spark), modifiers_frame(spark), keep=["k"])
+    assert some.columns == ["k", "vaderScore"]
+
+
+def test_equal_and_opposite_words_cancel_exactly(spark):
+    lex = [("up", 0.1), ("more", 0.2), ("down", -0.3)]
+    df = spark.createDataFrame([("up more down!!!",), ("down up more!!!",)], "body string")
+    out = score_text(df, lexicon_frame(spark, lex), modifiers_frame(spark)).collect()
+    assert [r.vaderScore for r in out] == [0.0, 0.0]
+
+
+def scoring_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_plan_moves_nothing(spark):
+    """The scoring itself: no shuffle, sort, join or explode."""
+    from sentimart.plans.daily import scored_posts
+    from sentimart.sources.fixture import fixture_lexicon, fixture_posts
+    from conftest import SF_SMALL
+    lex, mods = fixture_lexicon(spark)
+    for kw in ({}, {"extra_keys": ["folder"]}, {"kind": "gnip", "keep_arrays": True}):
+        raw = fixture_posts(spark, SF_SMALL, with_folder=True)
+        plan = scoring_plan(scored_posts(raw, lex, mods, **kw))
+        for node in ("Exchange", "Sort", "Join", "Generate", "Window", "BatchEvalPython"):
+            assert node not in plan, (node, kw)
+        assert plan.count("MapInArrow") == 1
+
+
+def test_building_a_plan_starts_no_job(spark):
+    grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(
+        F.max(F.col("id").cast("string")).alias("body"))
+    tracker, group = spark.sparkContext.statusTracker(), "score-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        score_text(grouped, lexicon_frame(spark), modifiers_frame(spark), min_partitions=4)
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_word_list_above_the_limit(spark):
+    """Only the words that occur are shipped; too many of those raise."""
+    words = [(f"w{i}", 1.0 if i % 2 else -1.0) for i in range(5000)]
+    lex = spark.createDataFrame(words, "token string, valence double")
+    texts = [(f"W{i}! but not (w{i + 1})",) for i in range(60)]
+    df = spark.createDataFrame(texts, "body string")
+    mods = modifiers_frame(spark)
+    want = score_text(df, lex, mods, all_scores=True).collect()
+    cut = score_text(df, lex, mods, all_scores=True, max_words=100).collect()
+    assert sorted(cut) == sorted(want)
+    with pytest.raises(ValueError, match="max_words"):
+        score_text(df, lex, mods, max_words=50)
+    from sentimart.operators.score import occurring
+    plan = scoring_plan(occurring(lex, df, "body"))
+    # tokens are combined before they move, so a frequent word is a few rows
+    assert plan.index("HashAggregate") < plan.rindex("Exchange") and "Python" not in plan
+
+
+def test_entries_of_wrong_shape_raise(spark):
+    df = spark.createDataFrame([("good",)], "body string")
+    for bad in ([("a b c", "booster", 1.0)], [("a b", "negation", 0.0)], [("a", "amplifier", 2.0)]):
+        with pytest.raises(ValueError):
+            score_text(df, lexicon_frame(spark), modifiers_frame(spark, bad))
+
+
+def test_tokens_match_per_token_rules(spark):
+    from brute import _strip
+    from sentimart.functions.text import tokens
     cases = ["great!!", ":)", "!!!", "a!", "don't", "...hello...", "'ok'", "", "  lead trail  ",
              "(a)", "(abc)", "GOOD day", "STRAßE ok", "A1 b", "!!WOW!! x", "e.g.", "--a-b--",
-             "¡hola!", "é!!", "tab\there", "«quoted»", "ÉTÉ été", "I AM"]
+             "¡hola!", "é!!", "tab\there", "«quoted»", "ÉTÉ été", "I AM", "\\back\\ [x]"]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
-    rows = df.select("t", tokens(F.col("t")).alias("toks"),
-                     count_caps_tokens(F.col("t")).alias("nup")).collect()
-    for r in rows:
-        raw = [t for t in r.t.split() if t]
-        assert r.toks == [_strip(t) for t in raw], r.t
-        assert r.nup == sum(_isupper(t) for t in raw), r.t
+    for r in df.select("t", tokens(F.col("t")).alias("toks")).collect():
+        assert r.toks == [_strip(t) for t in r.t.split() if t], r.t
+
+
+def test_load_lexicon_keeps_every_token(spark, tmp_path):
+    rows = ['"\t1.0', '"quoted\t2.0\t0.5', "good\t1.9", "Good\t3.3", "a\\b\t-1.0", "#x\t0.5",
+            "bad line", "\t2.0", "nan\tx"]
+    (tmp_path / "lex.tsv").write_text("\n".join(rows) + "\n", encoding="utf-8")
+    from sentimart.functions.lexicon import load_lexicon, load_modifiers
+    got = [{r.token: r.valence for r in load_lexicon(spark, str(tmp_path)).collect()}
+           for _ in range(2)]
+    assert got[0] == got[1] == {'"': 1.0, '"quoted': 2.0, "good": 2.6, "a\\b": -1.0, "#x": 0.5}
+    (tmp_path / "mods").mkdir()
+    (tmp_path / "mods" / "m.tsv").write_text('"so\tbooster\t0.3\nkind of\tBooster\t-0.3\nx\tother\n')
+    mods = sorted(tuple(r) for r in load_modifiers(spark, str(tmp_path / "mods")).collect())
+    assert mods == [('"so', "booster", 0.3), ("kind of", "booster", -0.3)]
+
+
+def test_seed_list_follows_its_rule():
+    from sentimart.functions.lexicon import SEED_GROUPS, SEED_STRENGTHS
+    assert {abs(v) for _, v in SEED_LEXICON} == set(SEED_STRENGTHS.values())
+    words = [w for ws in SEED_GROUPS.values() for w in ws.split()]
+    assert len(words) == len(set(words)) == len(SEED_LEXICON)
