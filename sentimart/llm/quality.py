@@ -73,11 +73,15 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     p = F.col("_x_p")
     covered = F.size(F.array_distinct(F.concat(
         p, F.transform(p, lambda x: x + 1), F.transform(p, lambda x: x + 2))))
-    done = counted.select(
-        *keep, "n_words", "word_chars", "n_symbols",
+    counts = F.struct(
+        "n_words", "word_chars", "n_symbols",
         (F.size("_x_l") - F.size(F.array_distinct("_x_l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("_x_l").alias("_x_lines"), "_x_stop", "_x_shout")
+    # One row in, one row out: a filter on the counts stays above the
+    # generator. Pushed below, it would copy the measuring expressions into
+    # each other, to be evaluated once per word instead of once per text.
+    done = counted.select(*keep, F.inline(F.array(counts)))
 
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -120,8 +124,5 @@ def keep_good(docs: DataFrame,
               rules: list[tuple[str, float | None, float | None]] | None = None) -> DataFrame:
     """The rows that the rules keep, all columns as they were."""
     rows = docs.select(F.struct("*").alias(ROW), F.col("text").alias("_x_text"))
-    # The row number keeps the filter above the measuring projection: pushed
-    # below, it would copy the measuring expressions into each other.
-    measured = measure(rows, "_x_text", [ROW]).withColumn("_x_n", F.monotonically_increasing_id())
-    good = measured.where(~base_failed() & verdict(rules) & (F.col("_x_n") >= 0))
+    good = judge(rows, [ROW], "_x_text", rules).where("kept")
     return good.select(f"{ROW}.*")
