@@ -2,27 +2,28 @@
 
 A filter is a direction; a vector belongs to the filters whose inner product
 with it exceeds a bound, so two vectors at a small angle share filters and
-two unrelated ones hardly ever do. The directions are a structured random
-product code: the coordinates are turned by a random rotation and cut into
-``BLOCKS`` blocks, each with its own random unit vectors, and a direction is
-one vector per block. There are codewords ** BLOCKS directions, but a vector
+two unrelated ones hardly ever do. The directions are structured random
+product codes: the coordinates are turned by a random rotation and cut into
+two blocks, each with its own random unit vectors ("words"), and a direction
+is one word per block. A code has words * words directions, but a vector
 lists the ones it exceeds by walking the sorted block products (list
-decoding), without looking at the others.
+decoding), without looking at the others. ``CODES`` independent codes even
+out how many directions a vector exceeds.
 
 1. Equal vectors count once. Vectors that are null, zero, or hold null or
    non-finite components are set aside.
 2. The number of directions follows the number of vectors, so that a filter
-   holds about ``OCCUPANCY`` unrelated vectors at any size; the bound is the
-   quantile that gives a vector ``PER_VECTOR`` filters on average, fitted on
-   a bounded sample (``SAMPLE`` vectors); all vectors are then decoded.
+   holds about ``OCCUPANCY`` unrelated vectors at any size; a code's bound is
+   the one that gives a vector ``PER_CODE`` filters on average, fitted on a
+   bounded sample (``SAMPLE`` vectors); all vectors are then decoded.
 3. Vectors meet per filter. A filter with more than ``BLOCK`` vectors is cut
    into chunks, and every pair of chunks is a group of its own: all pairs
    are looked at, and no task holds more than two chunks. The exact cosine
    in double precision decides; only links leave the task.
 4. Components of the links, counts with the copies.
 
-Recall is not exact (a pair at the threshold shares about half of its
-filters, so one in some millions is lost); tests measure it.
+Recall is not exact: a pair at the threshold shares about half of its
+filters, some 24 of 48 on average; tests measure it on the hardest pairs.
 
 Columns: ``vec_id`` and ``embedding``; others are ignored. Defined cases:
 repeated rows are separate vectors that link with each other; rows with a
@@ -42,8 +43,8 @@ from sentimart.llm.common import save, shuffle_partitions
 from sentimart.llm.graph import connected_components
 
 THRESHOLD = 0.95     # contract
-BLOCKS = 3
-PER_VECTOR = 24      # filters of a vector, on average
+CODES = 12           # independent product codes
+PER_CODE = 4         # filters of a vector in each, on average
 OCCUPANCY = 1        # unrelated vectors in a filter
 SAMPLE = 400         # vectors that fit the bound
 BLOCK = 512          # vectors of a filter that are paired at a time
@@ -51,62 +52,58 @@ SEED = 7
 
 
 class ProductCode:
-    """Random product code over ``dim`` coordinates."""
+    """Random product code of two blocks over ``dim`` coordinates."""
 
-    def __init__(self, dim: int, words: int, seed: int = SEED):
-        rng = np.random.default_rng([seed, dim, words])
+    def __init__(self, dim: int, words: int, number: int, seed: int = SEED):
+        rng = np.random.default_rng([seed, dim, words, number])
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        self.words = words
-        # a dimension below BLOCKS leaves some blocks empty
-        self.cuts = np.array_split(np.arange(dim), BLOCKS)
+        self.words, self.number, self.bound = words, number, -1.0
+        self.cuts = np.array_split(np.arange(dim), 2)   # one coordinate: an empty block
         self.codes = []
         for c in self.cuts:
             w = rng.normal(size=(words, len(c)))
             self.codes.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300))
 
-    def products(self, x: np.ndarray) -> list[np.ndarray]:
+    def products(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Inner products with each block's words, for unit rows ``x``."""
         y = x @ self.turn
-        return [y[:, c] @ w.T / np.sqrt(BLOCKS) for c, w in zip(self.cuts, self.codes)]
+        return tuple(y[:, c] @ w.T / np.sqrt(2) for c, w in zip(self.cuts, self.codes))
 
-    def bound(self, sample: np.ndarray, per_vector: float) -> float:
-        """The inner product that ``per_vector`` directions exceed on average
-        over the sample: down from the best direction, then by halving."""
-        if per_vector >= self.words ** BLOCKS:
-            return -1.0
-        prods = self.products(sample)
+    def fit(self, sample: np.ndarray, per_code: float) -> None:
+        """Set the bound that ``per_code`` directions exceed on average over
+        the sample: down from the best direction, then by halving."""
+        if per_code >= self.words ** 2:
+            return
+        first, second = self.products(sample)
 
         def mean_size(bound: float) -> float:
-            return float(np.mean([len(self.decode(prods, i, bound)) for i in range(len(sample))]))
+            return float(np.mean([len(self._decode(a, b, bound)) for a, b in zip(first, second)]))
 
-        high = float(sum(p.max(axis=1) for p in prods).max())
-        step = low = high * 0.98
-        while mean_size(low) < per_vector:
-            high, low = low, low - abs(step) * 0.04
-        for _ in range(8):
+        high = low = float((first.max(axis=1) + second.max(axis=1)).max())
+        step = abs(high) * 0.05 + 1e-9
+        while mean_size(low) < per_code:
+            high, low = low, low - step
+        for _ in range(10):
             mid = (low + high) / 2
-            if mean_size(mid) < per_vector:
+            if mean_size(mid) < per_code:
                 high = mid
             else:
                 low = mid
-        return low
-
-    def decode(self, prods: list[np.ndarray], i: int, bound: float) -> np.ndarray:
-        """All directions whose inner product with vector ``i`` exceeds ``bound``."""
-        a, b, c = (p[i] for p in prods)
-        oa, ob, oc = np.argsort(-a), np.argsort(-b), np.argsort(-c)
-        a, b, c = a[oa], b[ob], c[oc]
-        out = []
-        for k in range(len(a)):
-            if a[k] + b[0] + c[0] <= bound:
-                break
-            nb = np.searchsorted(-b, -(bound - a[k] - c[0]))
-            for m in range(nb):
-                nc = np.searchsorted(-c, -(bound - a[k] - b[m]))
-                if not nc:
-                    break
-                out.append((oa[k] * self.words + ob[m]) * self.words + oc[:nc])
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        self.bound = low
+
+    def _decode(self, a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+        """All directions whose inner product exceeds ``bound``."""
+        order_a, order_b = np.argsort(-a), np.argsort(-b)
+        # partners of each first word, in falling order; none after a zero
+        n = np.searchsorted(-b[order_b], a[order_a] - bound)
+        n = n[n > 0]
+        second = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(order_a[:len(n)], n) * self.words + order_b[second]
+
+    def filters(self, x: np.ndarray) -> list[np.ndarray]:
+        """Filter numbers of each row of ``x``."""
+        base = self.number * self.words ** 2
+        return [base + self._decode(a, b, self.bound) for a, b in zip(*self.products(x))]
 
 
 def _unit(batch, column: str) -> np.ndarray:
@@ -119,16 +116,17 @@ def _unit(batch, column: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vector_filters(vectors: DataFrame, code: ProductCode, bound: float) -> DataFrame:
+def vector_filters(vectors: DataFrame, codes: list[ProductCode]) -> DataFrame:
     """``(filter, v)`` for every filter of every row of ``vectors(v, x)``."""
     def run(batches):
         for b in batches:
-            prods = code.products(_unit(b, "x"))
-            got = [code.decode(prods, i, bound) for i in range(b.num_rows)]
-            v = b.column("v").take(pa.array(np.repeat(np.arange(b.num_rows),
-                                                      [len(g) for g in got])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got), pa.int64()), v],
-                                             names=["filter", "v"])
+            x, v = _unit(b, "x"), b.column("v")
+            for code in codes:
+                got = code.filters(x)
+                rows = np.repeat(np.arange(b.num_rows), [len(g) for g in got])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(got), pa.int64()), v.take(pa.array(rows))],
+                    names=["filter", "v"])
     return vectors.select("v", "x").mapInArrow(run, "filter long, v long")
 
 
@@ -184,16 +182,18 @@ def _links(links: np.ndarray) -> pa.RecordBatch:
 
 
 def vector_links(vectors: DataFrame, count: int, dim: int, threshold: float = THRESHOLD,
-                 per_vector: float = PER_VECTOR) -> DataFrame:
+                 codes: int = CODES, per_code: float = PER_CODE) -> DataFrame:
     """Distinct links ``(a, b)`` among ``count`` distinct ``vectors(v, x)`` of
     ``dim`` components with cosine ``threshold`` or more."""
-    words = max(2, round((count * per_vector / OCCUPANCY) ** (1 / BLOCKS)))
-    code = ProductCode(dim, words)
+    words = max(2, round((count * per_code / OCCUPANCY) ** 0.5))
     rows = vectors.orderBy(F.xxhash64("v")).limit(SAMPLE).select("x").collect()
     x = np.array([r.x for r in rows], np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    bound = code.bound(x / np.linalg.norm(x, axis=1, keepdims=True), per_vector)
-    spots = save(vector_filters(vectors, code, bound), "filters")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = [ProductCode(dim, words, k) for k in range(codes)]
+    for book in books:
+        book.fit(x, per_code)
+    spots = save(vector_filters(vectors, books), "filters")
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     shared = (spots.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
                    .select("filter", chunks.alias("chunks")))
@@ -210,8 +210,7 @@ def vector_links(vectors: DataFrame, count: int, dim: int, threshold: float = TH
     return verify(met, threshold).distinct()
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD,
-                    per_vector: float = PER_VECTOR) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``rows``."""
     kind = rows.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -234,7 +233,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD,
     links = None
     for r in lengths:
         own = distinct.where(F.size("x") == r["dim"])
-        got = vector_links(own, r["count"], r["dim"], threshold, per_vector)
+        got = vector_links(own, r["count"], r["dim"], threshold)
         links = got if links is None else links.unionByName(got)
     if links is None:
         links = rows.sparkSession.createDataFrame([], "a long, b long")
