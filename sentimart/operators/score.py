@@ -39,22 +39,18 @@ from __future__ import annotations
 
 import re
 import string
-import sys
 import unicodedata
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimart.functions.lexicon import DEFAULT_PARAMS, ScorerParams
 from sentimart.functions.text import tokens
 
-# The functions that run in tasks travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_WORDS = 500_000
 MAX_WORD_BYTES = 32 * 1024 * 1024

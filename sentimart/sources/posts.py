@@ -10,17 +10,13 @@ files are not splittable, so a folder of few large files gives few tasks;
 from __future__ import annotations
 
 import re
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimart.schema import CORRUPT_COLUMN, POST_SCHEMA, POST_SCHEMA_WITH_CORRUPT
 
-# The functions that run in tasks travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GZ_GLOB = "*.gz"
 

@@ -8,18 +8,13 @@ Outputs are written by the executors straight to the target folder (no
 from __future__ import annotations
 
 import re
-import sys
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentimart.schema import COUNTS_SCHEMA, MOVIE_LIST_SCHEMA, STATS_SCHEMA
 
-# The functions that run in tasks travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 _KINDS = {"string": T.StringType, "int": T.IntegerType, "long": T.LongType}
 
