@@ -51,9 +51,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.share_ranks(spark, public_tokenizers.path(VOCABULARY))
-    ids = bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks,
-                     public_tokenizers.PATTERN)
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode_decode(docs.select("doc_id", "source", "lang", "text"), ranks,
+                             public_tokenizers.PATTERN)
     return back.select("doc_id", "source", "lang",
                        F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
                        (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"))

@@ -1,12 +1,2 @@
 """Operators for preparing training corpora at scale (nothing else in the
-package imports this subpackage).
-
-Python functions that run in tasks travel with the task, so executors need
-no copy of the package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+package imports this subpackage)."""

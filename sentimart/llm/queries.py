@@ -160,8 +160,7 @@ def op4_mixing(spark, sf):
 def op5_bpe(spark, sf):
     ranks, pattern = _ranks(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, pattern).select("doc_id", "token_ids")
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode_decode(docs, ranks, pattern)
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

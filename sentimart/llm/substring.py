@@ -42,6 +42,8 @@ MIN_SENTENCES = 2   # a run has this many sentences or more ...
 MIN_WORDS = 20      # ... and this many words or more,
 LONG_WORDS = 30     # or is one sentence of this many words or more
 
+_ROWS = 256         # texts handled at a time
+
 _END = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
 
 
@@ -98,9 +100,9 @@ def sentence_runs(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, b.num_rows, 256):
+            for at in range(0, b.num_rows, _ROWS):
                 found, row = [], []
-                for k, t in enumerate(b.column(2).slice(at, 256).to_pylist(), at):
+                for k, t in enumerate(b.column(2).slice(at, _ROWS).to_pylist(), at):
                     r = runs(t, min_sentences, min_words, long_words) if t else ()
                     found += r
                     row += [k] * len(r)
@@ -129,25 +131,27 @@ def repeated_runs(found: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, schema) -> DataFrame:
-    """Take the marked sentences out of ``_x_text``."""
+    """Take the marked sentences out of the text inside the row struct, some
+    hundred texts at a time."""
     def run(batches):
         for b in batches:
-            marks = b.column("_x_marks").to_pylist()
-            texts = b.column("_x_text").to_pylist()
-            new, n = [], []
-            for t, m in zip(texts, marks):
-                if not m:
-                    new.append(t)
-                    n.append(0)
-                    continue
-                parts = sentences(t)
-                gone = set()
-                for x in m:
-                    gone.update(range(x["i"], x["j"] + 1))
-                new.append("".join(p for k, p in enumerate(parts) if k not in gone))
-                n.append(len(gone))
-            keep = [b.column(ROW), pa.array(new, pa.string()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(keep, names=[ROW, "text", "n_removed"])
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                rows, marks = part.column(ROW), part.column("_x_marks").to_pylist()
+                new, n = [], []
+                for t, m in zip(rows.field("text").to_pylist(), marks):
+                    if not m:
+                        new.append(t)
+                        n.append(0)
+                        continue
+                    gone = set()
+                    for x in m:
+                        gone.update(range(x["i"], x["j"] + 1))
+                    new.append("".join(p for k, p in enumerate(sentences(t)) if k not in gone))
+                    n.append(len(gone))
+                yield pa.RecordBatch.from_arrays(
+                    [rows, pa.array(new, pa.string()), pa.array(n, pa.int64())],
+                    names=[ROW, "text", "n_removed"])
     return docs.mapInArrow(run, schema)
 
 
@@ -156,17 +160,18 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """``docs`` with the repeated passages taken out of ``text``, and
     ``_x_removed``, the number of sentences removed."""
     text = F.col("text").cast("string")
-    keyed = docs.select(F.struct("*").alias(ROW), text.alias("_x_text"),
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("k_id"),
-                        F.xxhash64(text).alias("k_text"))
-    found = save(sentence_runs(keyed.select("k_id", "k_text", "_x_text"), min_sentences,
-                               min_words, long_words), "runs")
+    keyed = docs.withColumn("text", text).select(
+        F.struct("*").alias(ROW),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("k_id"),
+        F.xxhash64("text").alias("k_text"))
+    found = save(sentence_runs(keyed.select("k_id", "k_text", F.col(f"{ROW}.text")),
+                               min_sentences, min_words, long_words), "runs")
     # a document's own runs, so bounded by its text; the set drops the
     # doubles that repeated rows bring
     marks = (repeated_runs(found).groupBy("k_id", "k_text")
              .agg(F.collect_set(F.struct("i", "j")).alias("_x_marks")))
-    joined = keyed.join(marks, ["k_id", "k_text"], "left").select(ROW, "_x_text", "_x_marks")
-    schema = joined.select(ROW, F.col("_x_text").alias("text"),
+    joined = keyed.join(marks, ["k_id", "k_text"], "left").select(ROW, "_x_marks")
+    schema = joined.select(ROW, F.col(f"{ROW}.text"),
                            F.lit(0).cast("long").alias("n_removed")).schema
     cut = _cut(joined, schema)
     cols = [F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`") for c in docs.columns]

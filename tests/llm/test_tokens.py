@@ -41,7 +41,9 @@ def test_round_trip_of_a_table(spark, tokenizer, shared):
     docs = table(spark, SF, "documents").unionByName(
         documents(spark, odd_rows()).select("doc_id", "text", "lang", "source", "n_chars"))
     both = bpe.decode(bpe.encode(docs, shared, tokenizer[1]), shared)
-    assert both.columns == [*docs.columns, "token_ids", "decoded"]
+    once = bpe.encode_decode(docs, shared, tokenizer[1])
+    assert both.columns == once.columns == [*docs.columns, "token_ids", "decoded"]
+    assert sorted(map(str, both.collect())) == sorted(map(str, once.collect()))
     for r in both.collect():
         assert r.token_ids == tokenizer[2].encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
