@@ -5,14 +5,15 @@ the first): the vocabulary is open, as every text has tokens, and bounded, so
 the table of single tokens is small whatever the corpus. A pair is packed in
 one long.
 
-1. Every text is encoded and its pairs are counted, one row per document and
-   distinct pair.
-2. These rows are dealt once, by pair and a salt of the document (a pair that
-   most documents hold is dealt to ``salts`` places). The count tables come
-   from the same dealing: counts per pair and salt, summed to counts per pair.
-3. Rows and counts are joined where they lie; token counts (at most one row
-   per vocabulary entry) are broadcast.
-4. Contributions are summed per document, map-side first.
+1. Every text is encoded and its pairs are counted, summed up over a batch of
+   texts before they leave the task. The count table is partitioned by the
+   pair's hash and saved; token counts follow from it (at most one row per
+   vocabulary entry, so they may be broadcast).
+2. Every text is encoded again to one row per document and distinct pair;
+   these rows meet the count table in a hash join of plain exchanges, so Spark
+   may split a pair that most documents hold. Encoding twice costs less than
+   keeping the rows.
+3. Contributions are summed per document, map-side first.
 
 A document is scored by what the rest of the corpus holds: its own
 occurrences of a pair are taken off the pair's count. With c the counts and N
@@ -31,21 +32,45 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentimart.llm.bpe import Pieces, encode_text
-from sentimart.llm.common import shuffle_partitions
+from sentimart.llm.common import save
 
 BACKOFF = 0.4       # the method's constant
-SALTS = 16          # places that a pair is dealt to
 START = 0xFFFF      # start symbol; the vocabulary's ids are below
-_ROWS = 256
+_ROWS = 256         # texts in one result batch
+_COUNTED = 2_048    # texts whose counts are summed before they leave the task
+_NONE = -1          # pair of a text without tokens
+
+
+def _pairs(text: str | None, find, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a text and their occurrences."""
+    ids = np.array([START, *encode_text(text, find, pieces)], np.int64)
+    return np.unique(ids[:-1] << 16 | ids[1:], return_counts=True)
+
+
+def pair_counts(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
+    """The count table ``(pair, c)`` of all texts."""
+    def run(batches):
+        find, pieces = regex.compile(pattern).findall, Pieces(ranks.value)
+        for b in batches:
+            for at in range(0, b.num_rows, _COUNTED):
+                texts = b.column(0).slice(at, _COUNTED).to_pylist()
+                pair, n = zip(*(_pairs(t, find, pieces) for t in texts))
+                pair, place = np.unique(np.concatenate(pair), return_inverse=True)
+                c = np.bincount(place, weights=np.concatenate(n), minlength=len(pair))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair, pa.int64()), pa.array(c.astype(np.int64))],
+                    names=["pair", "n"])
+    return (docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long")
+                .groupBy("pair").agg(F.sum("n").alias("c")))
 
 
 def token_pairs(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     """``(doc_id, pair, n)``: occurrences of each distinct pair of a text;
-    texts without tokens have one row with pair -1 and n 0."""
+    texts without tokens have one row without a pair and with n 0."""
     def run(batches):
         find, pieces = regex.compile(pattern).findall, Pieces(ranks.value)
         for b in batches:
@@ -53,11 +78,9 @@ def token_pairs(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
                 part = b.slice(at, _ROWS)
                 row, pair, n = [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
-                    ids = np.array([START, *encode_text(t, find, pieces)], np.int64)
-                    if len(ids) > 1:
-                        p, c = np.unique(ids[:-1] << 16 | ids[1:], return_counts=True)
-                    else:
-                        p, c = np.array([-1]), np.array([0])
+                    p, c = _pairs(t, find, pieces)
+                    if not len(p):
+                        p, c = np.array([_NONE]), np.array([0])
                     row.append(np.full(len(p), k))
                     pair.append(p)
                     n.append(c)
@@ -69,39 +92,39 @@ def token_pairs(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
                 .mapInArrow(run, "doc_id long, pair long, n int"))
 
 
-def score(docs: DataFrame, ranks: Broadcast, pattern: str, backoff: float = BACKOFF,
-          salts: int = SALTS) -> DataFrame:
-    """``doc_id, n_tokens, n_backoff, log_score, mean_log_score``."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    dealt = (token_pairs(docs, ranks, pattern).withColumn("salt", salt)
-             .repartition(shuffle_partitions(docs.sparkSession), "pair", "salt"))
-    here = dealt.groupBy("pair", "salt").agg(F.sum("n").alias("c"))
-    pairs = here.where(F.col("pair") >= 0).groupBy("pair").agg(F.sum("c").alias("c_pair"))
+def log_table(counts: DataFrame, backoff: float) -> DataFrame:
+    """``(pair, c, log_v, log_w)``: a pair's count, the logarithm of its first
+    token's count and that of the backoff score of its second token."""
     # every token is the second of exactly one pair
-    tokens = (pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("token"))
-                   .agg(F.sum("c_pair").alias("c")))
-    starts = (pairs.where(F.shiftright("pair", 16) == START)
-                   .agg(F.lit(START).cast("long").alias("token"), F.sum("c_pair").alias("c")))
-    known = tokens.unionByName(starts.where(F.col("c").isNotNull()))
-    # at most 65,536 rows, as tokens have 16 bits
-    first = F.broadcast(known.select(F.col("token").alias("v"), F.col("c").alias("c_v")))
-    second = F.broadcast(known.select(F.col("token").alias("w"), F.col("c").alias("c_w")))
-    size = F.broadcast(tokens.agg(F.sum("c").alias("total")))
-    logs = (pairs.select("pair", "c_pair", F.shiftright("pair", 16).alias("v"),
-                         F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("w"))
-                 .join(first, "v").join(second, "w").join(size)
-                 .select("pair", "c_pair", F.log(F.col("c_v").cast("double")).alias("log_v"),
-                         F.log(F.lit(backoff) * F.col("c_w") / F.col("total")).alias("log_w")))
-    table = here.select("pair", "salt").join(logs, "pair")
-    seen = F.col("c_pair") - F.col("n")
-    part = (F.when(F.col("c_pair").isNull(), F.lit(0.0))
+    second = F.col("pair").bitwiseAND(F.lit(0xFFFF))
+    tokens = counts.groupBy(second.alias("w")).agg(F.sum("c").alias("c_w"))
+    starts = (counts.where(F.shiftright("pair", 16) == START)
+                    .agg(F.lit(START).cast("long").alias("v"), F.sum("c").alias("c_v")))
+    # at most 65,536 rows each, as tokens have 16 bits
+    first = F.broadcast(tokens.select(F.col("w").alias("v"), F.col("c_w").alias("c_v"))
+                              .unionByName(starts.where(F.col("c_v").isNotNull())))
+    backed = F.broadcast(tokens.select(
+        "w", F.log(F.lit(backoff) * F.col("c_w") / F.sum("c_w").over(Window.partitionBy()))
+        .alias("log_w")))
+    return (counts.select("pair", "c", F.shiftright("pair", 16).alias("v"), second.alias("w"))
+                  .join(first, "v").join(backed, "w")
+                  .select("pair", "c", F.log(F.col("c_v").cast("double")).alias("log_v"), "log_w"))
+
+
+def score(docs: DataFrame, ranks: Broadcast, pattern: str,
+          backoff: float = BACKOFF) -> DataFrame:
+    """``doc_id, n_tokens, n_backoff, log_score, mean_log_score``."""
+    counts = save(pair_counts(docs, ranks, pattern), "pair-counts")
+    logs = save(log_table(counts, backoff), "pair-logs")
+    seen = F.col("c") - F.col("n")
+    part = (F.when(F.col("c").isNull(), F.lit(0.0))
              .when(seen > 0, F.col("n") * (F.log(seen.cast("double")) - F.col("log_v")))
              .otherwise(F.col("n") * F.col("log_w")))
-    return (dealt.join(table.hint("shuffle_hash"), ["pair", "salt"], "left")
-                 .groupBy("doc_id").agg(
-                     F.sum("n").alias("n_tokens"),
-                     F.sum(F.when(seen <= 0, F.col("n")).otherwise(0)).alias("n_backoff"),
-                     F.sum(part).alias("log_score"))
-                 .select("doc_id", "n_tokens", "n_backoff", "log_score",
-                         F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
-                          .alias("mean_log_score")))
+    return (token_pairs(docs, ranks, pattern).join(logs.hint("shuffle_hash"), "pair", "left")
+            .groupBy("doc_id").agg(
+                F.sum("n").alias("n_tokens"),
+                F.sum(F.when(seen <= 0, F.col("n")).otherwise(0)).alias("n_backoff"),
+                F.sum(part).alias("log_score"))
+            .select("doc_id", "n_tokens", "n_backoff", "log_score",
+                    F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
+                     .alias("mean_log_score")))
