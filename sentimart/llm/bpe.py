@@ -23,7 +23,9 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 
 CACHE = 100_000    # distinct pieces a task remembers at a time
 _ROWS = 256        # texts in one result batch
+_LONG = 64         # bytes; longer pieces are merged over a heap
+_NO_RANK = 1 << 62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,11 +45,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: ranked merges over its bytes. A heap of pairs keeps
-    very long pieces (a page without white space) at n log n."""
+    """Ids of one piece: ranked merges over its bytes, lowest rank first,
+    leftmost on ties."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    if len(piece) > _LONG:
+        return _merge_long(piece, ranks)
+    rank = ranks.get
+    part = [piece[i:i + 1] for i in range(len(piece))]
+    found = [rank(piece[i:i + 2], _NO_RANK) for i in range(len(piece) - 1)]
+    while found:
+        lowest = min(found)
+        if lowest == _NO_RANK:
+            break
+        i = found.index(lowest)
+        part[i] += part.pop(i + 1)
+        del found[i]
+        if i < len(found):
+            found[i] = rank(part[i] + part[i + 1], _NO_RANK)
+        if i:
+            found[i - 1] = rank(part[i - 1] + part[i], _NO_RANK)
+    return [ranks[p] for p in part]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs: n log n for very long pieces (a page
+    without white space)."""
     n = len(piece)
     part = [piece[i:i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -75,24 +101,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids by piece, folded on first use; emptied when it has ``CACHE``."""
+    """Ids by piece, packed as 32-bit integers, folded on first use; emptied
+    when it has ``CACHE``."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[piece] = ids = merge(piece.encode("utf-8"), self.ranks)
-        return ids
+        ids = merge(piece.encode("utf-8"), self.ranks)
+        self[piece] = packed = struct.pack(f"<{len(ids)}i", *ids)
+        return packed
 
+    def count(self, pieces: list[str]) -> int:
+        """Number of tokens of some pieces."""
+        return sum(map(len, map(self.__getitem__, pieces))) // 4
 
-def encode_text(text: str | None, find, pieces: Pieces) -> list[int]:
-    ids: list[int] = []
-    for p in find(text) if text else ():
-        ids += pieces[p]
-    return ids
+
+def encode_text(text: str | None, find, pieces: Pieces) -> np.ndarray:
+    """Ids of a text as 32-bit integers."""
+    cut = find(text) if text else ()
+    return np.frombuffer(b"".join(map(pieces.__getitem__, cut)), "<i4")
 
 
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -103,14 +134,12 @@ def share_ranks(spark: SparkSession, path: str) -> Broadcast:
 def _with_results(df: DataFrame, ranks: Broadcast, added: list[str], source: str, make) -> DataFrame:
     """``df`` with the columns ``added`` (columns of those names are replaced).
     ``make(ranks)`` gives the function of a task from a list of ``source``
-    values to the lists of results."""
-    kinds = {"token_ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+    values to the result columns."""
     empty = {"token_ids": F.array().cast("array<int>"), "decoded": F.lit(b"")}
     keep = [c for c in df.columns if c not in added]
     out = df.select(*[f"`{c}`" for c in keep], *[empty[c].alias(c) for c in added])
     at, schema = df.columns.index(source), out.schema
-    index, types = [df.columns.index(c) for c in keep], [kinds[c] for c in added]
-    names = [*keep, *added]
+    index, names = [df.columns.index(c) for c in keep], [*keep, *added]
 
     def run(batches):
         convert = make(ranks.value)
@@ -118,32 +147,41 @@ def _with_results(df: DataFrame, ranks: Broadcast, added: list[str], source: str
             for k in range(0, b.num_rows, _ROWS):
                 part = b.slice(k, _ROWS)
                 results = convert(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in index),
-                     *(pa.array(r, t) for r, t in zip(results, types))], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in index), *results],
+                                                 names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def _bytes(ids, piece) -> pa.Array:
+    return pa.array([b"".join(map(piece, x)) for x in ids], pa.binary())
+
+
 def _encoder(pattern: str):
     def make(ranks):
         find, pieces = regex.compile(pattern).findall, Pieces(ranks)
-        return lambda texts: [[encode_text(t, find, pieces) for t in texts]]
+        return lambda texts: [_lists([encode_text(t, find, pieces) for t in texts])]
     return make
 
 
 def _decoder(ranks):
     piece = {i: p for p, i in ranks.items()}.__getitem__
-    return lambda ids: [[b"".join(map(piece, x or ())) for x in ids]]
+    return lambda ids: [_bytes((x or () for x in ids), piece)]
 
 
 def _round_trip(pattern: str):
     def make(ranks):
-        to_ids, to_bytes = _encoder(pattern)(ranks), _decoder(ranks)
+        find, pieces = regex.compile(pattern).findall, Pieces(ranks)
+        piece = {i: p for p, i in ranks.items()}.__getitem__
 
         def both(texts):
-            ids, = to_ids(texts)
-            return [ids, *to_bytes(ids)]
+            ids = [encode_text(t, find, pieces) for t in texts]
+            return [_lists(ids), _bytes((x.tolist() for x in ids), piece)]
         return both
     return make
 

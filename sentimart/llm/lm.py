@@ -47,7 +47,7 @@ _NONE = -1          # pair of a text without tokens
 
 def _pairs(text: str | None, find, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a text and their occurrences."""
-    ids = np.array([START, *encode_text(text, find, pieces)], np.int64)
+    ids = np.concatenate([[START], encode_text(text, find, pieces)]).astype(np.int64)
     return np.unique(ids[:-1] << 16 | ids[1:], return_counts=True)
 
 

@@ -50,7 +50,7 @@ class Tree:
 
     def _leaves(self, text: str) -> list[tuple[str, int]]:
         cut = self.find(text) if text else []
-        return [("".join(p), sum(len(self.pieces[x]) for x in p))
+        return [("".join(p), self.pieces.count(p))
                 for p in (cut[i:i + LEAF] for i in range(0, len(cut), LEAF))]
 
     def _build(self, leaves: list[tuple[str, int]]) -> None:
@@ -114,7 +114,7 @@ class Tree:
                     break
             text, b, old_end = text + tail, nxt, old_end + len(tail)
         self.recut_chars += len(text)
-        leaves = [("".join(p), sum(len(self.pieces[x]) for x in p))
+        leaves = [("".join(p), self.pieces.count(p))
                   for p in (cut[i:i + LEAF] for i in range(0, len(cut), LEAF))]
         if len(leaves) > b - a + 1:
             self._grow(a, b, leaves)
