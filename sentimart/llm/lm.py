@@ -30,12 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentimart.llm.bpe import Pieces, encode_text
 from sentimart.llm.common import save
 
 BACKOFF = 0.4       # the method's constant
@@ -45,20 +44,24 @@ _COUNTED = 2_048    # texts whose counts are summed before they leave the task
 _NONE = -1          # pair of a text without tokens
 
 
-def _pairs(text: str | None, find, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def _encoding(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _pairs(text: str | None, encoding: tiktoken.Encoding) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a text and their occurrences."""
-    ids = np.concatenate([[START], encode_text(text, find, pieces)]).astype(np.int64)
+    ids = np.array([START, *encoding.encode_ordinary(text or "")], np.int64)
     return np.unique(ids[:-1] << 16 | ids[1:], return_counts=True)
 
 
 def pair_counts(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     """The count table ``(pair, c)`` of all texts."""
     def run(batches):
-        find, pieces = regex.compile(pattern).findall, Pieces(ranks.value)
+        encoding = _encoding(ranks.value, pattern)
         for b in batches:
             for at in range(0, b.num_rows, _COUNTED):
                 texts = b.column(0).slice(at, _COUNTED).to_pylist()
-                pair, n = zip(*(_pairs(t, find, pieces) for t in texts))
+                pair, n = zip(*(_pairs(t, encoding) for t in texts))
                 pair, place = np.unique(np.concatenate(pair), return_inverse=True)
                 c = np.bincount(place, weights=np.concatenate(n), minlength=len(pair))
                 yield pa.RecordBatch.from_arrays(
@@ -72,13 +75,13 @@ def token_pairs(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     """``(doc_id, pair, n)``: occurrences of each distinct pair of a text;
     texts without tokens have one row without a pair and with n 0."""
     def run(batches):
-        find, pieces = regex.compile(pattern).findall, Pieces(ranks.value)
+        encoding = _encoding(ranks.value, pattern)
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
                 row, pair, n = [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
-                    p, c = _pairs(t, find, pieces)
+                    p, c = _pairs(t, encoding)
                     if not len(p):
                         p, c = np.array([_NONE]), np.array([0])
                     row.append(np.full(len(p), k))
