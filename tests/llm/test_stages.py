@@ -125,6 +125,30 @@ def test_passage_inside_other_sentences(spark):
     assert got[3]._x_removed == 0 and got[3].asDict().keys() == {*docs.columns, "_x_removed"}
 
 
+def test_every_51_equal_words_lose_some(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, stretch = [], {}
+    for k in range(60):
+        passage = [f"p{rng.randrange(10 ** 6)}" for _ in range(51)]
+        for at in {rng.randrange(1, 51) for _ in range(k % 4)}:     # sentence ends inside it
+            passage[at - 1] += "."
+        for copy in (0, 1):
+            own = [[f"w{rng.randrange(10 ** 9)}" for _ in range(rng.randrange(1, 60))]
+                   for _ in range(2)]
+            rows.append((2 * k + copy, " ".join(own[0] + passage + own[1]) + "."))
+        stretch[2 * k + 1] = (set(passage), {w.rstrip(".") for o in own for w in o})
+    got = {r.doc_id: r.text for r in substring.dedup_spans(documents(spark, rows)).collect()}
+    for i, t in rows:
+        if i % 2 == 0:
+            assert got[i] == t
+        else:
+            left = [w for w in got[i].split() if w in stretch[i][0]]
+            assert len(left) <= 31
+            assert stretch[i][1] <= {w.rstrip(".") for w in got[i].split()}
+
+
 def test_substring_odd_rows(spark):
     docs = documents(spark, odd_rows())
     out = substring.dedup_spans(docs).collect()
