@@ -118,14 +118,41 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     columns as they were. The document on a source's cut comes whole, so a
     source passes its target by less than one document."""
     seed = options.get("seed", SEED)
-    copies = (mix(docs, **options).groupBy("_x_key").agg(F.sum("copies").alias("_x_all"),
-                                                         F.count(F.lit(1)).alias("_x_n")))
+
+    def with_source(key):
+        source = F.col("source").cast("string")
+        return F.concat(key, F.coalesce(F.concat(F.lit(":"), source), F.lit(""))).alias("_x_key")
+
+    copies = save(mix(docs, **options).groupBy(with_source(F.col("_x_key")))
+                  .agg(F.sum("copies").alias("_x_all"), F.count(F.lit(1)).alias("_x_n"))
+                  .where(F.col("_x_all") > 0)
+                  .select("_x_key", F.floor(F.col("_x_all") / F.col("_x_n")).cast("int")
+                          .alias("_x_each"), (F.col("_x_all") % F.col("_x_n")).alias("_x_more")),
+                  "copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                          F.lit(":"), F.md5(text)))
-    rows = docs.select(F.struct("*").alias(ROW), key.alias("_x_key"))
-    # repeated rows are alike: each carries the larger share
-    n = F.ceil(F.col("_x_all") / F.col("_x_n")).cast("int")
-    return (rows.join(copies, "_x_key").where(n > 0)
-                .select(ROW, F.explode(F.sequence(F.lit(1), n)))
+    rows = docs.select(F.struct("*").alias(ROW), with_source(key))
+    even = (rows.join(copies.where(F.col("_x_more") == 0), "_x_key")
+                .select(ROW, F.col("_x_each").alias("_x_copies")))
+    # the cut falls among repeated rows: the first of them carry one more,
+    # numbered inside the part that each task saved. Saved on their own, as
+    # there are at most as many such keys as sources, so texts do not move
+    uneven = save(copies.where(F.col("_x_more") > 0), "uneven")
+    odd = save(rows.join(uneven, "_x_key")
+                   .withColumn("_x_row_id", F.monotonically_increasing_id())
+                   .withColumn("_x_salt", F.shiftright("_x_row_id", 33)), "mix-odd")
+    salts = odd.groupBy("_x_key", "_x_salt").agg(F.count(F.lit(1)).alias("_x_rows"))
+    ahead = (Window.partitionBy("_x_key").orderBy("_x_salt")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    salts = salts.select("_x_key", "_x_salt",
+                         F.coalesce(F.sum("_x_rows").over(ahead), F.lit(0)).alias("_x_ahead"))
+    inside = Window.partitionBy("_x_key", "_x_salt").orderBy("_x_row_id")
+    number = F.col("_x_ahead") + F.col("_x_inside")
+    odd = (odd.withColumn("_x_inside", F.row_number().over(inside))
+              .join(salts, ["_x_key", "_x_salt"])
+              .select(ROW, (F.col("_x_each") + F.when(number <= F.col("_x_more"), 1).otherwise(0))
+                      .alias("_x_copies")))
+    return (even.unionByName(odd).where(F.col("_x_copies") > 0)
+                .select(ROW, F.explode(F.sequence(F.lit(1), F.col("_x_copies"))))
                 .select(f"{ROW}.*"))

@@ -233,6 +233,24 @@ def test_sql(spark, key):
     assert got == Counter(rel.fetchall())
 
 
+def test_equal_rows_on_the_cut_are_handed_out_exactly(spark):
+    rows = ([(None, "one two three", "a")] * 900 + [(None, "one two three", "b")] * 100
+            + [(7, "four five", None)] * 3 + [(8, "six", "b")])
+    docs = documents(spark, rows).repartition(5)
+    due, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        due[r.source] += r.copies
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        got[r.source] += 1
+    assert got == due and len(got) == 3
+    want, words = brute_targets({"a": 2700, "b": 301, None: 6}), Counter()
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+    assert all(want[s] - 1 <= words[s] < want[s] + 3 for s in want)
+
+
 # --- pipeline -------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, tokenizer):
