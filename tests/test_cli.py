@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from sentimart.cli import main
 from sentimart.plans import daily as PL
 from sentimart.sources import sinks as K

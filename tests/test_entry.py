@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 KEYS = ["score_rules", "empty_files", "describe_frame", "run_all", "folder_daily_listed",
         "chunk_daily", "score_compound", "movie_counts", "movie_stats", "daily_sentiment", "score_all", "unique_movies",
@@ -76,3 +76,17 @@ def test_no_query_plan_has_nested_loops_or_python(spark):
         if hits:
             bad[key] = hits
     assert bad == {}
+
+
+@pytest.mark.parametrize("absent", ["xxhash", "sentimart.llm", "corpus_pipeline"])
+def test_entry_without_the_corpus_operators_or_their_libraries(absent):
+    """The other queries stay when that part can't be imported."""
+    import subprocess
+    import sys
+
+    code = (f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as E; "
+            "print(len(E.queries()), sum(k.startswith('op') for k in E.queries()))")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                         cwd=E.__file__.rsplit("/", 1)[0])
+    n, corpus = map(int, out.stdout.split())
+    assert n >= 54 and corpus == 0, out.stderr

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from sentimart.operators.match import movie_filter, unique_movies
 from sentimart.plans import daily as PL
 from sentimart.sources.fixture import fixture_lexicon, fixture_posts

@@ -124,7 +124,7 @@ def test_scoring_plan_moves_nothing(spark):
     """The scoring itself: no shuffle, sort, join or explode."""
     from sentimart.plans.daily import scored_posts
     from sentimart.sources.fixture import fixture_lexicon, fixture_posts
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     lex, mods = fixture_lexicon(spark)
     for kw in ({}, {"extra_keys": ["folder"]}, {"kind": "gnip", "keep_arrays": True}):
         raw = fixture_posts(spark, SF_SMALL, with_folder=True)

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from sentimart.plans import daily as PL
 from sentimart.sources import posts as S
 from sentimart.sources import sinks as K
