@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentimart.llm import (bpe, embed, lm, mixing, quality, sharding, simhash, substring, tokens,
-                           urls)
+from sentimart.llm import (bpe, conversations, embed, lm, mixing, quality, sharding, simhash,
+                           spelling, substring, tokens, urls)
 from sentimart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +201,14 @@ def op9_lm_score(spark, sf):
 @register("op10_embeddings")
 def op10_embeddings(spark, sf):
     return embed.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@register("op11_spelling")
+def op11_spelling(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@register("op13_conversations")
+def op13_conversations(spark, sf):
+    damaged = conversations.damage(table(spark, sf, "conversations"))
+    return conversations.repair(damaged, F.col("gone"))
