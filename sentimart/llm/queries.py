@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimart.llm import (bpe, conversations, embed, lm, mixing, quality, sharding, simhash,
-                           spelling, substring, tokens, urls)
+                           spelling, substring, tokens, toxicity, urls)
 from sentimart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,11 @@ def op11_spelling(spark, sf):
     return spelling.variants(table(spark, sf, "documents"))
 
 
+@register("op12_toxicity")
+def op12_toxicity(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register("op13_conversations")
 def op13_conversations(spark, sf):
     damaged = conversations.damage(table(spark, sf, "conversations"))
