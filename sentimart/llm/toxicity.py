@@ -8,8 +8,8 @@
    may stand for the letters it is used for, for itself (it ends a word), or,
    as a separator or repetition, for nothing, each at a channel cost. Viterbi
    over pairs of letters finds the likeliest reading under channel and
-   language model. Plain tokens read as they are. A task restores each
-   distinct token once.
+   language model. Every token also reads as it is, so nothing that is plain
+   to see is lost. A task restores each distinct token once.
 3. Evidence. Words, their beginnings and ends of the restored labelled texts
    are counted by label, and those that are found in toxic texts more often
    than chance allows keep their log-odds (a table of at most ``FEATURES``).
@@ -56,7 +56,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
         "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*'~/"
-AS_LETTER, AS_ITSELF, DROPPED, REPEATED = 1.0, 2.0, 0.5, 0.5
+AS_LETTER, AS_ITSELF, OUTSIDE, REPEATED = 1.0, 6.0, 2.0, 0.5   # outside: a symbol beside the letters
+BREAK, JOIN = 4.0, 3.0   # a word's end among letters apart; a separator dropped elsewhere
 
 _FIRST, LETTERS = 0xDF, 60    # 0 ends a word, a-z are 1 to 26, ß to ÿ 27 to 59
 _CLASS = np.zeros(257, np.int64)
@@ -68,7 +69,7 @@ _TOKENS = 200_000             # distinct tokens a task remembers at a time
 _HELD = 300_000               # distinct evidence a task holds before it passes the counts on
 _BACK = 20.0                  # weight of the shorter context in the language model
 
-_PLAIN = re.compile(r"[\W_]*([^\W\d_]+)[\W_]*")
+_PLAIN = re.compile(r"(?:[^\w$@]|_)*([^\W\d_]+)(?:[^\w$@]|_)*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTER = r"(?:[^\W_]|[@$!|])"
 _APART = re.compile(rf"(?<!\S){_LETTER}(?:[ ._*-]{_LETTER}){{2,}}(?!\S)")
@@ -80,15 +81,16 @@ _RUN = re.compile(r"(.)\1\1+", re.S)
 def letter_counts(docs: DataFrame) -> DataFrame:
     """``(code, n)``: trigrams of letter classes over all texts."""
     def pieces(texts):
+        # two blanks around every text, so that its trigrams don't hang on its neighbours
         held, size = [], 0
         for text in texts:
             for at in range(0, len(text), _CHARS):
                 held.append(text[max(at - 2, 0):at + _CHARS])
                 size += len(held[-1])
                 if size >= _CHARS:
-                    yield " ".join(["", *held, ""])
+                    yield "  ".join(["", *held, ""])
                     held, size = [], 0
-        yield " ".join(["", *held, ""])
+        yield "  ".join(["", *held, ""])
 
     def run(batches):
         counts = np.zeros(LETTERS ** 3, np.int64)
@@ -124,15 +126,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     end (a blank) or nothing."""
     out = []
     token = _RUN.sub(lambda m: m[1] * 2 + "\0", token.replace("\0", " "))   # marks behind runs
+    letters = [i for i, c in enumerate(token) if c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (0, 0)
     for i, c in enumerate(token):
         if c == "\0":
             out[-1] = [*out[-1], ("", REPEATED)]
         elif c.isalpha():
             out.append([(c, 0.0)])
         elif c in LEET:
-            out.append([*((x, AS_LETTER) for x in LEET[c]), (" ", AS_ITSELF)])
+            outside = not c.isdigit() and not first < i < last
+            out.append([*((x, AS_LETTER) for x in LEET[c]), (" ", OUTSIDE if outside else AS_ITSELF)])
         elif c in SEPARATORS:
-            out.append([("", DROPPED), (" ", 0.0)])
+            # between two single characters?
+            apart = all(not 0 <= k < len(token) or token[k] in SEPARATORS for k in (i - 2, i + 2))
+            out.append([("", 0.0), (" ", BREAK)] if apart else [("", JOIN), (" ", 0.0)])
         else:
             out.append([(" ", 0.0)])
     return out
@@ -173,7 +180,7 @@ def restore(token: str, model: list) -> tuple[str, ...]:
     letters = {c for c in token if c.isalpha()}
     if not letters or len(letters) == 1 and not any(c in LEET for c in token):
         return ()
-    return tuple(_WORDS.findall(viterbi(lattice(token), model)))
+    return tuple(dict.fromkeys(_WORDS.findall(f"{viterbi(lattice(token), model)} {token}")))
 
 
 class _Memo(dict):
@@ -289,7 +296,7 @@ def measures(model: Broadcast, kept: Broadcast) -> Callable[[str | None, int], l
     def of(text: str | None, which: int) -> list[float]:
         found = tokens(text)
         hits = [w for w in map(memos[which].__getitem__, found) if w > 0]
-        return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)),
+        return [max(hits, default=0.0), math.log1p(math.fsum(hits)), math.log1p(len(hits)),
                 math.log1p(len(found))]
     return of
 
@@ -332,6 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Broadcast,
     seen = np.array([tuple(r) for r in
                      few.mapInArrow(run, "toxic int, " + ", ".join(f"{n} double" for n in _X))
                         .collect()]).reshape(-1, 1 + len(_X))   # five numbers a row
+    seen = seen[np.lexsort(seen.T)]   # sums of one order, so that reruns agree to the last bit
     y = (seen[:, 0] > 0).astype(float)
     if not 0 < y.sum() < len(y):
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
