@@ -4,14 +4,19 @@
     spark-submit --py-files sentimart.zip sentimart/cli.py daily --data-path ROOT/ --out OUT
                  [--by-folder] [--thresholds -1 -0.333 0.333 1] [--movie-list LIST [--chunk N]]
                  [--lexicon lexicon.tsv] [--modifiers modifiers.tsv] [--kind gnip]
+                 [--lang en] [--min-partitions 200] [--files]
     spark-submit --py-files sentimart.zip sentimart/cli.py chunks --data-path ROOT/ --out LIST
-                 [--chunk-size 10]
-
-``daily`` writes ``OUT/counts/daily`` and ``OUT/stats/daily`` (CSV with
-header; partitioned by ``folder`` with ``--by-folder``, by ``chunkId``
-with a movie list). ``chunks`` finds the movies in the data and saves the
-movie list table ``(movieName, chunkId)``. Both run as one Spark job over
-all folders / chunks.
+                 [--chunk-size 10] [--list-name NAME] [--lang en]
+
+``daily`` writes ``OUT/counts/daily`` and ``OUT/stats/daily``: CSV with
+header, partitioned by ``folder`` and, with a movie list, by ``chunkId``.
+Without ``--by-folder`` the folder is named after the data path. With
+``--files`` every folder or chunk is one file ``<folder>.csv`` or
+``<chunk>.csv`` instead. Runs of other folders or chunks into the same OUT are
+left alone; a repeated run replaces its own. ``chunks`` finds the movies in the
+data and saves the movie list table ``(movieName, chunkId)``. Both run as one
+Spark job over all folders / chunks. ``--min-partitions`` spreads the posts of
+a few large files over that many tasks before they are scored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ if __package__ in (None, ""):  # run as a script by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sentimart.functions.lexicon import (lexicon_frame, load_lexicon, load_modifiers,
                                          modifiers_frame)
@@ -33,7 +39,8 @@ from sentimart.operators.match import movie_chunks, unique_movies
 from sentimart.plans.daily import daily_sentiment
 from sentimart.schema import CHUNK_SIZE, THRESHOLDS_DEFAULT
 from sentimart.sources.posts import read_folders, read_posts
-from sentimart.sources.sinks import load_movie_list, save_movie_list, write_daily
+from sentimart.sources.sinks import (load_movie_list, save_movie_list, write_daily,
+                                     write_daily_files)
 
 
 def _session(app: str) -> SparkSession:
@@ -68,24 +75,56 @@ def run_daily(spark: SparkSession, args) -> None:
     else:
         raw = read_posts(spark, args.data_path)
         keys = []
-    movies, extra, part_by = None, [], list(keys)
+    movies, extra = None, []
     if args.movie_list:
-        movies = load_movie_list(spark, args.movie_list, args.chunk)
-        extra, part_by = ["chunkId"], [*keys, "chunkId"]
+        movies = load_movie_list(spark, args.movie_list, args.chunk, args.list_name)
+        extra = ["chunkId"]
     out = daily_sentiment(raw, lex, mods, kind=kind, thresholds=args.thresholds,
-                          movies=movies, match=args.match, keys=keys, name_extra=extra)
+                          movies=movies, match=args.match, keys=keys, name_extra=extra,
+                          lang=args.lang, min_partitions=args.min_partitions)
     try:
-        write_daily(out.counts, out.stats, args.out, partition_by=part_by or None,
-                    single_file=args.single_file)
+        _write(args, out, movies)
     finally:
         out.close()
 
 
+def path_name(paths: list[str]) -> str:
+    """What a run over whole paths is called: their last folders."""
+    return "+".join(p.rstrip("/").rstrip("*").rstrip("/").split("/")[-1] for p in paths)
+
+
+def _write(args, out, movies) -> None:
+    counts, stats, names = out.counts, out.stats, None
+    if not args.by_folder and not args.movie_list:
+        folder = path_name(args.data_path)
+        counts, stats = (df.withColumn("folder", F.lit(folder)) for df in (counts, stats))
+        names = [folder]
+    part_by = [c for c in ("folder", "chunkId") if c in counts.columns]
+    if not args.files:
+        if args.movie_list and args.chunk is not None and not args.by_folder:
+            # the chunk is replaced even if it has no rows any more
+            write_daily(counts.drop("chunkId"), stats.drop("chunkId"), args.out,
+                        single_file=args.single_file, below=f"chunkId={args.chunk}")
+        else:
+            write_daily(counts, stats, args.out, partition_by=part_by,
+                        single_file=args.single_file)
+        return
+    if args.movie_list and not args.by_folder:
+        # one name per chunk, as many as the list has
+        names = [str(r.chunkId) for r in movies.select("chunkId").distinct().collect()]
+    name = part_by[0]
+    if len(part_by) > 1:
+        file = F.concat_ws("-", *part_by)
+        counts, stats = (df.withColumn("file", file).drop(*part_by) for df in (counts, stats))
+        name = "file"
+    write_daily_files(counts, stats, args.out, name, names)
+
+
 def run_chunks(spark: SparkSession, args) -> None:
     kind = _kind(args)
     raw = read_posts(spark, args.data_path)
-    names = unique_movies(clean_posts(raw, kind=kind).select("movieName"))
-    save_movie_list(movie_chunks(names, args.chunk_size), args.out)
+    names = unique_movies(clean_posts(raw, kind=kind, lang=args.lang).select("movieName"))
+    save_movie_list(movie_chunks(names, args.chunk_size), args.out, args.list_name)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -97,6 +136,8 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--lexicon")
     common.add_argument("--modifiers")
     common.add_argument("--out", required=True)
+    common.add_argument("--lang", default="en")
+    common.add_argument("--list-name")
     d = sub.add_parser("daily", parents=[common])
     d.add_argument("--thresholds", nargs="+", type=float, default=THRESHOLDS_DEFAULT)
     d.add_argument("--movie-list")
@@ -104,6 +145,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--match", choices=["like", "contains", "exact"], default="like")
     d.add_argument("--by-folder", action="store_true")
     d.add_argument("--single-file", action="store_true")
+    d.add_argument("--files", action="store_true")
+    d.add_argument("--min-partitions", type=int)
     c = sub.add_parser("chunks", parents=[common])
     c.add_argument("--chunk-size", type=int, default=CHUNK_SIZE)
     return p

@@ -78,3 +78,54 @@ def test_daily_leaves_no_folder_behind(spark, tmp_path):
     before = set(os.listdir(base)) if os.path.isdir(base) else set()
     main(["daily", "--data-path", src + "/", "--out", out], spark)
     assert set(os.listdir(base)) == before and os.path.isdir(out + "/stats/daily")
+
+
+def _read(spark, out, by):
+    df = K.read_counts(spark, out + "/counts/daily", by)
+    return Counter((str(r.date), r.vaderClassifier, r.nTweets, r.movieName, r[by[0][0]])
+                   for r in df.collect())
+
+
+@pytest.mark.parametrize("files", [[], ["--files"]])
+def test_chunks_run_one_after_the_other_into_one_folder(spark, tmp_path, files):
+    """Every chunk stays; a repeated run of one changes nothing."""
+    src, lst, whole, out = (str(tmp_path / x) for x in ("twitter-gnip", "list", "whole", "out"))
+    K.write_posts_json(fixture_posts(spark, SF_SMALL), src, files=2)
+    main(["chunks", "--data-path", src + "/", "--out", lst, "--chunk-size", "8"], spark)
+    job = ["daily", "--data-path", src + "/", "--movie-list", lst]
+    main([*job, "--out", whole], spark)
+    for chunk in ("0", "2", "1", "0"):
+        main([*job, "--out", out, "--chunk", chunk, *files], spark)
+    exp = _read(spark, whole, [("chunkId", "int")])
+    assert {k[4] for k in exp} == {0, 1, 2}
+    if not files:
+        assert _read(spark, out, [("chunkId", "int")]) == exp
+        return
+    assert sorted(f for f in os.listdir(out + "/stats/daily") if f[0] not in "._") == \
+        ["0.csv", "1.csv", "2.csv"]
+    from sentimart.schema import COUNTS_SCHEMA
+    got = K.read_named_csv(spark, out + "/counts/daily", COUNTS_SCHEMA, "chunk").collect()
+    assert Counter((str(r.date), r.vaderClassifier, r.nTweets, r.movieName, int(r.chunk))
+                   for r in got) == exp
+
+
+@pytest.mark.parametrize("files", [[], ["--files"]])
+def test_folders_run_one_after_the_other_into_one_folder(spark, tmp_path, files):
+    posts, out = fixture_posts(spark, SF_SMALL, with_folder=True), str(tmp_path / "out")
+    for k in "01":
+        src = str(tmp_path / f"twitter-chicago/set {k}")
+        K.write_posts_json(posts.where(f"folder = 'chicago_{k}'").drop("folder"), src, files=2)
+        main(["daily", "--data-path", src + "/", "--out", out, "--min-partitions", "3", *files], spark)
+    names = [f for f in os.listdir(out + "/counts/daily") if f[0] not in "._"]
+    assert sorted(names) == ([f"set {k}.csv" for k in "01"] if files else
+                             [f"folder=set {k}" for k in "01"])
+
+
+def test_language_of_the_job(spark, tmp_path):
+    src, out = str(tmp_path / "twitter-chicago"), str(tmp_path / "out")
+    K.write_posts_json(fixture_posts(spark, SF_SMALL), src, files=2)
+    main(["daily", "--data-path", src + "/", "--out", out, "--lang", "de"], spark)
+    got = K.read_counts(spark, out + "/counts/daily", [("folder", "string")])
+    ref = PL.daily_sentiment(fixture_posts(spark, SF_SMALL), lexicon_frame(spark),
+                             modifiers_frame(spark), lang="de", persist=False).counts
+    assert got.count() == ref.count() > 0
