@@ -15,6 +15,11 @@ standard deviations of any movie (a union of movie strings) can be merged
 from it without touching posts again. The partial table is what a hot
 movie collapses into: map-side partial aggregation turns a movie holding a
 third of all posts into at most one row per task and group.
+
+With ``quantiles`` a partial row also holds the histogram of its scores. A
+score has 4 decimals in [-1, 1], so a histogram has 20,001 bars at most however
+many posts it stands for, adding two of them loses nothing, and the quantiles
+of any movie and day are exact.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from sentimart.schema import (COUNTS_COLUMNS, STATS_COLUMNS, STATS_DECIMALS,
 from sentimart.session import remove_dir, shared_dir
 
 SCORE_DECIMAL = "decimal(10,4)"
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 @dataclass
@@ -44,6 +50,7 @@ class DailyOutputs:
     partial: DataFrame
     mapping: DataFrame
     folder: str | None = None    # of the partial table, when it was written
+    quantiles: DataFrame | None = None
 
     def close(self) -> None:
         """Drop the partial table (cached or written); the outputs cannot be
@@ -96,9 +103,23 @@ def scored_posts(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     return classify(scored, thresholds=thresholds or THRESHOLDS_DEFAULT)
 
 
-def partial_aggregate(classified: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (keys, movie string, date, class): count, exact sums, min, max."""
+def partial_aggregate(classified: DataFrame, keys: list[str], histogram: bool = False) -> DataFrame:
+    """Per (keys, movie string, date, class): count, exact sums, min, max, and
+    with ``histogram`` the scores, ``hist`` of (v in 10,000ths, n)."""
     d = F.col("vaderScore").cast(SCORE_DECIMAL)
+    if histogram:
+        by = [*keys, "movieName", "date", "vaderClassifier"]
+        bars = classified.groupBy(*by, "vaderScore").agg(F.count("vaderScore").alias("n"))
+        n = F.col("n").cast("decimal(20,0)")
+        bar = F.struct((d * 10_000).cast("int").alias("v"), "n")
+        return bars.groupBy(*by).agg(
+            F.sum("n").alias("n"),
+            F.sum(d * n).cast("decimal(20,4)").alias("s"),
+            F.sum((d * d).cast("decimal(17,8)") * n).cast("decimal(31,8)").alias("sq"),
+            F.min("vaderScore").alias("mn"),
+            F.max("vaderScore").alias("mx"),
+            F.sort_array(F.collect_list(F.when(F.col("n") > 0, bar))).alias("hist"),
+        )
     return classified.groupBy(*keys, "movieName", "date", "vaderClassifier").agg(
         F.count(F.col("vaderScore")).alias("n"),
         F.sum(d).alias("s"),
@@ -131,6 +152,29 @@ def _stats_from_partial(grouped, keys: list[str], extra: dict | None = None) ->
     )
 
 
+def quantile_columns(probabilities: list[float]) -> list[str]:
+    """``p25Score`` .. of the probabilities; a half is ``medianScore``."""
+    return ["medianScore" if p == 0.5 else f"p{100 * p:g}Score".replace(".", "_")
+            for p in probabilities]
+
+
+def movie_quantiles(partial: DataFrame, mapping: DataFrame, probabilities: list[float] = QUARTILES,
+                    on: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """A11 per movie: score quantiles per (keys, movie, day) from the
+    histograms of the partial rows (interpolated like SQL ``percentile_cont``,
+    rounded). ``on`` names further join keys of partial and mapping. No text is
+    read or scored again."""
+    bars = (partial.select(*partial.drop("hist").columns, F.inline("hist").alias("_v", "_count")))
+    joined = bars.join(mapping, [*(on or []), "movieName"])
+    merged = joined.groupBy(*(keys or []), "name", "date", "_v").agg(F.sum("_count").alias("_count"))
+    q = F.percentile(F.col("_v"), F.array(*map(F.lit, probabilities)), F.col("_count"))
+    out = merged.groupBy(*(keys or []), "name", "date").agg(
+        q.alias("_q"), F.sum("_count").alias("totalTweets"))
+    cols = [F.round(F.col("_q")[i] / 10_000, STATS_DECIMALS).alias(c)
+            for i, c in enumerate(quantile_columns(probabilities))]
+    return out.select(*(keys or []), "date", *cols, "totalTweets", F.col("name").alias("movieName"))
+
+
 def movie_summary(partial: DataFrame, names: DataFrame, n_classes: int,
                   match: str = "like") -> DataFrame:
     """Statistics and one count column per class (``nClass0`` ..) per movie
@@ -138,7 +182,7 @@ def movie_summary(partial: DataFrame, names: DataFrame, n_classes: int,
     tags = "tags" if match == "exact" else None
     strings = partial.select("movieName", *([tags] if tags else [])).distinct()
     mapping = match_names(strings, names.select("movieName"), match=match, tags_col=tags)
-    part = partial.drop("tags") if tags else partial
+    part = partial.drop("tags", "hist")
     joined = part.join(mapping, "movieName")
     per_class = {f"nClass{k}": F.sum(F.when(F.col("vaderClassifier") == float(k), F.col("n"))
                                       .otherwise(F.lit(0)))
@@ -170,7 +214,7 @@ def movie_outputs(partial: DataFrame, names: DataFrame, keys: list[str] | None =
         if name_extra:
             mapping = mapping.join(names.select(F.col("movieName").alias("name"), *name_extra),
                                    "name")
-    part = partial.drop("tags") if tags else partial
+    part = partial.drop("tags", "hist")
     joined = part.join(mapping, [*match_on, "movieName"])
     out_keys = [*keys, *name_extra]
     counts = (joined.groupBy(*out_keys, "name", "date", "vaderClassifier")
@@ -206,8 +250,10 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                     movies: DataFrame | None = None, match: str = "like",
                     keys: list[str] | None = None, name_extra: list[str] | None = None,
                     lang: str = "en", persist: bool | str | None = True,
-                    order: bool = True, min_partitions: int | None = None) -> DailyOutputs:
-    """C4/C5 (flagship): load, score, classify, movies found or given, both outputs.
+                    order: bool = True, min_partitions: int | None = None,
+                    quantiles: list[float] | None = None) -> DailyOutputs:
+    """C4/C5 (flagship): load, score, classify, movies found or given, both outputs
+    and, with ``quantiles`` (probabilities), the quantiles per movie and day.
 
     ``movies`` (``movieName`` [+ keys] [+ name_extra]) -- when omitted, the
     movies are the single-movie strings found in the data (per ``keys``).
@@ -223,7 +269,8 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds, lang,
                               extra_keys=keys, keep_arrays=(match == "exact"),
                               min_partitions=min_partitions)
-    partial = partial_aggregate(classified, keys + (["tags"] if match == "exact" else []))
+    partial = partial_aggregate(classified, keys + (["tags"] if match == "exact" else []),
+                                histogram=bool(quantiles))
     how = "table" if persist is True else (persist or None)
     partial, folder = materialize(partial, how)
     if movies is None:
@@ -233,7 +280,12 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
         else:
             movies = unique_movies(found)
     counts, stats, mapping = movie_outputs(partial, movies, keys, match, order, name_extra)
-    return DailyOutputs(counts, stats, partial, mapping, folder)
+    found = None
+    if quantiles:
+        # the mapping has the keys when movies are per key
+        on = [k for k in keys if k in mapping.columns]
+        found = movie_quantiles(partial, mapping, quantiles, on, [*keys, *(name_extra or [])])
+    return DailyOutputs(counts, stats, partial, mapping, folder, found)
 
 
 def _unique_by_keys(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -249,7 +301,8 @@ def daily_summary(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                   movies: DataFrame | None = None, match: str = "like",
                   min_partitions: int | None = None) -> DataFrame:
     """Both outputs in one table per (movie, day): statistics plus one count
-    column per class (``nClass0`` ..), from a single aggregate."""
+    column per class (``nClass0`` ..), from a single aggregate. The partial
+    table it reads belongs to the caller's ``workspace``."""
     thresholds = check_splits(thresholds or THRESHOLDS_DEFAULT)
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds,
                               keep_arrays=(match == "exact"), min_partitions=min_partitions)

@@ -23,7 +23,7 @@ from sentimart.operators.match import (distinct_tags, match_names, movie_chunks,
                                        unique_movies)
 from sentimart.operators.score import score_text, score_with
 from sentimart.plans import daily as PL
-from sentimart.schema import (THRESHOLDS_4WAY, THRESHOLDS_DEFAULT, THRESHOLDS_THIRDS)
+from sentimart.schema import (COUNTS_SCHEMA, THRESHOLDS_4WAY, THRESHOLDS_DEFAULT, THRESHOLDS_THIRDS)
 from sentimart.session import shared_dir
 from sentimart.sources import posts as S
 from sentimart.sources import sinks as K
@@ -230,6 +230,37 @@ def q_write_csv_roundtrip(spark, sf):
                            K.read_stats(spark, f"{root}/stats/daily"), [])
 
 
+# names that a careless writer or reader would change, and two named folders
+_ODD = [" lead", "trail ", "line\nbreak", "cr\r\nlf", 'quo"te', "com,ma", "back\\slash", ""]
+_ODD_SQL = "[" + ", ".join(
+    "'" + n.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'" for n in _ODD) + "]"
+
+
+@register("named_files_roundtrip", f"""
+SELECT 'set ' || CAST(doc_id % 3 AS VARCHAR) AS folder, DATE '2024-01-01' AS date,
+       CAST(doc_id % 2 AS DOUBLE) AS vaderClassifier, count(*) AS nTweets,
+       CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 8 = 7 THEN ''
+            ELSE source || ({_ODD_SQL})[CAST(doc_id % 8 AS INTEGER) + 1] END AS movieName
+FROM documents GROUP BY ALL""")
+def q_named_files_roundtrip(spark, sf):
+    """One CSV file per folder, written by two runs and a repeated one."""
+    i = F.col("doc_id")
+    odd = F.element_at(F.array(*map(F.lit, _ODD)), (i % 8 + 1).cast("int"))
+    name = (F.when(i % 5 == 4, F.lit(None)).when(i % 8 == 7, "")
+             .otherwise(F.concat("source", odd)))
+    counts = (read_table(spark, sf, "documents")
+              .select(F.lit("2024-01-01").cast("date").alias("date"),
+                      (i % 2).cast("double").alias("vaderClassifier"), name.alias("movieName"),
+                      F.concat(F.lit("set "), (i % 3).cast("string")).alias("folder"))
+              .groupBy("date", "vaderClassifier", "movieName", "folder")
+              .agg(F.count(F.lit(1)).alias("nTweets"))
+              .select("date", "vaderClassifier", "nTweets", "movieName", "folder"))
+    root = shared_dir(spark, "named")
+    for part in ("folder <> 'set 1'", "folder = 'set 1'", "folder = 'set 0'"):
+        K.write_named_csv(counts.where(part), root, "folder", ["movieName"])
+    return K.read_named_csv(spark, root, COUNTS_SCHEMA, "folder")
+
+
 _CHUNKS_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + """
 SELECT name AS movieName,
        CAST(floor((row_number() OVER (ORDER BY name) - 1) / 10) AS INTEGER) AS chunkId
@@ -559,6 +590,29 @@ def q_movie_stats(spark, sf):
     return _daily(spark, sf).stats
 
 
+_QUANTILES = """round(quantile_cont(s.vaderScore, 0.05), 6) AS p5Score,
+       round(quantile_cont(s.vaderScore, 0.25), 6) AS p25Score,
+       round(quantile_cont(s.vaderScore, 0.5), 6) AS medianScore,
+       round(quantile_cont(s.vaderScore, 0.75), 6) AS p75Score,
+       round(quantile_cont(s.vaderScore, 0.95), 6) AS p95Score, count(*) AS totalTweets"""
+
+
+@register("movie_percentiles", _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + f"""
+SELECT s.date, {_QUANTILES}, m.name AS movieName
+FROM cls s JOIN movies m ON s.movieName LIKE '%' || m.name || '%' GROUP BY s.date, m.name""")
+def q_movie_percentiles(spark, sf):
+    return _daily(spark, sf, quantiles=[0.05, 0.25, 0.5, 0.75, 0.95]).quantiles
+
+
+@register("folder_percentiles", _w(O.classified_ctes("chicago", extra=["folder"]),
+                                   f"movies AS ({O.movies_found_sql('clean', ['folder'])})") + f"""
+SELECT s.folder, s.date, {_QUANTILES}, m.name AS movieName
+FROM cls s JOIN movies m ON s.folder = m.folder AND s.movieName LIKE '%' || m.name || '%'
+GROUP BY s.folder, s.date, m.name""")
+def q_folder_percentiles(spark, sf):
+    return _daily(spark, sf, keys=["folder"], quantiles=[0.05, 0.25, 0.5, 0.75, 0.95]).quantiles
+
+
 _SUMMARY_ORACLE = _w(_CLS, f"movies AS ({O.movies_found_sql('clean')})") + f"""
 SELECT m.name AS movieName, s.date, {O.stats_select()},
        count(CASE WHEN s.vaderClassifier = 0.0 THEN 1 END) AS nClass0,

@@ -10,9 +10,14 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "sentimart") -> SparkSession:
@@ -61,7 +66,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh, unique folder inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/sentimart-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/sentimart-{name}-{uuid.uuid4().hex[:12]}"
+    if (held := _folders.get()) is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Owner of intermediate folders: those that operators and plans make in
+    the shared checkpoint folder within this block are removed at its end.
+    Results that read them must be written or collected inside. Blocks nest."""
+    token = _folders.set([])
+    try:
+        yield
+    finally:
+        for path in _folders.get():
+            remove_dir(spark, path)
+        _folders.reset(token)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
