@@ -60,41 +60,102 @@ def test_urls(spark):
 
 # --- language model ---------------------------------------------------------------
 
-def brute_lm(rows, enc):
-    pairs, words, own = Counter(), Counter(), {}
-    for i, t in rows:
-        ids = [lm.START, *enc.encode_ordinary(t or "")]
-        mine = Counter(zip(ids, ids[1:]))
-        own.setdefault(i, []).append(mine)
-        pairs.update(mine)
-        words.update(ids[1:])
-        words[lm.START] += len(ids) > 1
-    total = sum(words.values()) - words[lm.START]
-    out = {}
-    for i, texts in own.items():
+def brute_lm(rows, enc, order=2):
+    """Every document's results; rows without an id are documents of their own."""
+    docs, start = {}, object()
+    for k, (i, t) in enumerate(rows):
+        docs.setdefault(("none", k) if i is None else i, []).append(t)
+    grams = {o: Counter() for o in range(2, order + 1)}
+    words, mine = Counter(), {}
+    for i, texts in docs.items():
+        mine[i] = {o: Counter() for o in grams}
+        for t in texts:
+            ids = [start] * (order - 1) + enc.encode_ordinary(t or "")
+            for at in range(order - 1, len(ids)):
+                words[ids[at]] += 1
+                for o in grams:
+                    mine[i][o][tuple(ids[at - o + 1:at + 1])] += 1
+        for o in grams:
+            grams[o].update(mine[i][o])
+
+    def contexts(of):
+        out = {o: Counter() for o in of}
+        for o in of:
+            for g, n in of[o].items():
+                out[o][g[:-1]] += n
+        return out
+
+    context, total, out = contexts(grams), sum(words.values()), {}
+    for i, own in mine.items():
+        own_context = contexts(own)
         s = n = back = 0
-        for mine in texts:
-            for (v, w), k in mine.items():
-                c = pairs[v, w] - k
-                n += k
-                back += k * (c <= 0)
-                s += k * (math.log(c / words[v]) if c > 0
-                          else math.log(lm.BACKOFF * words[w] / total))
+        for g, k in own[order].items():
+            n += k
+            for o in range(order, 0, -1):
+                if o == 1:
+                    s += k * math.log(lm.BACKOFF ** (order - 1) * words[g[-1]] / total)
+                    break
+                x = g[-o:]
+                c = grams[o][x] - own[o][x]
+                if c > 0:
+                    d = context[o][x[:-1]] - own_context[o][x[:-1]]
+                    s += k * math.log(lm.BACKOFF ** (order - o) * c / d)
+                    break
+                back += k * (o == order)
         out[i] = (n, back, s)
     return out
 
 
+def same_scores(got, want):
+    assert len(got) == len(want)
+    named = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(named) == sum(r.doc_id is not None for r in got)
+    for i, (n, back, s) in want.items():
+        if not isinstance(i, tuple):
+            assert (named[i].n_tokens, named[i].n_backoff) == (n, back)
+            assert named[i].log_score == pytest.approx(s, abs=1e-6)
+            assert named[i].mean_log_score == (pytest.approx(s / n) if n else None)
+    left = sorted((r.n_tokens, r.n_backoff, r.log_score) for r in got if r.doc_id is None)
+    for x, y in zip(left, sorted(v for i, v in want.items() if isinstance(i, tuple))):
+        assert x == pytest.approx(y, abs=1e-6)
+
+
+def several_rows():
+    """Ids of several rows, rows without an id, a gram that every text holds."""
+    rows = odd_rows() + [(50 + i, f"the only pair {'again and again ' * (i % 3)}of {i}") for i in range(30)]
+    rows += [(50, "the only pair once more"), (50, "of 50"), (51, ""), (51, None)]
+    return rows + [(None, "the only pair once more"), (None, "the only pair once more"), (None, "")]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("frequent", [0, 7, lm.FREQUENT])
+def test_scores_of_any_order(spark, tokenizer, shared, order, frequent):
+    """Frequent grams scored in place or not, repeated ids, a common gram."""
+    rows = several_rows()
+    got = lm.score(documents(spark, rows).repartition(5), shared, tokenizer[1], order=order,
+                   frequent=frequent).collect()
+    same_scores(got, brute_lm(rows, tokenizer[2], order))
+
+
+def test_equal_rows_of_one_id_see_nothing_of_each_other(spark, tokenizer, shared):
+    rows = [(1, "ten words that nothing else in this table holds"), (2, "x")]
+    both = lm.score(documents(spark, rows + rows[:1]), shared, tokenizer[1]).collect()
+    one = next(r for r in both if r.doc_id == 1)
+    assert one.n_backoff == one.n_tokens > 0
+
+
+def test_an_order_beyond_the_bits_is_refused(tokenizer):
+    assert lm.symbol_bits(tokenizer[0], 3)[1] == 16
+    with pytest.raises(ValueError, match="do not fit"):
+        lm.symbol_bits(tokenizer[0], 4)
+    assert lm.symbol_bits({b"a": 0, b"b": 70_000}, 3) == (70_001, 17)   # more than 16 bits of ids
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_scores(spark, tokenizer, shared, odd):
     docs = documents(spark, odd_rows()) if odd else table(spark, SF, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {r.doc_id: r for r in lm.score(docs, shared, tokenizer[1]).collect()}
-    want = brute_lm(rows, tokenizer[2])
-    assert got.keys() == want.keys()
-    for i, (n, back, s) in want.items():
-        assert (got[i].n_tokens, got[i].n_backoff) == (n, back)
-        assert got[i].log_score == pytest.approx(s, abs=1e-6)
-        assert got[i].mean_log_score == (pytest.approx(s / n) if n else None)
+    same_scores(lm.score(docs, shared, tokenizer[1]).collect(), brute_lm(rows, tokenizer[2]))
     assert lm.score(docs.limit(0), shared, tokenizer[1]).count() == 0
 
 
