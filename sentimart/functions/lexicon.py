@@ -3,11 +3,12 @@
 The scorer is driven by two small tables, so a user can load any word list:
 
 * ``lexicon(token string, valence double)`` -- lower-case tokens, valence on
-  a -4..4 scale.
+  a -4..4 scale. A token of several words is an idiom, scored as one.
 * ``modifiers(token string, kind string, scalar double)`` -- ``kind`` is
   ``booster`` (scalar is added towards the valence's sign), ``negation``,
-  ``negation_near`` (negates the next token only) or ``amplifier`` (multiplies
-  by scalar). A token of two words ("kind of") stands for both in a row.
+  ``negation_near`` (negates the next token only), ``amplifier`` (multiplies
+  by scalar) or ``emoji`` (a sign and, after a blank, the words it is read as).
+  A booster or amplifier of several words ("kind of") stands for all in a row.
 
 The seed list is a starter set built from a rule: common words in groups of
 four strengths (``SEED_GROUPS``), every word of a group with the group's
@@ -167,7 +168,7 @@ def load_lexicon(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
                .groupBy(F.lower(F.col("_c0")).alias("token")).agg(mean.alias("valence")))
 
 
-MODIFIER_KINDS = ("booster", "negation", "negation_near", "amplifier")
+MODIFIER_KINDS = ("booster", "negation", "negation_near", "amplifier", "emoji")
 
 
 def load_modifiers(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:

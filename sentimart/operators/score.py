@@ -15,9 +15,15 @@ method, constants in ``ScorerParams``):
 4. a negation among the 3 preceding tokens multiplies by ``negation_scalar``
    (once per hit); a near negation ("least") only right before the token;
    per distance 1, 2, 3: booster added, then negation;
-5. two words in a row that are an entry ("kind of", "never so", "at least"),
-   the second at distance 1 or 2: the entry's booster scalar is added
-   towards the sign, its factor multiplies, and neither word negates;
+5. several words in a row that are an entry ("kind of", "never so", "by no
+   means at all"), the last at distance 1 or 2 (e): after step e + 1 the
+   entry's booster scalar is added towards the sign and its factor multiplies;
+   none of its words negates. Of entries with one last word the longest
+   counts, and one that lies inside another does not;
+   idioms: several words in a row with a valence of their own are scored like
+   a word in the place of the last one, with the tokens before the first as
+   context; what ends inside an idiom is not scored, and none of its words is a
+   modifier. Emoji are read as the words of their description;
 6. "but": valences before the first "but" x0.5, after it x1.5;
 7. punctuation emphasis on the sum, away from zero ("!" and "?");
 8. compound = round(s / sqrt(s^2 + alpha), 4), clipped to [-1, 1];
@@ -26,8 +32,9 @@ method, constants in ``ScorerParams``):
 
 Plan: the tokens of a text are all in one row, so nothing is shuffled,
 sorted or exploded. A batch's tokens are looked up once per distinct token,
-laid end to end as arrays, and rules 2-6 are array operations over the
-lexicon hits; per text the sums come back as columns, and rules 7-9 are
+laid end to end as arrays, entries of several words are found by walking a trie
+of the reversed entries back from all tokens at once, and rules 2-6 are array
+operations over the lexicon hits; per text the sums come back as columns, and rules 7-9 are
 plain Spark expressions over them. Valences are summed as integers of
 10^-12, so a sum is exact (``good`` and an equal ``bad`` cancel to zero).
 The word table goes to the tasks as a Python object, only within
@@ -67,26 +74,39 @@ class WordTable:
     boost: dict[str, float] = field(default_factory=dict)
     negation: set[str] = field(default_factory=set)
     near: set[str] = field(default_factory=set)
-    pairs: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
+    phrases: dict[tuple[str, ...], tuple[float, float]] = field(default_factory=dict)
+    idioms: dict[tuple[str, ...], float] = field(default_factory=dict)
+    emoji: dict[str, str] = field(default_factory=dict)
 
     def add_word(self, token: str, valence: float) -> None:
-        token = token.lower()
-        self.valence[token] = max(valence, self.valence.get(token, valence))
+        """A word, or several in a row (an idiom)."""
+        words = tuple(token.lower().split())
+        if len(words) > 1:
+            self.idioms[words] = max(valence, self.idioms.get(words, valence))
+        else:
+            token = token.lower()
+            self.valence[token] = max(valence, self.valence.get(token, valence))
 
     def add_modifier(self, token: str, kind: str, scalar: float) -> None:
-        """Entries that come twice: the larger scalar counts."""
+        """Entries that come twice: the larger scalar counts (of an emoji's
+        descriptions the last in order)."""
+        if kind == "emoji":
+            sign, _, text = token.partition(" ")
+            self.emoji[sign] = max(text.strip(), self.emoji.get(sign, ""))
+            return
         words = tuple(token.lower().split())
-        if len(words) == 2:
-            boost, factor = self.pairs.get(words, (0.0, 1.0))
+        if len(words) > 1:
+            boost, factor = self.phrases.get(words, (0.0, 1.0))
             if kind == "booster":
                 boost = scalar if boost == 0.0 else max(boost, scalar)
             elif kind == "amplifier":
                 factor = scalar if factor == 1.0 else max(factor, scalar)
             else:
-                raise ValueError(f"a two-word modifier must be a booster or an amplifier: {token!r}")
-            self.pairs[words] = boost, factor
-        elif len(words) != 1:
-            raise ValueError(f"modifiers have one or two words: {token!r}")
+                raise ValueError(f"a modifier of several words must be a booster or an amplifier: "
+                                 f"{token!r}")
+            self.phrases[words] = boost, factor
+        elif not words:
+            raise ValueError("a modifier without a word")
         elif kind == "booster":
             self.boost[words[0]] = max(scalar, self.boost.get(words[0], scalar))
         elif kind == "negation":
@@ -116,7 +136,7 @@ def word_table(lexicon: DataFrame, modifiers: DataFrame, texts: DataFrame, text_
                  .select("token", F.col("valence").cast("double"))
     rows = _bounded_rows(lex, max_words, max_bytes)
     if rows is None:
-        rows = _bounded_rows(occurring(lex, texts, text_col), max_words, max_bytes)
+        rows = _bounded_rows(occurring(lex, texts, text_col, modifiers), max_words, max_bytes)
     mods = _bounded_rows(modifiers.where(F.col("token").isNotNull())
                          .select("token", "kind", F.col("scalar").cast("double")),
                          max_words, max_bytes)
@@ -131,11 +151,64 @@ def word_table(lexicon: DataFrame, modifiers: DataFrame, texts: DataFrame, text_
     return table
 
 
-def occurring(lexicon: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """The rows of ``lexicon`` whose token occurs in the texts."""
-    seen = (texts.select(F.explode(F.array_distinct(tokens(F.lower(F.col(text_col))))).alias("t"))
-                 .distinct())
-    return lexicon.join(seen, F.lower("token") == F.col("t"), "left_semi")
+def occurring(lexicon: DataFrame, texts: DataFrame, text_col: str,
+              modifiers: DataFrame | None = None) -> DataFrame:
+    """The rows of ``lexicon`` whose token (of an idiom the first word) occurs
+    in the texts or in a description of an emoji."""
+    split = texts.select(F.array_distinct(tokens(F.lower(F.col(text_col)))).alias("t"))
+    if modifiers is not None:
+        read = modifiers.where("kind = 'emoji'").select(F.split(F.lower("token"), " ").alias("t"))
+        split = split.unionByName(read)
+    seen = split.select(F.explode("t").alias("t")).distinct()
+    first = F.element_at(F.split(F.trim(F.lower("token")), r"\s+"), 1)
+    return lexicon.join(seen, first == F.col("t"), "left_semi")
+
+
+class _Phrases:
+    """Entries of several words, as a trie of the reversed entries."""
+
+    def __init__(self, words: WordTable):
+        entries = sorted({*words.phrases, *words.idioms})
+        self.word = {w: i for i, w in enumerate(sorted({w for e in entries for w in e}), 1)}
+        self.longest = max(map(len, entries), default=0)
+        step, nodes = {}, [None]           # (node, word) to node; entry that ends at a node
+        for e in entries:
+            at = 0
+            for w in reversed(e):
+                key = at * (len(self.word) + 1) + self.word[w]
+                if key not in step:
+                    step[key] = len(nodes)
+                    nodes.append(None)
+                at = step[key]
+            nodes[at] = e
+        self.keys = np.array(sorted(step), np.int64)
+        self.next = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        mods = [words.phrases.get(e) for e in nodes]
+        self.boost = np.array([m[0] if m else 0.0 for m in mods])
+        self.factor = np.array([m[1] if m else np.nan for m in mods])
+        self.valence = np.array([words.idioms.get(e, np.nan) for e in nodes])
+
+    def ends(self, word: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every token, node and number of words of the longest modifier
+        that ends there, and the same of the longest idiom (0: none)."""
+        out = [np.zeros(len(word), np.int64) for _ in range(4)]
+        if not len(self.keys):
+            return tuple(out)
+        at = np.flatnonzero(word)
+        node = np.zeros(len(at), np.int64)
+        for n in range(1, self.longest + 1):
+            inside = pos[at] >= n - 1
+            at, node = at[inside], node[inside]
+            key = node * (len(self.word) + 1) + word[at - n + 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = (self.keys[place] == key) & (word[at - n + 1] > 0)
+            at, node = at[met], self.next[place[met]]
+            if not len(at):
+                break
+            for k, known in ((0, self.factor), (2, self.valence)):
+                here = ~np.isnan(known[node])
+                out[k][at[here]], out[k + 1][at[here]] = node[here], n
+        return tuple(out)
 
 
 class _Classes(dict):
@@ -145,16 +218,13 @@ class _Classes(dict):
     def __init__(self, words: WordTable, params: ScorerParams):
         super().__init__()
         self.words, self.params = words, params
-        self.first = {a: i for i, a in enumerate(sorted({a for a, _ in words.pairs}), 1)}
-        self.second = {b: i for i, b in enumerate(sorted({b for _, b in words.pairs}), 1)}
-        self.pair_boost = np.zeros((len(self.first) + 1, len(self.second) + 1))
-        self.pair_factor = np.full_like(self.pair_boost, np.nan)
-        for (a, b), (boost, factor) in words.pairs.items():
-            self.pair_boost[self.first[a], self.second[b]] = boost
-            self.pair_factor[self.first[a], self.second[b]] = factor
+        self.trie = _Phrases(words)
+        # the longest first: a sign with a modifier is one of its own
+        signs = sorted(filter(None, words.emoji), key=lambda x: (-len(x), x))
+        self.emoji = re.compile("|".join(map(re.escape, signs))) if signs else None
         self.rows: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.plain = self._class((np.nan, False, np.nan, False, False, False, False, 0, 0))
+        self.plain = self._class((np.nan, False, np.nan, False, False, False, False, 0))
         self.arrays: list[np.ndarray] = []
 
     def _class(self, row: tuple) -> int:
@@ -175,15 +245,21 @@ class _Classes(dict):
                low in w.valence, boost,
                low in w.negation or self.params.negation_suffix in low, low in w.near,
                "Lu" in kinds and "Ll" not in kinds, low == self.params.but_token,
-               self.first.get(low, 0), self.second.get(low, 0))
+               self.trie.word.get(low, 0))
         if len(self) >= MAX_CACHED_TOKENS:
             self.clear()
         self[raw] = k = self._class(row)
         return k
 
+    def read(self, text: str) -> str:
+        """The text with its emoji as words."""
+        if self.emoji is None or not self.emoji.search(text):
+            return text
+        return self.emoji.sub(lambda m: f" {self.words.emoji[m[0]]} ", text)
+
     def columns(self) -> list[np.ndarray]:
         """Property arrays by class: valence, in lexicon, boost, negation,
-        near, upper, but, first and second word of a pair."""
+        near, upper, but, number among the words of phrases."""
         if not self.arrays or len(self.arrays[0]) != len(self.rows):
             self.arrays = [np.array(c) for c in zip(*self.rows)]
         return self.arrays
@@ -194,11 +270,11 @@ _find_tokens = re.compile(r"[^ \t\n\x0b\f\r]+").findall
 
 def text_sums(texts: list, classes: _Classes, params: ScorerParams) -> list[np.ndarray]:
     """The columns of ``_SUMS`` for a list of texts (rules 1-6)."""
-    split = [_find_tokens(t) if t else [] for t in texts]
+    split = [_find_tokens(classes.read(t)) if t else [] for t in texts]
     n_tok = np.array([len(t) for t in split], np.int64)
     total = int(n_tok.sum())
     code = np.fromiter(map(classes.__getitem__, chain.from_iterable(split)), np.int64, total)
-    valence, in_lex, boost, neg, near, upper, but, first, second = classes.columns()
+    valence, in_lex, boost, neg, near, upper, but, word = classes.columns()
     row = np.repeat(np.arange(len(texts)), n_tok)
     pos = np.arange(total) - (np.cumsum(n_tok) - n_tok)[row]
     n_up = np.bincount(row, weights=upper[code], minlength=len(texts))
@@ -207,34 +283,47 @@ def text_sums(texts: list, classes: _Classes, params: ScorerParams) -> list[np.n
     b = np.flatnonzero(but[code])[::-1]
     but_at[row[b]] = pos[b]                      # reversed: the first one stays
 
-    hit = np.flatnonzero(~np.isnan(valence[code]))
+    trie = classes.trie
+    mod, mod_n, idiom, idiom_n = trie.ends(word[code], pos)
+    # tokens inside an idiom before its last word, and all tokens of idioms
+    inside = np.zeros(total + 1, np.int64)
+    ends = np.flatnonzero(idiom_n)
+    np.add.at(inside, ends - idiom_n[ends] + 1, 1)
+    np.add.at(inside, ends, -1)
+    inside = np.cumsum(inside)[:total] > 0
+    idiomatic = inside | (idiom_n > 0)
+
+    own = np.where(idiom_n > 0, trie.valence[idiom], valence[code])
+    hit = np.flatnonzero(~np.isnan(own) & ~inside)
     h_row, h_pos = row[hit], pos[hit]
     caps = mixed[h_row]
-    v = valence[code[hit]].copy()
+    v = own[hit]
+    back = np.maximum(idiom_n[hit] - 1, 0)       # from the last word of an idiom to its first
     v += np.where(upper[code[hit]] & caps, np.where(v > 0, 1, -1) * params.caps_increment, 0.0)
-    # class of the token at distance d (plain where the text begins)
-    ctx = {d: np.where(h_pos >= d, code[np.maximum(hit - d, 0)], classes.plain)
-           for d in (1, 2, 3)}
-    # the two-word entry whose first word is at distance d
-    pair = {d: (first[ctx[d]], second[ctx[d - 1]]) for d in (2, 3)}
-    factor = {d: classes.pair_factor[pair[d]] for d in (2, 3)}
-    nowhere = np.full(len(hit), np.nan)
-    factor[1] = factor[4] = nowhere
+    # token at distance d, its class (plain where the text begins)
+    place = {d: np.maximum(hit - back - d, 0) for d in (1, 2, 3)}
+    there = {d: h_pos - back >= d for d in (1, 2, 3)}
+    ctx = {d: np.where(there[d], code[place[d]], classes.plain) for d in (1, 2, 3)}
+    # the entry of several words that ends at distance e
+    entry = {e: np.where(there[e], mod[place[e]], 0) for e in (1, 2)}
+    length = {e: np.where(there[e], mod_n[place[e]], 0) for e in (1, 2)}
+    swallowed = length[1] > length[2]
+    entry[2], length[2] = (np.where(swallowed, 0, x[2]) for x in (entry, length))
     for d, damp in ((1, 1.0), (2, params.damp_distance_2), (3, params.damp_distance_3)):
         c = ctx[d]
-        act = ~in_lex[c]
+        act = ~in_lex[c] & ~(there[d] & idiomatic[place[d]])
         with_boost = act & ~np.isnan(boost[c])
         s = np.where(with_boost, np.where(v < 0, -boost[c], boost[c]), 0.0)
         s += np.where(with_boost & upper[c] & caps,
                       np.where(v > 0, 1, -1) * params.caps_increment, 0.0)
         v = v + s * damp
-        covered = ~np.isnan(factor[d]) | ~np.isnan(factor[d + 1])
+        covered = (d <= length[1]) | ((d >= 2) & (d <= length[2] + 1) & (length[2] > 0))
         negates = act & ~covered & (neg[c] | (near[c] if d == 1 else False))
         v = np.where(negates, v * params.negation_scalar, v)
         if d > 1:
-            own = ~np.isnan(factor[d])
-            scalar = classes.pair_boost[pair[d]]
-            v = np.where(own, (v + np.where(v < 0, -scalar, scalar)) * factor[d], v)
+            scalar = trie.boost[entry[d - 1]]
+            v = np.where(entry[d - 1] > 0, (v + np.where(v < 0, -scalar, scalar))
+                         * trie.factor[entry[d - 1]], v)
     at = but_at[h_row]
     v = np.where((at >= 0) & (h_pos < at), v * params.but_before,
                  np.where((at >= 0) & (h_pos > at), v * params.but_after, v))

@@ -26,7 +26,7 @@ LEXICON = [
 BOOSTERS = [("is", 0.293), ("was", 0.293)]
 NEGATIONS = ["with", "by", "never"]
 NEAR_NEGATIONS = ["least"]
-# two words: booster scalar, factor
+# several words: booster scalar, factor
 PAIRS = [("kind of", -0.293, 1.0), ("never so", 0.0, 1.25), ("at least", 0.0, 1.0)]
 # clauses that rule_bodies appends, by doc_id % 12
 CLAUSES = [" but this is it", " isn't that for", " the that??", " the that???", " the that?????",
@@ -34,6 +34,19 @@ CLAUSES = [" but this is it", " isn't that for", " the that??", " the that???",
            " was this!!"]
 
 
+# of the key with phrases: further entries of up to five words, idioms with
+# their valence, emoji with their words, and the clauses by doc_id % 14
+PHRASES = [("by no means", 0.0, -0.5), ("in the end of it", 0.4, 1.0), ("this is at least", -0.2, 1.1),
+           ("never so", 0.0, 1.25)]
+IDIOMS = [("kiss of the clown", -1.5), ("the that", 2.2), ("is it the that", -0.9), ("cut the", 2.0)]
+EMOJI = [("\U0001F600", "that grin"), ("\U0001F600\u200D\u2744", "cold trash"), ("\u2639", "scum")]
+PHRASE_CLAUSES = [
+    " by no means the", " in the end of it the", " in the end of it so the", " this is at least trash",
+    " never so at least the", " kiss of the clown!", " very KISS of the clown with it", " of the that of",
+    " with is it the that but cut the", " kind of cut the", " good\U0001F600bad",
+    " with \U0001F600\u200D\u2744\U0001F600 the", " \u2639\u2639 by the", " by no the that means"]
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -64,10 +77,12 @@ def words_sql() -> str:
     ON l.token = m.token"""
 
 
-def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
+def scorer_ctes(src: str, keep: list[str], prefix: str = "sc", entries=PAIRS, idioms=(),
+                emoji=()) -> str:
     """CTEs ending in ``{prefix}_out(id, keep..., neg, neu, pos, vaderScore)``.
 
     ``src`` is a CTE name with columns ``id``, ``text`` and ``keep``.
+    ``entries`` are modifiers of several words, ``idioms`` and ``emoji`` as above.
     """
     strip = f"'^{PUNCT}+|{PUNCT}+$'"
     keep_sel = "".join(f", {k}" for k in keep)
@@ -81,8 +96,8 @@ def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
                  THEN (CASE WHEN t.v > 0 THEN {_f(CAPS)} ELSE {_f(-CAPS)} END) ELSE 0.0::DOUBLE END)
           * {_f(damp)}"""
         near = "OR coalesce(w.near, false)" if d == 1 else ""
-        covered = " OR ".join(f"t.f{k} IS NOT NULL" for k in (d, d + 1) if k in (2, 3))
-        step = f"""CASE WHEN l{d} IS NOT NULL AND NOT coalesce(w.in_lexicon, false)
+        covered = f"{d} <= t.n2" + (f" OR (t.n3 > 0 AND {d} <= t.n3 + 1)" if d > 1 else "")
+        step = f"""CASE WHEN l{d} IS NOT NULL AND NOT coalesce(w.in_lexicon, false) AND NOT t.g{d}
              THEN (t.v + {s})
                   * (CASE WHEN (coalesce(w.negation, false) OR contains(l{d}, 'n''t') {near})
                                AND NOT ({covered})
@@ -94,14 +109,22 @@ def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
         return f"""CASE WHEN f{d} IS NULL THEN v
              ELSE (v + CASE WHEN v < 0 THEN -b{d} ELSE b{d} END) * f{d} END"""
 
-    pairs = ", ".join(f"({_q(t)}, {_f(b)}, {_f(f)})" for t, b, f in PAIRS)
-    rest = "t.id, t.i, t.but, t.cap, t.l1, t.l2, t.l3, t.u1, t.u2, t.u3, t.f2, t.b2, t.f3, t.b3"
+    pairs = ", ".join(f"({_q(t)}, {len(t.split())}, {_f(b)}, {_f(f)})" for t, b, f in entries)
+    known = ", ".join(f"({_q(t)}, {len(t.split())}, {_f(v)})"
+                      for t, v in idioms or [("no such idiom", 0.0)])
+    sizes = sorted({len(t.split()) for t, *_ in [*entries, *idioms]})
+    text = "coalesce(text, '')"
+    for sign, read in sorted(emoji, key=lambda x: -len(x[0])):
+        text = f"replace({text}, {_q(sign)}, {_q(' ' + read + ' ')})"
+    rest = ("t.id, t.i, t.but, t.cap, t.l1, t.l2, t.l3, t.u1, t.u2, t.u3, t.f2, t.b2, t.f3, t.b3, "
+            "t.n2, t.n3, t.g1, t.g2, t.g3")
     return f"""
 {prefix}_words AS ({words_sql()}),
-{prefix}_pairs AS (SELECT * FROM (VALUES {pairs}) t(token, boost, factor)),
+{prefix}_pairs AS (SELECT * FROM (VALUES {pairs}) t(token, n, boost, factor)),
+{prefix}_known AS (SELECT * FROM (VALUES {known}) t(token, n, valence)),
 {prefix}_tok AS (
   SELECT id{keep_sel}, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS raw
+         list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '') AS raw
   FROM {src}),
 {prefix}_doc AS (
   SELECT id{keep_sel}, raw, len(raw) AS n_tok,
@@ -112,26 +135,54 @@ def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
          length(text) - length(replace(text, '!', '')) AS n_excl,
          length(text) - length(replace(text, '?', '')) AS n_q
   FROM {prefix}_tok),
+{prefix}_run AS (
+  SELECT id, p, n, list_aggregate(toks[p - n + 1:p], 'string_agg', ' ') AS token
+  FROM (SELECT id, toks, unnest(range(1, n_tok + 1)) AS p FROM {prefix}_doc), (SELECT unnest({sizes}) AS n)
+  WHERE p >= n),
+{prefix}_mod AS (
+  SELECT r.id, r.p, max(r.n) AS n, arg_max(m.boost, r.n) AS boost, arg_max(m.factor, r.n) AS factor
+  FROM {prefix}_run r JOIN {prefix}_pairs m ON r.token = m.token GROUP BY r.id, r.p),
+{prefix}_idi AS (
+  SELECT r.id, r.p, max(r.n) AS n, arg_max(m.valence, r.n) AS valence
+  FROM {prefix}_run r JOIN {prefix}_known m ON r.token = m.token GROUP BY r.id, r.p),
+{prefix}_in AS (
+  SELECT id, p, bool_or(inside) AS inside FROM (
+    SELECT id, q AS p, q < last AS inside
+    FROM (SELECT id, p AS last, unnest(range(p - n + 1, p + 1)) AS q FROM {prefix}_idi))
+  GROUP BY id, p),
+{prefix}_at AS (
+  SELECT d.*, m.valence AS idiom, d.i - coalesce(m.n, 1) + 1 AS s
+  FROM (SELECT id, raw, toks, n_up, n_tok, unnest(range(1, n_tok + 1)) AS i FROM {prefix}_doc) d
+  LEFT JOIN {prefix}_idi m ON d.id = m.id AND d.i = m.p
+  LEFT JOIN {prefix}_in g ON d.id = g.id AND d.i = g.p
+  WHERE NOT coalesce(g.inside, false)),
 {prefix}_pos AS (
-  SELECT id, i, toks[i] AS lw, {upper.format('raw[i]')} AS up,
-         CASE WHEN i > 1 THEN toks[i - 1] END AS l1,
-         CASE WHEN i > 2 THEN toks[i - 2] END AS l2,
-         CASE WHEN i > 3 THEN toks[i - 3] END AS l3,
-         coalesce(i > 1 AND {upper.format('raw[i - 1]')}, false) AS u1,
-         coalesce(i > 2 AND {upper.format('raw[i - 2]')}, false) AS u2,
-         coalesce(i > 3 AND {upper.format('raw[i - 3]')}, false) AS u3,
+  SELECT id, i, s, idiom, toks[i] AS lw, {upper.format('raw[i]')} AS up,
+         CASE WHEN s > 1 THEN toks[s - 1] END AS l1,
+         CASE WHEN s > 2 THEN toks[s - 2] END AS l2,
+         CASE WHEN s > 3 THEN toks[s - 3] END AS l3,
+         coalesce(s > 1 AND {upper.format('raw[s - 1]')}, false) AS u1,
+         coalesce(s > 2 AND {upper.format('raw[s - 2]')}, false) AS u2,
+         coalesce(s > 3 AND {upper.format('raw[s - 3]')}, false) AS u3,
          (n_up > 0 AND n_up < n_tok) AS cap, coalesce(list_position(toks, 'but'), 0) AS but
-  FROM (SELECT id, raw, toks, n_up, n_tok, unnest(range(1, n_tok + 1)) AS i FROM {prefix}_doc)),
+  FROM {prefix}_at),
 {prefix}_v0 AS (
-  SELECT t.*, p2.factor AS f2, p2.boost AS b2, p3.factor AS f3, p3.boost AS b3,
+  SELECT t.*, p2.factor AS f2, p2.boost AS b2, coalesce(p2.n, 0) AS n2,
+         CASE WHEN coalesce(p2.n, 0) <= p3.n THEN p3.factor END AS f3,
+         CASE WHEN coalesce(p2.n, 0) <= p3.n THEN p3.boost END AS b3,
+         CASE WHEN coalesce(p2.n, 0) <= p3.n THEN p3.n ELSE 0 END AS n3,
+         g1.id IS NOT NULL AS g1, g2.id IS NOT NULL AS g2, g3.id IS NOT NULL AS g3,
          CASE WHEN t.up AND t.cap
-              THEN (CASE WHEN w0.valence > 0 THEN w0.valence + {_f(CAPS)}
-                         ELSE w0.valence - {_f(CAPS)} END)
-              ELSE w0.valence END AS v
-  FROM {prefix}_pos t JOIN {prefix}_words w0 ON t.lw = w0.token
-  LEFT JOIN {prefix}_pairs p2 ON t.l2 || ' ' || t.l1 = p2.token
-  LEFT JOIN {prefix}_pairs p3 ON t.l3 || ' ' || t.l2 = p3.token
-  WHERE w0.valence IS NOT NULL),
+              THEN (CASE WHEN coalesce(t.idiom, w0.valence) > 0 THEN coalesce(t.idiom, w0.valence) + {_f(CAPS)}
+                         ELSE coalesce(t.idiom, w0.valence) - {_f(CAPS)} END)
+              ELSE coalesce(t.idiom, w0.valence) END AS v
+  FROM {prefix}_pos t LEFT JOIN {prefix}_words w0 ON t.lw = w0.token
+  LEFT JOIN {prefix}_mod p2 ON t.id = p2.id AND t.s - 1 = p2.p
+  LEFT JOIN {prefix}_mod p3 ON t.id = p3.id AND t.s - 2 = p3.p
+  LEFT JOIN {prefix}_in g1 ON t.id = g1.id AND t.s - 1 = g1.p
+  LEFT JOIN {prefix}_in g2 ON t.id = g2.id AND t.s - 2 = g2.p
+  LEFT JOIN {prefix}_in g3 ON t.id = g3.id AND t.s - 3 = g3.p
+  WHERE coalesce(t.idiom, w0.valence) IS NOT NULL),
 {prefix}_v1 AS (
   SELECT {rest}, {ctx(1, 1.0)} AS v
   FROM {prefix}_v0 t LEFT JOIN {prefix}_words w ON t.l1 = w.token),
@@ -182,11 +233,11 @@ def scorer_ctes(src: str, keep: list[str], prefix: str = "sc") -> str:
   FROM {prefix}_emph)"""
 
 
-def rule_bodies_sql() -> str:
+def rule_bodies_sql(clauses=CLAUSES) -> str:
     """Whole texts with a clause that fires one rule each."""
     return ("SELECT doc_id AS id, text || (["
-            + ", ".join(_q(c) for c in CLAUSES)
-            + "])[CAST(doc_id % 12 AS INTEGER) + 1] AS text FROM documents")
+            + ", ".join(_q(c) for c in clauses)
+            + f"])[CAST(doc_id % {len(clauses)} AS INTEGER) + 1] AS text FROM documents")
 
 
 # --- fixture posts ---------------------------------------------------------

@@ -27,7 +27,8 @@ from sentimart.schema import (COUNTS_SCHEMA, THRESHOLDS_4WAY, THRESHOLDS_DEFAULT
 from sentimart.session import shared_dir
 from sentimart.sources import posts as S
 from sentimart.sources import sinks as K
-from sentimart.sources.fixture import (fixture_lexicon, fixture_posts, read_table, rule_bodies)
+from sentimart.sources.fixture import (PHRASE_CLAUSES, fixture_lexicon, fixture_posts,
+                                       phrase_lexicon, read_table, rule_bodies)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,6 +402,19 @@ def q_score_rules(spark, sf):
             .withColumnRenamed("vaderScore", "comp"))
 
 
+@register("score_phrases", _w(
+    f"bodies AS ({O.rule_bodies_sql(O.PHRASE_CLAUSES)}),\n"
+    + O.scorer_ctes("bodies", [], entries=O.PHRASES, idioms=O.IDIOMS, emoji=O.EMOJI)) + """
+SELECT id AS doc_id, neg, neu, pos, vaderScore AS comp FROM sc_out""")
+def q_score_phrases(spark, sf):
+    """Texts with an appended clause that holds modifiers of up to five words,
+    idioms or emoji."""
+    lex, mods = phrase_lexicon(spark)
+    bodies = rule_bodies(read_table(spark, sf, "documents"), PHRASE_CLAUSES)
+    return (score_text(bodies, lex, mods, keep=["doc_id"], all_scores=True, min_partitions=TASKS)
+            .withColumnRenamed("vaderScore", "comp"))
+
+
 def _classify_sql(splits):
     return _w(_DOC_SCORES) + f"""
 SELECT id AS doc_id, vaderScore, {O.class_case('vaderScore', splits)} AS vaderClassifier

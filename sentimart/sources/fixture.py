@@ -48,6 +48,23 @@ RULE_CLAUSES = [" but this is it", " isn't that for", " the that??", " the that?
                 " the that?????", " IS the", " kind of the", " never so the", " least the",
                 " at least the", " THE that", " was this!!"]
 
+# Entries of several words, idioms and emoji for the key with
+# phrases, and clauses that hold them.
+PHRASE_LEXICON: list[tuple[str, float]] = [
+    ("kiss of the clown", -1.5), ("the that", 2.2), ("is it the that", -0.9), ("cut the", 2.0),
+]
+PHRASE_MODIFIERS: list[tuple[str, str, float]] = [
+    ("by no means", "amplifier", -0.5), ("in the end of it", "booster", 0.4),
+    ("this is at least", "booster", -0.2), ("this is at least", "amplifier", 1.1),
+    ("\U0001F600 that grin", "emoji", 0.0), ("\U0001F600\u200D\u2744 cold trash", "emoji", 0.0),
+    ("\u2639 scum", "emoji", 0.0),
+]
+PHRASE_CLAUSES = [
+    " by no means the", " in the end of it the", " in the end of it so the", " this is at least trash",
+    " never so at least the", " kiss of the clown!", " very KISS of the clown with it", " of the that of",
+    " with is it the that but cut the", " kind of cut the", " good\U0001F600bad",
+    " with \U0001F600\u200D\u2744\U0001F600 the", " \u2639\u2639 by the", " by no the that means"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -88,13 +105,22 @@ def fixture_posts(spark: SparkSession, sf_dir: str, with_folder: bool = False,
     return posts_from_documents(read_table(spark, sf_dir, "documents"), with_folder, with_id)
 
 
-def rule_bodies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, body)``: the whole text and a clause by ``doc_id % 12``."""
-    clause = F.element_at(F.array(*[F.lit(c) for c in RULE_CLAUSES]),
-                          (F.col("doc_id") % len(RULE_CLAUSES) + 1).cast("int"))
+def rule_bodies(docs: DataFrame, clauses: list[str] = RULE_CLAUSES) -> DataFrame:
+    """``(doc_id, body)``: the whole text and a clause by ``doc_id``."""
+    clause = F.element_at(F.array(*[F.lit(c) for c in clauses]),
+                          (F.col("doc_id") % len(clauses) + 1).cast("int"))
     return docs.select("doc_id", F.concat("text", clause).alias("body"))
 
 
 def fixture_lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     from sentimart.functions.lexicon import lexicon_frame, modifiers_frame
     return lexicon_frame(spark, FIXTURE_LEXICON), modifiers_frame(spark, FIXTURE_MODIFIERS)
+
+
+def phrase_lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The test lexicon with idioms, phrases of up to five words and emoji.
+    "by no means" and the like take the place of shorter entries."""
+    from sentimart.functions.lexicon import lexicon_frame, modifiers_frame
+    single = [m for m in FIXTURE_MODIFIERS if " " not in m[0] or m[0] == "never so"]
+    return (lexicon_frame(spark, FIXTURE_LEXICON + PHRASE_LEXICON),
+            modifiers_frame(spark, single + PHRASE_MODIFIERS))

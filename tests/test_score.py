@@ -166,7 +166,7 @@ def test_word_list_above_the_limit(spark):
 
 def test_entries_of_wrong_shape_raise(spark):
     df = spark.createDataFrame([("good",)], "body string")
-    for bad in ([("a b c", "booster", 1.0)], [("a b", "negation", 0.0)], [("a", "amplifier", 2.0)]):
+    for bad in ([(" ", "booster", 1.0)], [("a b", "negation", 0.0)], [("a", "amplifier", 2.0)]):
         with pytest.raises(ValueError):
             score_text(df, lexicon_frame(spark), modifiers_frame(spark, bad))
 
@@ -201,3 +201,58 @@ def test_seed_list_follows_its_rule():
     assert {abs(v) for _, v in SEED_LEXICON} == set(SEED_STRENGTHS.values())
     words = [w for ws in SEED_GROUPS.values() for w in ws.split()]
     assert len(words) == len(set(words)) == len(SEED_LEXICON)
+
+
+PHRASE_LEX = {"good": 2.0, "bad": -2.0, "death": -2.5, "kiss": 1.5, "half": 0.4, "grinning": 1.2,
+              "ok": 0.5}
+PHRASE_IDIOMS = {"kiss of death": -1.5, "not half bad": 1.8, "good for now": 0.7,
+                 "now and then good for": -0.3, "death of": 0.9}
+PHRASE_MODS = [("very", "booster", 0.293), ("not", "negation", 0.0), ("never", "negation", 0.0),
+               ("least", "negation_near", 0.0), ("kind of", "booster", -0.293),
+               ("to the very", "booster", 0.6), ("not in the least", "amplifier", -0.6),
+               ("never ever in my life", "amplifier", 1.4), ("never ever", "booster", 0.1),
+               ("in my life", "booster", 0.2), ("ever in", "amplifier", 1.05),
+               ("\U0001F600 grinning face", "emoji", 0.0), ("\U0001F600\U0001F600 very", "emoji", 0.0),
+               ("\u2639 bad", "emoji", 0.0)]
+
+
+def _phrase_scores(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lex = lexicon_frame(spark, [*PHRASE_LEX.items(), *PHRASE_IDIOMS.items()])
+    out = score_text(df, lex, modifiers_frame(spark, PHRASE_MODS), text_col="text", all_scores=True)
+    rows = {r.id: (r.neg, r.neu, r.pos, r.vaderScore) for r in out.collect()}
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_phrases_idioms_and_emoji_equal_brute_force(spark):
+    rnd = random.Random(9)
+    words = ("good bad death kiss of half grinning ok very not never least kind to the in my life "
+             "ever for now and then but \U0001F600 \U0001F600\U0001F600 \u2639 x VERY Good! (death)").split()
+    pieces = words + [*PHRASE_IDIOMS, *[m[0] for m in PHRASE_MODS if m[1] != "emoji"]] * 2
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randrange(0, 9))) for _ in range(600)]
+    texts += ["good\U0001F600bad", "\U0001F600\U0001F600\U0001F600", "", None, "kiss of death"] * 2
+    got = _phrase_scores(spark, texts)
+    for t, g in zip(texts, got):
+        want = brute_score(t, PHRASE_LEX, PHRASE_MODS, PHRASE_IDIOMS)
+        assert g == pytest.approx(want, abs=1e-9), t
+
+
+def test_what_phrases_mean(spark):
+    texts = ["not half bad", "half bad", "kiss of death", "very kiss of death", "good",
+             "not in the least good", "never ever in my life good", "\U0001F600", "x \u2639!"]
+    comp = dict(zip(texts, (s[3] for s in _phrase_scores(spark, texts))))
+    assert comp["not half bad"] > 0 > comp["half bad"]
+    assert comp["very kiss of death"] < comp["kiss of death"] < 0
+    assert comp["not in the least good"] < 0 < comp["good"] < comp["never ever in my life good"]
+    assert comp["\U0001F600"] > 0 > comp["x \u2639!"]
+
+
+def test_an_idiom_of_a_large_list_is_kept(spark):
+    """A list cut to the words that occur keeps idioms and words of emoji."""
+    words = [(f"w{i}", 1.0) for i in range(500)] + [("kiss of death", -1.5), ("grinning", 2.0)]
+    lex = spark.createDataFrame(words, "token string, valence double")
+    df = spark.createDataFrame([("a kiss of death",), ("w3 \U0001F600",), ("w9",)], "body string")
+    mods = modifiers_frame(spark, PHRASE_MODS)
+    want = score_text(df, lex, mods).collect()
+    assert sorted(score_text(df, lex, mods, max_words=50).collect()) == sorted(want)
+    assert {r.vaderScore < 0 for r in want if "kiss" in r.body} == {True}
