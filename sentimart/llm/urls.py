@@ -2,9 +2,11 @@
 
 Rules are (host, path) keys. A rule fits a url if its host is the url's host
 or a parent domain and the url's path starts with the rule's path, so the
-keys that could fit a url are its host's suffixes combined with the path's
-prefixes of the lengths that rules have. The set of these over all urls is
-the corpus's complete key universe.
+keys that could fit a url are its host's suffixes of the label counts that
+rules have, combined with the path's prefixes of the lengths that rules have.
+The set of these over all urls is the corpus's complete key universe; a url
+gives as many keys at most, however long its host is. The rules may be a table
+of any size: the driver sees only the distinct counts and lengths.
 
 The cascade encodes, for that universe, exactly which keys are listed:
 level 1 is a Bloom filter of the listed keys; level 2 one of the universe's
@@ -30,7 +32,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimart.llm.common import save
@@ -51,16 +53,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
+def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """Every key that could fit, longest host first, then longest path."""
-    labels = F.split(host, r"\.")
-    hosts = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    heads = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n))
-                      for n in sorted(set(lengths), reverse=True)])
-    return F.flatten(F.transform(hosts, lambda h: F.transform(
-        F.filter(heads, lambda p: p.isNotNull()), lambda p: F.concat(h, p))))
+    has = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    keys = []
+    for j in sorted(set(labels), reverse=True):
+        suffix = F.when((host != "") & (has >= j), F.substring_index(host, ".", -j))
+        for n in sorted(set(lengths), reverse=True):
+            keys.append(F.concat(suffix, F.when(F.length(path) >= n, F.substring(path, 1, n))))
+    return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
 @dataclass
@@ -130,21 +131,33 @@ def member(levels: list[Level], key: Column) -> Column:
     return answer
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None,
+def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str, str]] | None) -> DataFrame:
+    """``(action, host, path, key)`` of rules given as a table or a list."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(RULES if rules is None else rules,
+                                      "action string, host string, path string")
+    return (rules.select("action", "host", "path").where(
+        F.col("action").isNotNull() & F.col("host").isNotNull() & F.col("path").isNotNull())
+        .distinct().withColumn("key", F.concat("host", "path")))
+
+
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]] | None = None,
           default: str = DEFAULT) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` per row."""
-    rules = RULES if rules is None else rules
+    """``page_id, host, path, rule, verdict`` per row. ``rules``: a table
+    ``(action, host, path)`` or a list of such rows; rows with a null are left
+    out. Two actions for one key: the last in order counts."""
     spark = pages.sparkSession
+    listed = rule_table(spark, rules)
+    shape = listed.agg(
+        F.collect_set(F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("j"),
+        F.collect_set(F.length("path")).alias("n"), F.collect_set("action").alias("a")).first()
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
-    lengths = [len(p) for _, _, p in rules] or [1]
-    keyed = base.select("*", candidate_keys(F.col("host"), F.col("path"), lengths).alias("keys"))
+    keyed = base.select("*", candidate_keys(F.col("host"), F.col("path"), shape.j or [1],
+                                            shape.n or [1]).alias("keys"))
     universe = save(keyed.select(F.explode("keys").alias("key")).distinct(), "universe")
-    listed_as = {}
-    for action in sorted({a for a, _, _ in rules}):
-        names = sorted({f"{h}{p}" for a, h, p in rules if a == action})
-        listed = spark.createDataFrame([(k,) for k in names], "key string")
-        listed_as[action] = build_cascade(listed, universe)
+    listed_as = {action: build_cascade(listed.where(F.col("action") == action).select("key").distinct(),
+                                       universe) for action in sorted(shape.a)}
     first = F.lit(None).cast("struct<rule:string,verdict:string>")
 
     def look(key: Column) -> Column:

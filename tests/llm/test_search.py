@@ -58,6 +58,22 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_very_long_hosts_and_a_table_of_rules(spark):
+    """Work per url follows the rules' label counts, not the host's."""
+    import time
+
+    long = "http://" + "a." * 100_000 + "example.net/en/x"
+    rows = [(1, long), (2, "http://" + "." * 50_000 + "net/"), (3, "http://b.org/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    table = spark.createDataFrame([*urls.RULES, ("block", "b.org", "/fr/"), (None, "c", "/"),
+                                   ("block", None, "/")], "action string, host string, path string")
+    urls.judge(pages.where("page_id = 3"), table).collect()
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, table).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: ("b.org/fr/", "block")}
+    assert time.time() - began < 30   # a second or two of work; the rest is a busy machine
+
+
 # --- language model ---------------------------------------------------------------
 
 def brute_lm(rows, enc, order=2):
