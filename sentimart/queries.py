@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimart import oracle as O
-from sentimart.functions.dates import lenient_date, posted_date
+from sentimart.functions.dates import free_date, lenient_date, posted_date
 from sentimart.operators import clean as C
 from sentimart.operators import daily as D
 from sentimart.operators.classify import classify
@@ -327,6 +327,34 @@ def q_lenient_date(spark, sf):
     return ev.select("event_id", lenient_date(s).alias("date"))
 
 
+# Layouts of events.ts for the grammar of free dates; the last ones hold no
+# date, an impossible one or one of two readings.
+_LAYOUTS = [
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd HH:mm:ss",
+    "yyyyMMdd", "MM/dd/yyyy", "M/d/yyyy", "MM/dd/yy", "dd.MM.yyyy", "d.M.yy", "d MMM yyyy",
+    "d MMMM yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMM d, yyyy h:mm a",
+    "EEE MMM dd HH:mm:ss +0000 yyyy", "EEEE, d MMMM yyyy", "EEE, dd MMM yyyy HH:mm:ss -0800",
+    "dd-MMM-yyyy", "dd-MMM-yy", "ddMMMyyyy", "yyyy MMM d", "yyyy年M月d日", "'the' d'th of' MMMM yyyy",
+    "MMMM d'th', yyyy 'at' h a", "MMM. d, yyyy", "HH:mm:ss yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss+05:30",
+    "  EEEE yyyy/M/d  ", "dd/MM/yyyy", "dd-MM-yyyy", "MMM yyyy", "yyyy-'02-30'", "'day' d MMM yyyy", "' '"]
+
+
+@register("free_dates", f"""
+SELECT event_id,
+  CASE WHEN event_id % {len(_LAYOUTS)} < {_LAYOUTS.index("dd/MM/yyyy")} THEN CAST(ts AS DATE)
+       WHEN event_id % {len(_LAYOUTS)} = {_LAYOUTS.index("dd/MM/yyyy")}
+       THEN CASE WHEN day(ts) > 12 THEN CAST(ts AS DATE) ELSE make_date(year(ts), day(ts), month(ts)) END
+       WHEN event_id % {len(_LAYOUTS)} = {_LAYOUTS.index("dd-MM-yyyy")}
+       THEN CASE WHEN day(ts) > 12 OR day(ts) = month(ts) THEN CAST(ts AS DATE) END
+  END AS date
+FROM events""")
+def q_free_dates(spark, sf):
+    k = F.col("event_id") % len(_LAYOUTS)
+    text = F.coalesce(*[F.when(k == i, F.date_format("ts", layout))
+                        for i, layout in enumerate(_LAYOUTS)])
+    return read_table(spark, sf, "events").select("event_id", free_date(text).alias("date"))
+
+
 @register("rules_to_string", _w(_POSTS) + "\nSELECT tag, value FROM posts WHERE tag IS NOT NULL")
 def q_rules_to_string(spark, sf):
     r = C.select_relevant(_posts(spark, sf)).where(F.col("tag").isNotNull())
