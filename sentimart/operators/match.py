@@ -15,6 +15,12 @@ match implies that every literal piece occurs in the string, so no match is
 lost, and a piece that many strings share (a common prefix or suffix) is a
 key only for names that have nothing rarer. Names with a run shorter than k
 are keyed by the whole run and met by the shorter grams.
+
+A name of several runs (``a%b``) whose rarest piece is still common is keyed by
+a PAIR of pieces of two runs, in their order, the rarest two. Strings emit the
+pairs of pieces that such names need and that they hold one behind the other,
+so a candidate has both: the intersection of the two posting lists, without
+reading either list once per name.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from sentimart.schema import CHUNK_SIZE
 
 MATCH_MODES = ("like", "contains", "exact")
 GRAM = 6
+PAIR_ABOVE = 16    # names whose rarest piece is in more strings than this are keyed by pairs
 
 
 def strip_markup(s: Column) -> Column:
@@ -66,17 +73,23 @@ def movie_filter(df: DataFrame, identifier: str, match: str = "like",
     raise ValueError(f"match must be 'like' or 'contains' here, got {match!r}")
 
 
+def _runs(name: Column, mode: str) -> Column:
+    """Literal runs of the pattern between wildcards, in order."""
+    return F.array_remove(F.split(name, r"[%_]"), "") if mode == "like" else F.array(name)
+
+
+def _cut(run: Column, k: int) -> Column:
+    """All k-character substrings of a run, a shorter run whole."""
+    n = F.length(run)
+    return F.when(n <= k, F.array(run)).otherwise(
+        F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(run, p, F.lit(k))))
+
+
 def _pieces(name: Column, mode: str, k: int) -> Column:
     """Literal pieces of the pattern: all k-character substrings of its runs
     between wildcards, shorter runs whole, ``""`` when there is no run."""
-    runs = F.split(name, r"[%_]") if mode == "like" else F.array(name)
-
-    def cut(run: Column) -> Column:
-        n = F.length(run)
-        return F.when(n <= k, F.array(run)).otherwise(
-            F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(run, p, F.lit(k))))
-
-    found = F.array_remove(F.array_distinct(F.flatten(F.transform(runs, cut))), "")
+    cut = F.transform(_runs(name, mode), lambda run: _cut(run, k))
+    found = F.array_remove(F.array_distinct(F.flatten(cut)), "")
     return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
@@ -124,24 +137,69 @@ def match_names(strings: DataFrame, names: DataFrame, match: str = "like",
         raise ValueError(f"match must be one of {MATCH_MODES}, got {match!r}")
     if match == "like":
         nm = nm.select(_checked(F.col("_name")).alias("_name"))
-    grams = s.select("_str", F.explode(_grams(F.col("_str"), k)).alias("_key"))
-    counts = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    # a name with a piece that no string has is left with its other pieces
-    # and fails the predicate
-    keyed = (nm.select("_name", F.explode(_pieces(F.col("_name"), match, k)).alias("_key"))
-               .join(counts, "_key")
-               .groupBy("_name").agg(F.min(F.struct("_n", "_key")).alias("_m"))
-               .select("_name", F.col("_m._key").alias("_key")))
-    cand = grams.join(keyed, "_key")
+    cand = candidates(s, nm, match, k)
     if match == "like":
         ok = F.like(F.col("_str"), like_pattern(F.col("_name")))
     else:
         ok = F.col("_str").contains(F.col("_name"))
-    # (string, name) pairs are already unique: a string's grams are distinct
-    # and every name has exactly one key
+    # (string, name) pairs are already unique: a string's grams and pairs are
+    # distinct and every name has exactly one key
     return cand.where(ok).select(F.col("_str").alias(string_col), F.col("_name").alias("name"))
 
 
+def candidates(s: DataFrame, nm: DataFrame, match: str = "like", k: int = GRAM) -> DataFrame:
+    """``(_str, _name)``: every pair that can match, by a key of the name."""
+    grams = s.select("_str", F.explode(_grams(F.col("_str"), k)).alias("_key"))
+    counts = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    # a name with a piece that no string has is left with its other pieces
+    # and fails the predicate
+    if match == "contains":
+        keyed = (nm.select("_name", F.explode(_pieces(F.col("_name"), match, k)).alias("_key"))
+                   .join(counts, "_key")
+                   .groupBy("_name").agg(F.min(F.struct("_n", "_key")).alias("_m"))
+                   .select("_name", F.col("_m._key").alias("_key")))
+        return grams.join(keyed, "_key").select("_str", "_name")
+    # the rarest piece of every run; the name without one has the empty piece
+    runs = nm.select("_name", F.posexplode(F.when(
+        F.size(_runs(F.col("_name"), match)) > 0, _runs(F.col("_name"), match))
+        .otherwise(F.array(F.lit("")))).alias("_at", "_run"))
+    piece = (runs.select("_name", "_at", F.explode(_cut(F.col("_run"), k)).alias("_key"))
+                 .join(counts, "_key")
+                 .groupBy("_name", "_at").agg(F.min(F.struct("_n", "_key")).alias("_m"))
+                 .select("_name", F.struct("_m._n", "_m._key", "_at").alias("_p")))
+    keyed = piece.groupBy("_name").agg(F.min("_p").alias("_first"), F.count("_p").alias("_runs"))
+    # at most one piece per run of the name
+    second = (piece.join(keyed.where((F.col("_runs") > 1) & (F.col("_first._n") > PAIR_ABOVE)), "_name")
+                   .where(F.col("_p._at") != F.col("_first._at"))
+                   .groupBy("_name").agg(F.min("_p").alias("_second")))
+    keyed = keyed.join(second, "_name", "left")
+    single = (keyed.where(F.col("_second").isNull())
+                   .select("_name", F.col("_first._key").alias("_key")))
+    ahead = F.col("_first._at") < F.col("_second._at")
+    paired = keyed.where(F.col("_second").isNotNull()).select(
+        "_name", F.when(ahead, F.col("_first._key")).otherwise(F.col("_second._key")).alias("_a"),
+        F.when(ahead, F.col("_second._key")).otherwise(F.col("_first._key")).alias("_b"))
+    one = grams.join(single, "_key").select("_str", "_name")
+    return one.unionByName(_pairs(grams, paired).join(paired, ["_a", "_b"]).select("_str", "_name"))
+
+
+def _pairs(grams: DataFrame, paired: DataFrame) -> DataFrame:
+    """``(_str, _a, _b)``: pairs of pieces needed by names that a string holds
+    one behind the other. The pieces of a string are its own substrings."""
+    needed = paired.select(F.explode(F.array("_a", "_b")).alias("_key")).distinct()
+    held = grams.join(needed, "_key")
+    text, key = F.col("_str"), F.col("_key")
+    starts = F.instr(text, key)
+    ends = F.length(text) - F.instr(F.reverse(text), F.reverse(key)) + 2 - F.length(key)  # last start
+    spot = F.struct(key.alias("key"), starts.alias("first"), ends.alias("last"))
+    per = held.groupBy("_str").agg(F.collect_list(spot).alias("_h"))
+    couples = F.flatten(F.transform("_h", lambda x: F.transform(
+        F.filter("_h", lambda y: x.first + F.length(x.key) <= y.last),
+        lambda y: F.struct(x.key.alias("_a"), y.key.alias("_b")))))
+    wanted = paired.select("_a", "_b").distinct()
+    return per.select("_str", F.inline(couples)).join(wanted, ["_a", "_b"], "left_semi")
+
+
 def ordered_row_number(df: DataFrame, order_col: str, out_col: str = "rn",
                        partitions: int | None = None) -> DataFrame:
     """Global 1-based row number by ``order_col`` without a single-task window.

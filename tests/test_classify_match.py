@@ -95,6 +95,51 @@ def test_candidates_stay_near_the_matches(spark, shape):
     assert keyed.agg(F.sum("m.n")).first()[0] <= 3 * len(pairs)
 
 
+@pytest.mark.parametrize("shape", ["short runs", "long runs", "three runs", "common ends"])
+def test_wildcard_names_meet_few_strings(spark, shape):
+    """Names of several runs: candidates within twice the matches, though each
+    run alone is in a large share of the strings."""
+    from sentimart.operators.match import candidates
+    rng = random.Random(11)
+    if shape == "short runs":
+        names = [f"{a}%{b}" for a in "abcdefgh" for b in "stuvwxyz"]
+        strings = {"[" + "".join(rng.choice("abcdefghstuvwxyz") for _ in range(4)) + "]"
+                   for _ in range(600)}
+    elif shape == "long runs":
+        words = [f"movie{c}{d}" for c in "abcdefgh" for d in "12"]
+        names = [f"{a}%{b}" for a in words for b in words]
+        strings = {f"[{rng.choice(words)}, {rng.choice(words)} {i}]" for i in range(600)}
+    elif shape == "three runs":
+        names = [f"{a}%{b}%{c}" for a in "abcde" for b in "klmno" for c in "vwxyz"]
+        strings = {"[" + rng.choice("abcde") + rng.choice("klmno") + rng.choice("vwxyz") + f" {i}]"
+                   for i in range(500)}
+    else:
+        names = [f"the {i:02d}%end" for i in range(60)]
+        strings = {f"[the {i % 60:02d} and {i} end]" for i in range(900)}
+    strings = sorted(strings)
+    sdf = spark.createDataFrame([(s,) for s in strings], "_str string")
+    ndf = spark.createDataFrame([(n,) for n in names], "_name string")
+    matches = _brute(strings, names, "like")
+    found = {(r._str, r._name) for r in candidates(sdf, ndf).collect()}
+    assert matches <= found
+    assert candidates(sdf, ndf).count() == len(found)
+    pieces = 3 if shape == "three runs" else 2    # of three runs two are met
+    assert len(found) <= {3: 6, 2: 2}[pieces] * max(len(matches), 1), (len(found), len(matches))
+    got = {(r.movieName, r.name) for r in match_names(
+        sdf.withColumnRenamed("_str", "movieName"), ndf.withColumnRenamed("_name", "movieName")).collect()}
+    assert got == matches
+
+
+def test_overlapping_runs_of_a_name(spark):
+    """The second run must start behind the end of the first."""
+    strings = ["[aa]", "[aaa]", "[aba]", "[ab]", "[abcabc]", "[abc]"] + [f"[aa{i}ab]" for i in range(40)]
+    names = ["a%a", "aa%a", "ab%ab", "a_a", "abc%abc", "%a%b%", "a%%b", "b%a"]
+    sdf = spark.createDataFrame([(s,) for s in strings], "movieName string")
+    ndf = spark.createDataFrame([(n,) for n in names], "movieName string")
+    got = {(r.movieName, r.name) for r in match_names(sdf, ndf).collect()}
+    assert got == _brute(strings, names, "like")
+
+
 @pytest.mark.parametrize("strings", [["[ab]"], ["[a\\b]"], ["[zz]"]])
 def test_backslash_in_a_like_name_always_raises(spark, strings):
     sdf = spark.createDataFrame([(s,) for s in strings], "movieName string")
