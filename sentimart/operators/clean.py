@@ -11,6 +11,9 @@ language filter and the nested column pruning into the JSON/Parquet scan.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +85,43 @@ def rename_for_kind(df: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
 
 
+FATE = "_fate"
+
+
+def fate(raw: DataFrame, lang: str = "en") -> Column:
+    """What becomes of a raw post in the cleaning, the first that holds:
+    ``malformed`` (a line that is no post, kept aside by the reader),
+    ``language``, ``nulls`` or ``kept``."""
+    from sentimart.schema import CORRUPT_COLUMN
+
+    bad = F.col(CORRUPT_COLUMN).isNotNull() if CORRUPT_COLUMN in raw.columns else F.lit(False)
+    fields = [F.col("body"), F.col("gnip.matching_rules"), F.col("postedTime"),
+              F.col("retweetCount")]
+    missing = reduce(or_, [c.isNull() for c in fields])
+    return (F.when(bad, "malformed")
+             .when(~F.col("twitter_lang").eqNullSafe(F.lit(lang)), "language")
+             .when(missing, "nulls").otherwise("kept"))
+
+
 def clean_posts(raw: DataFrame, kind: str = "chicago", lang: str = "en",
-                keep_arrays: bool = False, extra: list[str] | None = None) -> DataFrame:
+                keep_arrays: bool = False, extra: list[str] | None = None,
+                mark: bool = False) -> DataFrame:
     """The cleaning composition.
 
     Output columns (chicago): body, movieName, searchPattern, postedTime,
     retweetCount, twitter_lang, date; (gnip): body, tag, movieName, ...
     ``keep_arrays`` keeps the rule tags / values as arrays in ``tags`` /
     ``values`` beside the strings (needed for exact-name matching).
+    ``mark`` drops no row: a column ``_fate`` says what would have become of
+    it, and rows that would go have no text, no movie and no date.
     """
-    df = drop_nulls(filter_lang(select_relevant(raw, extra), lang), RELEVANT)
+    if mark:
+        gone = raw.withColumn(FATE, fate(raw, lang))
+        df = select_relevant(gone, [*(extra or []), FATE])
+        kept = F.col(FATE) == "kept"
+        df = df.withColumns({c: F.when(kept, F.col(c)) for c in RELEVANT})
+    else:
+        df = drop_nulls(filter_lang(select_relevant(raw, extra), lang), RELEVANT)
     df = df.withColumn("date", posted_date(F.col("postedTime")))
     if keep_arrays:
         df = df.withColumn("tags", F.col("tag")).withColumn("values", F.col("value"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentimart.operators.classify import check_splits, classify
-from sentimart.operators.clean import clean_posts
+from sentimart.operators.clean import FATE, clean_posts
 from sentimart.operators.daily import exact_ratio
 from sentimart.operators.match import match_names, movie_chunks, unique_movies
 from sentimart.operators.score import score_text
@@ -51,6 +51,7 @@ class DailyOutputs:
     mapping: DataFrame
     folder: str | None = None    # of the partial table, when it was written
     quantiles: DataFrame | None = None
+    intake: DataFrame | None = None     # (fate, nRows) of the raw posts
 
     def close(self) -> None:
         """Drop the partial table (cached or written); the outputs cannot be
@@ -87,17 +88,19 @@ def scored_posts(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                  kind: str = "chicago", thresholds: list[float] | None = None,
                  lang: str = "en", extra_keys: list[str] | None = None,
                  keep_arrays: bool = False, keep: list[str] | None = None,
-                 min_partitions: int | None = None) -> DataFrame:
+                 min_partitions: int | None = None, mark: bool = False) -> DataFrame:
     """Clean, score and classify: one row per post with the movie string,
     the date, ``vaderScore`` and ``vaderClassifier`` (plus ``extra_keys`` of
     the raw posts and ``keep`` columns of the cleaned ones)."""
     extra_keys = list(extra_keys or [])
-    posts = clean_posts(raw, kind=kind, lang=lang, keep_arrays=keep_arrays, extra=extra_keys)
+    posts = clean_posts(raw, kind=kind, lang=lang, keep_arrays=keep_arrays, extra=extra_keys,
+                        mark=mark)
     if keep_arrays and kind == "gnip":
         # gnip folders name movies by the rule values, so exact matching
         # compares names with the value array
         posts = posts.withColumn("tags", F.col("values"))
     keep = ["movieName", "date", *extra_keys, *(keep or [])] + (["tags"] if keep_arrays else [])
+    keep += [FATE] if mark else []
     scored = score_text(posts, lexicon, modifiers, text_col="body", keep=keep,
                         min_partitions=min_partitions)
     return classify(scored, thresholds=thresholds or THRESHOLDS_DEFAULT)
@@ -251,10 +254,16 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
                     keys: list[str] | None = None, name_extra: list[str] | None = None,
                     lang: str = "en", persist: bool | str | None = True,
                     order: bool = True, min_partitions: int | None = None,
-                    quantiles: list[float] | None = None) -> DailyOutputs:
+                    quantiles: list[float] | None = None, intake: bool = False) -> DailyOutputs:
     """C4/C5 (flagship): load, score, classify, movies found or given, both outputs
     and, with ``quantiles`` (probabilities), the quantiles per movie and day.
 
+    ``intake`` also counts the raw posts by what became of them (malformed,
+    other language, nulls, kept). The counts are rows of the partial table, so
+    they come from the same scan, and a task that runs again can't double them
+    as it could an accumulator. Read the posts with ``read_marked`` to have the
+    malformed lines counted.
+
     ``movies`` (``movieName`` [+ keys] [+ name_extra]) -- when omitted, the
     movies are the single-movie strings found in the data (per ``keys``).
     ``persist`` keeps the small partial table (one row per movie string,
@@ -268,11 +277,15 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
     keys = list(keys or [])
     classified = scored_posts(raw, lexicon, modifiers, kind, thresholds, lang,
                               extra_keys=keys, keep_arrays=(match == "exact"),
-                              min_partitions=min_partitions)
-    partial = partial_aggregate(classified, keys + (["tags"] if match == "exact" else []),
-                                histogram=bool(quantiles))
+                              min_partitions=min_partitions, mark=intake)
+    by = keys + (["tags"] if match == "exact" else []) + ([FATE] if intake else [])
+    partial = partial_aggregate(classified, by, histogram=bool(quantiles))
     how = "table" if persist is True else (persist or None)
     partial, folder = materialize(partial, how)
+    fates = None
+    if intake:
+        fates = partial.groupBy(F.col(FATE).alias("fate")).agg(F.sum("n").alias("nRows"))
+        partial = partial.where(F.col(FATE) == "kept").drop(FATE)
     if movies is None:
         found = partial.select(*keys, "movieName").distinct()
         if keys:
@@ -285,7 +298,7 @@ def daily_sentiment(raw: DataFrame, lexicon: DataFrame, modifiers: DataFrame,
         # the mapping has the keys when movies are per key
         on = [k for k in keys if k in mapping.columns]
         found = movie_quantiles(partial, mapping, quantiles, on, [*keys, *(name_extra or [])])
-    return DailyOutputs(counts, stats, partial, mapping, folder, found)
+    return DailyOutputs(counts, stats, partial, mapping, folder, found, fates)
 
 
 def _unique_by_keys(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -164,6 +164,53 @@ def q_split_malformed(spark, sf):
     return g.unionByName(b).groupBy("side").agg(F.count("body").alias("nRows"))
 
 
+# Lines of every kind of fault, by the post's id.
+_FAULT = """CASE WHEN doc_id % 11 = 0 THEN 'cut off or broken' WHEN doc_id % 13 = 0 THEN 'not an object'
+     WHEN doc_id % 17 = 0 THEN 'wrong type' END"""
+
+
+def _stage_faults(spark, sf) -> str:
+    posts = _posts(spark, sf, with_id=True, with_folder=True)
+    line = F.to_json(F.struct(*[c for c in posts.columns if c not in ("doc_id", "folder")]))
+    cut = F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))
+    fault = F.expr(_FAULT)
+    text = (F.when(fault == "cut off or broken", cut)
+             .when(fault == "not an object", F.concat(F.lit("line "), F.col("doc_id").cast("string")))
+             .when(fault == "wrong type", F.regexp_replace(
+                 line, r'"retweetCount":\d+', '"retweetCount":{"n":1}')).otherwise(line))
+    path = shared_dir(spark, "faults")
+    (posts.select(text.alias("value"), "folder").write.option("compression", "gzip")
+          .partitionBy("folder").text(path))
+    return path
+
+
+@register("quarantine", f"""
+SELECT 'chicago_' || CAST(doc_id % 3 AS VARCHAR) AS folder, {_FAULT} AS reason, count(*) AS nLines
+FROM documents WHERE {_FAULT} IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT strftime(DATE '2024-01-01' + CAST((doc_id // 20) % 30 AS INTEGER), '%Y-%m-%d') AS folder,
+       'good' AS reason, count(*) AS nLines
+FROM documents WHERE {_FAULT} IS NULL GROUP BY ALL""")
+def q_quarantine(spark, sf):
+    """Bad lines by folder and reason, good posts by day, from one scan."""
+    good, bad = S.quarantine(spark, _stage_faults(spark, sf) + "/*/", shared_dir(spark, "quarantine"))
+    good = good.groupBy(F.substring("postedTime", 1, 10).alias("folder")).agg(
+        F.lit("good").alias("reason"), F.count("body").alias("nLines"))
+    return (bad.groupBy(S.folder_of(F.col("file")).alias("folder"), "reason")
+               .agg(F.count("line").alias("nLines")).unionByName(good))
+
+
+@register("intake_counts", f"""
+SELECT CASE WHEN doc_id % 11 = 0 THEN 'malformed' WHEN lang <> 'en' THEN 'language'
+            WHEN doc_id % 97 = 0 THEN 'nulls' ELSE 'kept' END AS fate, count(*) AS nRows
+FROM documents GROUP BY ALL""")
+def q_intake_counts(spark, sf):
+    """What became of the raw posts, counted by the daily job itself."""
+    lex, mods = _lex(spark)
+    raw = S.read_marked(spark, _stage_with_malformed(spark, sf) + "/")
+    return PL.daily_sentiment(raw, lex, mods, order=False, min_partitions=TASKS, intake=True).intake
+
+
 def _stage_folders(spark, sf) -> str:
     path = shared_dir(spark, "folders")
     K.write_posts_json(_posts(spark, sf, with_folder=True), path, partition_by=["folder"])
