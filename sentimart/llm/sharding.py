@@ -8,26 +8,29 @@ one in descending and one in ascending order, until one is left.
 Spread over the cluster in levels, each the same algorithm:
 
 1. groups smaller than the total / (shards x ``BIG``) are dealt to parts by
-   hash; a task takes its part's groups in blocks of bounded size, each block
-   ending in one partial partition, and combines the blocks;
-2. the parts' partial partitions and the larger groups (fewer than shards x
-   ``BIG``, whatever the data), each a partial partition of its own, are
-   combined in one task: at most shards x (parts + ``BIG``) numbers.
+   hash, about ``GROUPS`` groups a part, so the number of parts follows the
+   number of groups; a task takes its part's groups in blocks of bounded size,
+   each block ending in one partial partition, and combines the blocks;
+2. more than ``PARTS`` parts are combined in tasks of some ``PARTS`` each;
+3. what is left, and the larger groups (fewer than shards x ``BIG``, whatever
+   the data), each a partial partition of its own, are combined in one task: at
+   most shards x (``PARTS`` + ``BIG``) rows of a few numbers, up to ``PARTS``
+   squared parts.
 
 A part's spread is at most about one small group, so the shards come out as
 even as differencing everything at once would make them; a group larger than
 a shard's even share makes its shard as large as the group.
 
-Slots: a group's rows are counted per (text, salt of the id), so that a text
-that a third of all rows share is numbered by many tasks; prefix sums of
+Slots: a group's rows are counted per (text, salt of the id, or of the row's
+place without one), so that a text that a third of all rows share is numbered
+by many tasks; prefix sums of
 those counts, of the groups in a part's bucket and of the parts in a shard
 give every row a gapless slot in its shard.
 
 Columns: ``doc_id`` and ``text``; others are ignored. Defined cases: a null
 text counts no bytes, has a null checksum, and forms a group with rows of
 the same id only; repeated rows are in one group and get slots of their own;
-null ids are numbered first in their group; an empty table gives an empty
-result.
+rows without an id come last in their group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ SHARDS = 24         # contract
 ROW_BYTES = 8       # contract: bytes counted beside the text
 BLOCK = 20_000      # groups differenced at a time in a task
 BIG = 1_024         # larger than the total / (SHARDS x BIG): combined at the end
+GROUPS = 200_000    # groups a part
+PARTS = 1_024       # parts combined in one task
 
 
 def difference(nodes: list[list[int]]) -> tuple[list[int], list[list[int]]]:
@@ -127,13 +132,46 @@ def _whole(df: pd.DataFrame, shards: int) -> pd.DataFrame:
     return df[["node", "bucket", "shard", "base"]]
 
 
+def _combined(nodes: DataFrame, shards: int) -> DataFrame:
+    """``(over, node, bucket, shard, base)``: the nodes of each ``over``
+    combined, from their sums ``(over, node, bucket, n, bytes)``."""
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        return _whole(df, shards).assign(over=df["over"].iloc[0])
+
+    return (nodes.groupBy("over").applyInPandas(
+        run, "node string, bucket int, shard int, base long, over string"))
+
+
+def place(sums: DataFrame, shards: int, parts: int) -> DataFrame:
+    """``(node, bucket, shard, base)`` from the nodes' sums ``(node, bucket, n,
+    bytes)``: one level of differencing over ``PARTS`` parts or fewer, two over
+    more."""
+    top = F.lit("all").alias("over")
+    if parts <= PARTS:
+        return _combined(sums.select("*", top), shards).drop("over")
+    of = F.concat(F.lit("parts:"), F.pmod(F.xxhash64("node"), F.lit(-(-parts // PARTS))).cast("string"))
+    is_part = F.col("node").startswith("part:")
+    middle = save(_combined(sums.where(is_part).withColumn("over", of), shards), "shard-middle")
+    upper = (middle.join(sums, ["node", "bucket"])
+                   .groupBy(F.col("over").alias("node"), F.col("shard").alias("bucket"))
+                   .agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+    last = save(_combined(upper.unionByName(sums.where(~is_part)).select("*", top), shards)
+                .drop("over"), "shard-last")
+    above = last.select(F.col("node").alias("over"), F.col("bucket").alias("mid"),
+                        F.col("shard").alias("end"), F.col("base").alias("ahead"))
+    placed = (middle.withColumnRenamed("shard", "mid").join(above, ["over", "mid"])
+                    .select("node", "bucket", F.col("end").alias("shard"),
+                            (F.col("base") + F.col("ahead")).alias("base")))
+    return placed.unionByName(last.where(~F.col("node").startswith("parts:")))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot`` per row. ``parts`` (default:
-    the session's shuffle partitions) is the number of hash parts, and of
-    salts for the rows of one text."""
+    """``doc_id, size, text_crc32, shard, slot`` per row. ``parts`` is the
+    number of hash parts (default: as many as the session has shuffle
+    partitions, more if a part would hold more than ``GROUPS`` groups)."""
     if shards < 1:
         raise ValueError(f"shards must be positive, got {shards}")
-    parts = parts or shuffle_partitions(docs.sparkSession)
+    salts = shuffle_partitions(docs.sparkSession)
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
     key = F.coalesce(F.md5(text), F.concat(F.lit("id:"), F.coalesce(doc.cast("string"), F.lit(""))))
     # saved: texts are read and hashed once
@@ -141,12 +179,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> Da
         doc.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), key.alias("key"),
-        F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("salt")), "shard-rows")
+        # a row without an id by its place (fixed once the table is saved), behind
+        # the rows with one
+        F.when(doc.isNull(), salts + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+         .otherwise(F.pmod(F.xxhash64(doc), F.lit(salts))).cast("int").alias("salt")), "shard-rows")
     salted = rows.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"),
                                              F.sum("size").alias("bytes"))
     groups = save(salted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")),
                   "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = parts or max(salts, -(-count // GROUPS))
     big = F.col("bytes") * (shards * BIG) > total
     node = F.concat(F.lit("part:"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("string"))
     small = groups.where(~big).withColumn("node", node).groupBy("node").applyInPandas(
@@ -155,11 +197,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> Da
     large = groups.where(big).select("key", F.col("key").alias("node"), F.lit(0).alias("bucket"),
                                      "n", "bytes", F.lit(0).cast("long").alias("ahead"))
     local = save(small.unionByName(large), "shard-buckets")
-    placed = (local.groupBy("node", "bucket").agg(F.sum("n").alias("n"),
-                                                  F.sum("bytes").alias("bytes"))
-                   .withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
-                       lambda df: _whole(df, shards),
-                       "node string, bucket int, shard int, base long"))
+    placed = place(local.groupBy("node", "bucket").agg(F.sum("n").alias("n"),
+                                                       F.sum("bytes").alias("bytes")), shards, parts)
     before = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     slots = (salted.select("key", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own"))
                    .join(local.select("key", "node", "bucket", "ahead"), "key")

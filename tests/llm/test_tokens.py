@@ -132,10 +132,13 @@ def test_differencing_beats_greedy_and_is_consistent():
     assert sorted(sums) == [14, 16]      # the textbook example
 
 
-@pytest.mark.parametrize("shards,parts", [(24, None), (5, 3), (1, 2)])
-def test_shards(spark, shards, parts):
+@pytest.mark.parametrize("shards,parts,at_once", [(24, None, 1024), (5, 3, 1024), (1, 2, 1024),
+                                                  (6, 11, 3)])
+def test_shards(spark, shards, parts, at_once, monkeypatch):
+    """The last: parts combined in a middle level."""
+    monkeypatch.setattr(sharding, "PARTS", at_once)
     rows = odd_rows() + [(100 + i, "copy " * 40) for i in range(300)] + [
-        (1000 + i, "w" * (i % 97)) for i in range(600)]
+        (1000 + i, "w" * (i % 97)) for i in range(600)] + [(None, "copy " * 40)] * 200
     docs = documents(spark, rows)
     out = sharding.shard(docs, shards, parts).collect()
     assert len(out) == len(rows)
@@ -155,7 +158,10 @@ def test_shards(spark, shards, parts):
     assert sharding.shard(docs.limit(0), shards, parts).count() == 0
 
 
-def test_shards_are_even(spark):
+@pytest.mark.parametrize("groups,at_once", [(200_000, 1024), (40, 4)])
+def test_shards_are_even(spark, groups, at_once, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS", groups)   # the number of parts follows the groups
+    monkeypatch.setattr(sharding, "PARTS", at_once)
     out = sharding.shard(table(spark, "/root/testdata/sf0.01", "documents"))
     sums = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) < 0.002 * sum(sums) / 24
