@@ -103,6 +103,45 @@ def test_edits_of_a_table(spark, tokenizer, shared):
     assert tokens.count_after_edits(docs.limit(0), shared, tokenizer[1]).count() == 0
 
 
+def test_kept_trees_over_several_batches(spark, tokenizer, shared):
+    """Every batch reads the parts of its documents, re-encodes little, and all
+    counts equal a whole recount."""
+    rng, enc = random.Random(8), tokenizer[2]
+    texts = {i: t or "" for i, t in odd_rows() if i is not None}
+    texts |= {100 + i: f"Document {i}. " * rng.randrange(1, 400) for i in range(60)}
+    rows = [(i, t, 1, "x") for i, t in texts.items()] + [(None, "gone", 1, "x")]
+    store = tokens.TreeStore(spark, shared, tokenizer[1], parts=16)
+    store.create(spark.createDataFrame(rows, "doc_id long, text string, batch int, leaves string"))
+    for batch in range(3):
+        some = {i: [(rng.randint(0, len(texts[i])), rng.choice([0, 3, 40]), rng.choice(["", " new", "It's\n\n12"]))
+                    for _ in range(rng.randrange(4))] for i in rng.sample(sorted(texts), 3)}
+        some[900 + batch] = [(0, 0, "a new document")]
+        for i, edits in some.items():
+            for at, n, ins in edits:
+                old = texts.get(i, "")
+                at = min(at, len(old))
+                texts[i] = old[:at] + ins + old[at + n:]
+        df = spark.createDataFrame(list(some.items()),
+                                   "doc_id long, edits array<struct<pos:int,n_del:int,ins:string>>")
+        before = {r.doc_id: r.n_tokens for r in store.counts().collect()}
+        got = store.apply(df)
+        out = {r.doc_id: r for r in got.collect()}
+        assert out.keys() == some.keys()
+        for i, r in out.items():
+            assert r.tokens_before == before.get(i, 0)
+            assert r.tokens_after == len(enc.encode_ordinary(texts[i]))
+            assert r.chars_recut <= len(some[i]) * 1500 and r.chars == len(texts[i])
+        assert {r.doc_id: r.n_tokens for r in store.counts().collect()} == {
+            i: len(enc.encode_ordinary(t)) for i, t in texts.items()}
+    assert {r.doc_id: r.text for r in store.texts().collect()} == texts
+    # a count reads no text, a batch only the parts of its documents
+    plan = store.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "leaves" not in plan
+    with pytest.raises(Exception, match="several edit rows"):
+        store.apply(df.unionByName(df))
+    store.close()
+
+
 def test_query_matches_the_library(spark, tokenizer):
     from sentimart.llm.queries import QUERIES
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
