@@ -19,8 +19,8 @@ BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 EXCLAIM, EXCLAIM_MAX, QUESTION, QUESTION_MAX = 0.292, 4, 0.18, 0.96
 ALPHA = 15.0
 LEXICON = [
-    ("trash", -2.4), ("scum", -2.8), ("clown", -1.2), ("idiot", -2.3), ("worthless", -1.9),
-    ("moron", -2.2), ("pathetic", -2.0), ("loser", -2.4), ("disgusting", -2.5), ("stupid", -2.4),
+    ("trash", -2.0), ("scum", -3.0), ("clown", -1.0), ("idiot", -3.0), ("worthless", -2.0),
+    ("moron", -3.0), ("pathetic", -2.0), ("loser", -2.0), ("disgusting", -3.0), ("stupid", -2.0),
     ("the", 1.1), ("that", 0.8), ("of", -1.3), ("and", -0.7), ("to", 0.9), ("it", -1.0),
     ("for", 1.4), ("this", -1.6)]
 BOOSTERS = [("is", 0.293), ("was", 0.293)]

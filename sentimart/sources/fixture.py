@@ -28,11 +28,11 @@ from sentimart.schema import RULES_TYPE
 
 # Test lexicon for the registered queries. The generated English
 # prose has none of the usual sentiment words, so frequent words get test
-# valences; the toxic-label words keep word-like values. These exist only for
-# tests and the bench.
+# valences, and the toxic-label words one of three strengths by hand (mild 1,
+# clear 2, strong 3). These exist only for tests and the bench.
 FIXTURE_LEXICON: list[tuple[str, float]] = [
-    ("trash", -2.4), ("scum", -2.8), ("clown", -1.2), ("idiot", -2.3), ("worthless", -1.9),
-    ("moron", -2.2), ("pathetic", -2.0), ("loser", -2.4), ("disgusting", -2.5), ("stupid", -2.4),
+    ("trash", -2.0), ("scum", -3.0), ("clown", -1.0), ("idiot", -3.0), ("worthless", -2.0),
+    ("moron", -3.0), ("pathetic", -2.0), ("loser", -2.0), ("disgusting", -3.0), ("stupid", -2.0),
     ("the", 1.1), ("that", 0.8), ("of", -1.3), ("and", -0.7), ("to", 0.9), ("it", -1.0),
     ("for", 1.4), ("this", -1.6),
 ]
