@@ -5,31 +5,41 @@ knows; small-star links the smaller side. Each round at least halves the
 height of the trees, so a handful of rounds finish; every round is a table
 in the shared checkpoint folder (lineage cut, nothing on the driver but two
 counters). Only minima per node are aggregated (map-side combined), no
-neighbour list is ever gathered.
+neighbour list is ever gathered. The links of a star's centre are spread
+over salts, so no task holds all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentimart.llm.common import save
+from sentimart.llm.common import save, shuffle_partitions
+
+
+def with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """``rows`` with ``least``, the least ``value`` of their ``key``. The rows
+    of a key are spread over as many salts as there are partitions (by the
+    hash of ``by``); one row per key and salt meets with its like only."""
+    salts = shuffle_partitions(rows.sparkSession)
+    salted = rows.withColumn("_x_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    part = salted.groupBy(key, "_x_salt").agg(F.min(value).alias("_x_part"))
+    least = part.select(key, "_x_salt", F.min("_x_part").over(Window.partitionBy(key)).alias("least"))
+    return salted.join(least, [key, "_x_salt"]).drop("_x_salt")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star over edges (a > b)."""
     both = edges.select("a", "b").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m"))
-    low = low.select("a", F.least("a", "m").alias("m"))
-    large = (both.join(low, "a").where(F.col("b") > F.col("a"))
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")))
+    large = (with_least(both, "a", "b", "b").where(F.col("b") > F.col("a"))
+             .select(F.col("b").alias("a"), F.least("a", "least").alias("b")))
     # every row of `large` already points to a smaller node
-    down = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = (large.join(down, "a")
-                  .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
-                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-                          .alias("e")).select("e.a", "e.b"))
+    small = (with_least(large, "a", "b", "b")
+             .select(F.explode(F.array(
+                 F.struct(F.col("a").alias("a"), F.col("least").alias("b")),
+                 F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
+             .select("e.a", "e.b"))
     return small.where(F.col("a") != F.col("b")).distinct()
 
 

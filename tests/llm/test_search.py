@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentimart.llm import embed, lm, urls
+from sentimart.llm import embed, graph, lm, urls
 from sentimart.llm.common import table
 from llm_helpers import SF, components, documents, odd_rows
 
@@ -210,8 +210,10 @@ def test_embeddings_table(spark):
         i: (n[i], comp[i], comp[i] == i) for i, _ in rows}
 
 
-def test_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("max_words", [1024, 24])      # two blocks, three blocks
+def test_recall_at_the_threshold(spark, max_words):
     """Pairs with cosine 0.95 to 0.96, the hardest: all of some hundreds."""
+    assert embed.code_shape(3000, embed.PER_CODE, max_words)[1] == (2 if max_words > 100 else 3)
     rng = np.random.default_rng(4)
     rows = []
     for k in range(1500):
@@ -222,8 +224,76 @@ def test_recall_at_the_threshold(spark):
         b /= np.linalg.norm(b)
         c = 0.9501 + 0.01 * rng.random()
         rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
-    _, got = compare(spark, rows, "array<double>")
-    assert sum(r.n_links for r in got) / 2 >= 0.995 * 1500
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embed.near_duplicates(df, max_words=max_words).collect()
+    assert 0.995 * 1500 <= sum(r.n_links for r in got) / 2 <= 1500
+
+
+def test_code_shape_is_bounded():
+    """The words of a block stay bounded; directions follow the vectors."""
+    for count in (1, 10, 10 ** 5, 10 ** 7, 10 ** 10, 10 ** 12):
+        words, blocks = embed.code_shape(count, embed.PER_CODE, embed.MAX_WORDS)
+        assert words <= embed.MAX_WORDS and embed.CODES * blocks * words ** blocks < 2 ** 63
+        assert words ** blocks >= 0.9 * count * embed.PER_CODE
+
+
+def test_decoding_lists_every_direction_above_the_bound():
+    rng = np.random.default_rng(1)
+    code = embed.ProductCode(9, 5, 3, 0)
+    x = rng.normal(size=(20, 9))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code.bound = 0.3
+    a, b, c = code.products(x)
+    whole = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(20, -1)
+    for got, row in zip(code.filters(x), whole):
+        assert sorted(got) == np.flatnonzero(row > 0.3).tolist()
+
+
+def test_links_of_near_copies_are_not_written_out(spark):
+    """A group of near copies leaves the verifying step as one row per vector
+    and group it meets in, not as one per link, and each link counts once."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    x = [(base + rng.normal(size=32) * 0.01).tolist() for _ in range(400)]
+    vectors = spark.createDataFrame([(i, 1 + i % 3, e) for i, e in enumerate(x)],
+                                    "v long, n long, x array<double>")
+    rows = embed.vector_links(vectors).collect()
+    assert len(rows) <= 400 * 12 * 40 and {r.root for r in rows} >= {0}
+    others = Counter()
+    for r in rows:
+        others[r.v] += r.others
+    total = sum(1 + i % 3 for i in range(400))
+    assert others == {i: total - (1 + i % 3) for i in range(400)}
+
+
+def test_many_lengths_in_one_plan(spark):
+    """Vectors of 40 lengths: each links within its own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(1, 41):
+        x = rng.normal(size=dim)
+        rows += [(3 * dim, x.tolist()), (3 * dim + 1, (2 * x).tolist()),
+                 (3 * dim + 2, (-x).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df).collect()}
+    assert got == {i: (0, i) if i % 3 == 2 else (1, i - i % 3) for i, _ in rows}
+
+
+def test_a_star_is_spread_over_salts(spark):
+    """Components of a star of 10,000 links, a chain and a pair; the rows of
+    one centre are dealt over many (key, salt) pairs."""
+    edges = ([(i, 0) for i in range(1, 10_001)] + [(i, i + 1) for i in range(20_000, 20_040)]
+             + [(50_000, 49_999), (7, 7)])
+    links = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in graph.connected_components(links).collect()}
+    assert got == {**{i: 0 for i in range(10_001)}, **{i: 20_000 for i in range(20_000, 20_041)},
+                   50_000: 49_999, 49_999: 49_999}
+    star = links.select(F.col("b").alias("k"), F.col("a").alias("x"))
+    least = graph.with_least(star, "k", "x", "x")
+    assert least.count() == len(edges)
+    assert least.where("k = 0").agg(F.min("least"), F.max("least")).first() == (1, 1)
+    plan = least._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x_salt" in plan
 
 
 def test_crowded_filters_and_odd_vectors(spark, monkeypatch):
