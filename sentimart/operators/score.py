@@ -372,7 +372,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     Off by default. For a few unsplittable files on many cores; an input with
     that many files, of any size, is left as it is. Starts no job."""
-    if min_partitions and len(df.inputFiles()) < min_partitions:
+    if min_partitions and len(df._jdf.inputFiles()) < min_partitions:  # paths stay in the JVM
         return df.repartition(min_partitions)
     return df
 

@@ -10,7 +10,7 @@ RULE_TYPE = T.StructType([
 ])
 RULES_TYPE = T.ArrayType(RULE_TYPE)
 
-# Raw post as written by the collector (JSON lines, usually gzip). Only the
+# Field names of the posts. Raw post as written by the collector (JSON lines, usually gzip). Only the
 # fields the job reads are declared; other JSON fields are ignored by the
 # reader, so no inference pass is needed.
 POST_SCHEMA = T.StructType([
@@ -26,6 +26,7 @@ POST_SCHEMA_WITH_CORRUPT = T.StructType(
     POST_SCHEMA.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())]
 )
 
+# Column names of the outputs.
 # Output 1: class counts per movie and day.
 COUNTS_COLUMNS = ["date", "vaderClassifier", "nTweets", "movieName"]
 COUNTS_SCHEMA = T.StructType([
