@@ -9,8 +9,9 @@ is read once and sent to the executors. Decoding concatenates the binary
 pieces of the ids.
 
 ``encode_words`` is the same fold written with Spark's higher-order
-functions over a table of distinct words and a literal rank map. Its lambdas
-are interpreted, see the README for its rate; the queries use the task form.
+functions over a table of distinct words and a literal rank map, and
+``decode_words`` its way back. Their lambdas are interpreted, see the README
+for the rate; the queries use the task form.
 
 Defined cases: a null text is an empty one (no ids, decodes to no bytes);
 repeated rows give repeated rows; all further columns are kept, the results
@@ -24,6 +25,7 @@ import base64
 import heapq
 import json
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ CACHE = 100_000    # distinct pieces a task remembers at a time
 _ROWS = 256        # texts in one result batch
 _LONG = 64         # bytes; longer pieces are merged over a heap
 _NO_RANK = 1 << 62
+_UNRANKED = 1 << 30  # as an int of Spark's
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -205,47 +208,79 @@ def encode_decode(docs: DataFrame, ranks: Broadcast, pattern: str,
 
 # --- the fold in higher-order functions --------------------------------------
 
-def _rank_lookup(ranks: dict[bytes, int]):
-    """Rank of a hex string by a literal map, cut into one small map per
-    checksum, as Spark searches a map from end to end."""
+def _rank_maps(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """The literal rank map of hex strings, cut into one small map per
+    checksum, as Spark searches a map from end to end; and their number."""
     n = max(1, len(ranks))
     parts: list[dict[str, int]] = [{} for _ in range(n)]
     for p, r in ranks.items():
         key = p.hex().upper()
-        parts[_crc(key) % n][key] = r
-    maps = F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
-    return lambda key: F.get(maps, (F.crc32(key) % n).cast("int"))[key]
+        parts[zlib.crc32(key.encode()) % n][key] = r
+    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>"), n
 
 
-def _crc(key: str) -> int:
-    import zlib
-    return zlib.crc32(key.encode())
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def encode_words(distinct: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
-    """``distinct`` with ``token_ids``, by higher-order functions alone."""
-    rank = _rank_lookup(ranks)
+    """``distinct`` with ``token_ids``, by higher-order functions alone. The
+    state of the fold is a word's parts and the ranks of its neighbouring
+    pairs; a merge looks up the two pairs that it changes. The rank map is one
+    literal, bound once."""
     hexed = F.hex(F.encode(F.col(word), "UTF-8"))
-    n = F.length(hexed) / 2
-    start = F.when(n >= 1, F.transform(
-        F.sequence(F.lit(0), n.cast("int") - 1),
-        lambda i: F.substring(hexed, 2 * i + 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-
-    def step(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
-                            lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-
-        def fold(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            return F.when(F.array_min(found).isNull(), parts).otherwise(F.concat(
-                F.slice(parts, F.lit(1), at - 1),
-                F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))),
-                F.slice(parts, at + 2, F.size(parts))))
-        return F.when(F.size(parts) < 2, parts).otherwise(
-            F.get(F.transform(F.array(pairs), fold), F.lit(0)))
-
-    merged = F.aggregate(start, start, lambda acc, _: step(acc))
-    whole = rank(hexed)
-    return distinct.withColumn(
-        "token_ids", F.when(whole.isNotNull(), F.array(whole))
-                      .otherwise(F.transform(merged, lambda p: rank(p))))
+    n = (F.length(hexed) / 2).cast("int")
+    maps, buckets = _rank_maps(ranks)
+    none = F.array().cast("array<int>")
+
+    def ids(maps: Column) -> Column:
+        def rank(key: Column) -> Column:
+            found = F.get(maps, (F.crc32(key) % buckets).cast("int"))[key]
+            return F.coalesce(found, F.lit(_UNRANKED))
+
+        def pieces(size: int) -> Column:
+            return F.when(n >= size, F.transform(
+                F.sequence(F.lit(0), n - size),
+                lambda i: F.substring(hexed, 2 * i + 1, F.lit(2 * size)))
+            ).otherwise(F.array().cast("array<string>"))
+
+        def merged(part: Column, pair: Column, at: Column) -> Column:
+            joined = F.concat(F.get(part, at - 1), F.get(part, at))
+            left = F.when(at > 1, F.concat(
+                F.slice(pair, F.lit(1), F.greatest(at - 2, F.lit(0))),
+                F.array(rank(F.concat(F.get(part, at - 2), joined))))).otherwise(none)
+            right = F.when(at < F.size(pair), F.concat(
+                F.array(rank(F.concat(joined, F.get(part, at + 1)))),
+                F.slice(pair, at + 2, F.size(pair)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(part, F.lit(1), at - 1), F.array(joined),
+                         F.slice(part, at + 2, F.size(part))).alias("part"),
+                F.concat(left, right).alias("pair"))
+
+        def step(state: Column, _) -> Column:
+            part, pair = state["part"], state["pair"]
+            lowest = F.coalesce(F.array_min(pair), F.lit(_UNRANKED))
+            at = F.array_position(pair, F.array_min(pair)).cast("int")
+            return F.when(lowest == _UNRANKED, state).otherwise(
+                _bind(at, lambda at: merged(part, pair, at)))
+
+        start = F.struct(pieces(1).alias("part"), F.transform(pieces(2), rank).alias("pair"))
+        folded = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(none), start, step,
+                             lambda state: F.transform(state["part"], rank))
+        return _bind(rank(hexed), lambda whole: F.when(whole != _UNRANKED, F.array(whole))
+                                                 .otherwise(folded))
+
+    return distinct.withColumn("token_ids", _bind(maps, ids))
+
+
+def decode_words(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
+    """``df`` with ``decoded``: the binary pieces of the ids, concatenated by
+    higher-order functions over a literal array of the vocabulary."""
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for p, r in ranks.items():
+        pieces[r] = p.hex()
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    none = F.array().cast("array<int>")
+    return df.withColumn("decoded", _bind(table, lambda t: F.unhex(F.array_join(
+        F.transform(F.coalesce(F.col(ids), none), lambda i: F.get(t, i)), ""))))

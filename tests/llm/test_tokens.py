@@ -52,12 +52,26 @@ def test_round_trip_of_a_table(spark, tokenizer, shared):
 
 def test_fold_in_higher_order_functions(spark, tokenizer):
     ranks, pattern, enc = tokenizer
-    words = sorted({w for t in TEXTS[:5] for w in regex.findall(pattern, t)} | {"", "é", "漢字"})
+    words = sorted({w for t in TEXTS for w in regex.findall(pattern, t) if len(w) < 300}
+                   | {"", "é", "漢字", "a" * 70, "aaab", "abab"}) + [None]
     small = {p: r for p, r in ranks.items() if r < 3000}
     df = spark.createDataFrame([(w,) for w in words], "word string")
-    for r in bpe.encode_words(df, small).collect():
-        want = bpe.merge(r.word.encode(), small) if r.word else []
-        assert r.token_ids == want, r.word
+    for known in (small, ranks):
+        found = bpe.decode_words(bpe.encode_words(df, known), known).collect()
+        assert len(found) == len(words)
+        for r in found:
+            assert r.token_ids == (bpe.merge(r.word.encode(), known) if r.word else []), r.word
+            assert bytes(r.decoded) == (r.word or "").encode()
+    assert bpe.encode_words(df.limit(0), small).count() == 0
+
+
+def test_fold_over_the_distinct_words_of_a_table(spark, tokenizer):
+    ranks, pattern, enc = tokenizer
+    texts = [r.text for r in table(spark, SF, "documents").collect()]
+    words = sorted({w for t in texts if t for w in regex.findall(pattern, t)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for r in bpe.encode_words(df, ranks).collect():
+        assert r.token_ids == enc.encode_ordinary(r.word), r.word
 
 
 def test_tree_against_whole_recounts(tokenizer):
