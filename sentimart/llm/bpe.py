@@ -34,9 +34,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE = 100_000    # distinct pieces a task remembers at a time
+CACHE = 150_000    # distinct pieces of a generation; a task remembers two
 _ROWS = 256        # texts in one result batch
 _LONG = 64         # bytes; longer pieces are merged over a heap
+_KEPT = 256        # characters; longer pieces are not remembered
 _NO_RANK = 1 << 62
 _UNRANKED = 1 << 30  # as an int of Spark's
 
@@ -104,18 +105,25 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids by piece, packed as 32-bit integers, folded on first use; emptied
-    when it has ``CACHE``."""
+    """Ids by piece, packed as 32-bit integers, folded on first use. At
+    ``CACHE`` pieces a new generation begins, and the one before is asked
+    first, so that frequent pieces stay. Very long pieces aren't kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.before = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.before.get(piece)
+        if packed is None:
+            ids = merge(piece.encode("utf-8"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}i", *ids)
+            if len(piece) > _KEPT:
+                return packed
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        ids = merge(piece.encode("utf-8"), self.ranks)
-        self[piece] = packed = struct.pack(f"<{len(ids)}i", *ids)
+        self[piece] = packed
         return packed
 
     def count(self, pieces: list[str]) -> int:

@@ -23,6 +23,15 @@ def test_encode_like_the_library(tokenizer, k):
     assert got.tolist() == enc.encode_ordinary(TEXTS[k])
 
 
+def test_generations_of_pieces_change_no_id(tokenizer, monkeypatch):
+    ranks, pattern, enc = tokenizer
+    monkeypatch.setattr(bpe, "CACHE", 7)
+    find, pieces = regex.compile(pattern).findall, bpe.Pieces(ranks)
+    for text in [*TEXTS, *TEXTS]:
+        assert bpe.encode_text(text, find, pieces).tolist() == enc.encode_ordinary(text)
+        assert len(pieces) <= 7 and len(pieces.before) <= 7
+
+
 def test_every_character_is_cut_like_the_library(tokenizer):
     ranks, pattern, enc = tokenizer
     find, pieces = regex.compile(pattern).findall, bpe.Pieces(ranks)
