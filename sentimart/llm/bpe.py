@@ -26,16 +26,21 @@ import heapq
 import json
 import struct
 import zlib
+from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CACHE = 150_000    # distinct pieces of a generation; a task remembers two
+ROOM = 24 << 20    # bytes of a generation's pieces and ids
 _ROWS = 256        # texts in one result batch
+_BYTES = 4 << 20   # bytes of texts or ids in one, unless a single one is longer
 _LONG = 64         # bytes; longer pieces are merged over a heap
 _KEPT = 256        # characters; longer pieces are not remembered
 _NO_RANK = 1 << 62
@@ -106,12 +111,13 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 class Pieces(dict):
     """Ids by piece, packed as 32-bit integers, folded on first use. At
-    ``CACHE`` pieces a new generation begins, and the one before is asked
-    first, so that frequent pieces stay. Very long pieces aren't kept."""
+    ``CACHE`` pieces or ``ROOM`` bytes a new generation begins, and the one
+    before is asked first, so that frequent pieces stay. Very long pieces
+    aren't kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.before = ranks, {}
+        self.ranks, self.before, self.held = ranks, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.before.get(piece)
@@ -120,10 +126,13 @@ class Pieces(dict):
             packed = struct.pack(f"<{len(ids)}i", *ids)
             if len(piece) > _KEPT:
                 return packed
-        if len(self) >= CACHE:
+        if len(self) >= CACHE or self.held >= ROOM:
+            self.before = None    # goes before the copy is made
             self.before = dict(self)
             self.clear()
+            self.held = 0
         self[piece] = packed
+        self.held += getsizeof(piece) + getsizeof(packed)
         return packed
 
     def count(self, pieces: list[str]) -> int:
@@ -142,6 +151,27 @@ def share_ranks(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of ``_ROWS`` rows or ``_BYTES`` bytes of column ``at``
+    (texts, or lists of 32-bit ids) at most; a longer value is alone."""
+    column = batch.column(at)
+    if pa.types.is_list(column.type):
+        sizes = pc.multiply(pc.list_value_length(column), 4)
+    elif pa.types.is_null(column.type):
+        sizes = column
+    else:
+        sizes = pc.binary_length(column)
+    first = held = 0
+    for k, n in enumerate(sizes.to_pylist()):
+        n = n or 0
+        if k > first and (k - first >= _ROWS or held + n > _BYTES):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def _with_results(df: DataFrame, ranks: Broadcast, added: list[str], source: str, make) -> DataFrame:
     """``df`` with the columns ``added`` (columns of those names are replaced).
     ``make(ranks)`` gives the function of a task from a list of ``source``
@@ -155,8 +185,7 @@ def _with_results(df: DataFrame, ranks: Broadcast, added: list[str], source: str
     def run(batches):
         convert = make(ranks.value)
         for b in batches:
-            for k in range(0, b.num_rows, _ROWS):
-                part = b.slice(k, _ROWS)
+            for part in _parts(b, at):
                 results = convert(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in index), *results],
                                                  names=names)

@@ -1,8 +1,10 @@
 """BPE and edit-aware counts against the reference encoder."""
 
 import random
+import sys
 import zlib
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -32,6 +34,33 @@ def test_generations_of_pieces_change_no_id(tokenizer, monkeypatch):
         assert len(pieces) <= 7 and len(pieces.before) <= 7
 
 
+def test_remembered_pieces_are_bounded_in_bytes(monkeypatch):
+    """Long pieces (scripts without spaces) weigh many times a short one."""
+    monkeypatch.setattr(bpe, "ROOM", 1 << 20, raising=False)
+    ranks = {bytes([i]): i for i in range(256)}
+    pieces = bpe.Pieces(ranks)
+    for i in range(2000):
+        piece = chr(0x4E00 + i) * 200
+        assert pieces[piece] == b"".join(bytes([b, 0, 0, 0]) for b in piece.encode())
+    size = sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (pieces, pieces.before) for k, v in d.items())
+    assert 1 << 20 <= size < (2 << 20) + 10_000
+
+
+def test_result_batches_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "_BYTES", 1000, raising=False)
+    texts = [None, "", "x" * 400, "x" * 500, "é" * 100, "x" * 5000, "y", *["z"] * 600]
+    lists = [None if t is None else list(range(len(t.encode()) // 4)) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(lists, pa.list_(pa.int32())),
+                                        pa.nulls(len(texts))], names=["t", "l", "n"])
+    for at in range(3):
+        parts = list(bpe._parts(batch, at))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        assert max(p.num_rows for p in parts) == 256 and min(p.num_rows for p in parts) > 0
+    sizes = [[len((t or "").encode()) for t in p.column(0).to_pylist()] for p in bpe._parts(batch, 0)]
+    assert all(sum(x) <= 1000 or len(x) == 1 for x in sizes) and [5000] in sizes
+    assert list(bpe._parts(batch.slice(0, 0), 0)) == []
+
+
 def test_every_character_is_cut_like_the_library(tokenizer):
     ranks, pattern, enc = tokenizer
     find, pieces = regex.compile(pattern).findall, bpe.Pieces(ranks)
