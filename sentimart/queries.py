@@ -113,7 +113,7 @@ _P1_SQL = "SELECT body, tag, value, postedTime, retweetCount, twitter_lang FROM
 
 def _stage_posts(spark, sf, **kw) -> str:
     path = shared_dir(spark, "posts")
-    K.write_posts_json(_posts(spark, sf, **kw), path, files=4)
+    K.write_posts_json(K.evenly(_posts(spark, sf, **kw)), path)
     return path
 
 

@@ -206,6 +206,13 @@ def write_empty_files(spots: DataFrame, root: str) -> int:
     return spots.select("folder", F.col("n").cast("long")).mapInPandas(run, "n long").count()
 
 
+def evenly(rows: DataFrame) -> DataFrame:
+    """Rows for files of bounded, even size: as many files as the data needs at
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` (as shuffled) each, as a
+    gzip file is written and read by one task whatever its size."""
+    return rows.hint("rebalance")
+
+
 def write_posts_json(posts: DataFrame, path: str, partition_by: list[str] | None = None,
                      files: int | None = None) -> None:
     """Stage posts as gzip JSON lines (the collector's format)."""
