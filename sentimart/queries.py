@@ -140,7 +140,7 @@ def _stage_with_malformed(spark, sf) -> str:
     cut = F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))
     lines = posts.select(F.when(F.expr(_BAD), cut).otherwise(line).alias("value"))
     path = shared_dir(spark, "malformed")
-    K.write_lines_gz(lines, path, files=4)
+    K.write_lines_gz(K.evenly(lines), path)
     return path
 
 

@@ -18,7 +18,7 @@ def _documents(spark, folder, rows):
     return str(folder)
 
 
-@pytest.mark.parametrize("stage", [Q._stage_posts])
+@pytest.mark.parametrize("stage", [Q._stage_posts, Q._stage_with_malformed])
 def test_a_staged_file_does_not_grow_with_the_input(spark, tmp_path, stage):
     sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
              "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
@@ -42,3 +42,4 @@ def test_a_staged_file_does_not_grow_with_the_input(spark, tmp_path, stage):
 def test_an_empty_table_is_staged(spark, tmp_path):
     sf = _documents(spark, tmp_path / "none", 0)
     assert Q.q_load_tweets(spark, sf).count() == 0
+    assert {(r.side, r.nRows) for r in Q.q_split_malformed(spark, sf).collect()} == set()
